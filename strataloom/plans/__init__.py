@@ -1,4 +1,4 @@
 """The reference queries over a folder of tables, by name, and their SQL."""
 
-from . import log_queries, text_queries  # noqa: F401
+from . import diff_queries, log_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
