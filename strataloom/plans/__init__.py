@@ -1,4 +1,4 @@
 """The reference queries over a folder of tables, by name, and their SQL."""
 
-from . import diff_queries, log_queries, misc_queries, stats_queries, text_queries  # noqa: F401
+from . import code_queries, diff_queries, log_queries, misc_queries, stats_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
