@@ -8,9 +8,10 @@
    miss a link is under 1 in 100,000). A pair with that many agreements meets in the K - matches + 1
    rarest pairs of each, so only this prefix is posted for joining, rarest first; pairs that one
    document alone has are never shuffled again. Frequent coordinate-values stay outside the prefixes.
-3. Documents of one posting list are not paired all with all. Rounds of hubs link each to one hub of
-   its list; linked documents share a component, and pairs inside a component are skipped from then
-   on. The last round joins what is left: pairs of one list in different components.
+3. Documents of one posting list are not paired all with all. A first round links each to the hub of
+   its list, the document in the middle; linked documents share a component, and pairs inside a
+   component are skipped from then on. The last round joins the documents of lists that still have
+   several components, by the prefixes of their full shingle sets with places.
 4. A pair is confirmed when 100 * intersection >= 80 * union of the full shingle sets.
 
 Null and empty texts have an empty set and are linked with nothing; a text of fewer words than a shingle is
@@ -88,60 +89,78 @@ def full_sets(size: int):
 
 
 def prefixes(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(token, rep, n): each representative under the shared coordinate-values of its prefix."""
+    """(token, rep, n, weight): each representative under the shared coordinate-values of its prefix.
+
+    weight: how many others share its coordinate-values, all told; the middle of a group of copies has most.
+    """
     posted = reps.select("rep", "n", F.explode("sig").alias("token"))
     common = posted.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = posted.join(common, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("all"))
+    shared = posted.join(common, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("all"), F.sum("times").alias("weight"))
     alone = F.lit(coordinates) - F.size("all")
     keep = F.lit(coordinates - matches + 1) - alone
-    return shared.filter(keep > 0).select("rep", "n", F.explode(F.slice("all", 1, keep)).alias("x")).select("x.token", "rep", "n")
+    return shared.filter(keep > 0).select("rep", "n", "weight", F.explode(F.slice("all", 1, keep)).alias("x")).select("x.token", "rep", "n", "weight")
 
 
 def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, similarity: int) -> DataFrame:
-    """Pairs (a, b) with enough agreeing coordinates, then with the similarity of the full sets."""
+    """Of pairs (a, b) in components (own, other), those with enough agreeing coordinates and then enough in common."""
     side = lambda frame, key, column, alias: frame.select(F.col("rep").alias(key), F.col(column).alias(alias))
     near = pairs.join(side(sigs, "a", "sig", "sa"), "a").join(side(sigs, "b", "sig", "sb"), "b")
-    near = near.filter(F.size(F.array_intersect("sa", "sb")) >= matches).select("a", "b")
+    near = near.filter(F.size(F.array_intersect("sa", "sb")) >= matches).drop("sa", "sb")
     near = near.join(side(sets, "a", "shingles", "sa"), "a").join(side(sets, "b", "shingles", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return near.filter(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return near.filter(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("own", "other")
+
+
+def mixed(lists: DataFrame) -> DataFrame:
+    """Lists with more than one component."""
+    tokens = lists.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("token")
+    return lists.join(tokens, "token")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (rep, own) after links (own, other) between components."""
+    comp = components(links.select(F.col("own").alias("a"), F.col("other").alias("b")))
+    return S.materialise(labels.join(comp, labels.own == comp.node, "left").select("rep", F.coalesce("component", "own").alias("own")))
 
 
 def link(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, similarity: int, hubs: int) -> DataFrame:
-    """(node, component) of the representatives that are linked with another."""
-    spark = lists.sparkSession
-    comp = spark.createDataFrame([], "node long, component long")
-    links = spark.createDataFrame([], "a long, b long")
-    fits = lambda x, y: (100 * F.least(x, y) >= similarity * F.greatest(x, y))
-    for turn in range(hubs + 1):
-        now = lists.join(comp, lists.rep == comp.node, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("own"))
-        if turn < hubs:
-            # a hub of each list: the largest set first, then by varying order
-            first = F.col("n") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            order = F.struct(first.alias("first"), "rep", "n", "own")
-            hub = now.groupBy("token").agg(F.max(order).alias("hub")).select("token", F.col("hub.rep").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.own").alias("other"))
-            pairs = now.join(hub, "token").filter((F.col("own") != F.col("other")) & fits(F.col("n"), F.col("nb"))).select(F.col("rep").alias("a"), "b").distinct()
-        else:
-            mixed = now.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("token")
-            left = S.materialise(now.join(mixed, "token"))
-            right = left.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("other"))
-            pairs = left.join(right, "token").filter((F.col("own") < F.col("other")) & fits(F.col("n"), F.col("nb"))).select(F.col("rep").alias("a"), "b").distinct()
-        links = S.materialise(links.union(confirmed(S.materialise(pairs), sigs, sets, matches, similarity)))
-        comp = components(links)
-    return comp
-
-
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES, hubs: int = 2) -> DataFrame:
+    """(rep, own): the component of every representative in a list."""
+    labels = sigs.select("rep", F.col("rep").alias("own"))
+    for turn in range(hubs):
+        # a hub of each list: the one in the middle first, then by varying order
+        first = F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+        now = lists.join(labels, "rep")
+        hub = now.groupBy("token").agg(F.max(F.struct(first.alias("first"), "rep", "n", "own")).alias("hub")).select("token", F.col("hub.rep").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.own").alias("other"))
+        fits = 100 * F.least("n", "nb") >= similarity * F.greatest("n", "nb")
+        pairs = now.join(hub, "token").filter((F.col("own") != F.col("other")) & fits).select(F.col("rep").alias("a"), "b", "own", "other").distinct()
+        labels = merged(labels, S.materialise(confirmed(S.materialise(pairs), sigs, sets, matches, similarity)))
+    # What is left: documents of lists with several components, joined by the rarest shingles of their full
+    # sets. If the first shingle that two documents share, in the order of frequency, has place i in one, the
+    # i - 1 before it are not shared; so both places must leave enough shingles for the similarity.
+    left = S.materialise(mixed(lists.drop("weight").join(labels, "rep")).select("rep", "n", "own").distinct())
+    shingles = sets.join(left.select("rep"), "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle"))
+    times = shingles.groupBy("shingle").agg(F.count("*").alias("times"))
+    ordered = shingles.join(times, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("all")).join(left, "rep")
+    keep = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
+    rare = ordered.select("rep", "n", "own", F.posexplode(F.slice("all", F.lit(1), keep.cast("int"))).alias("i", "x")).filter("x.times > 1")
+    rare = S.materialise(rare.select("x.shingle", "rep", "n", "own", (F.col("n") - F.col("i")).alias("rest")))
+    right = rare.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rest_b"), F.col("own").alias("other"))
+    enough = (100 + similarity) * F.least("rest", "rest_b") >= similarity * (F.col("n") + F.col("nb"))
+    pairs = rare.join(right, "shingle").filter((F.col("own") < F.col("other")) & enough).select(F.col("rep").alias("a"), "b", "own", "other").distinct()
+    return merged(labels, S.materialise(confirmed(S.materialise(pairs), sigs, sets, matches, similarity)))
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES, hubs: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     rows = S.plain(docs)
     base = S.materialise(rows.mapInArrow(signatures(shingle, coordinates), "doc_id long, n long, h1 long, h2 long, sig array<long>"))
     groups = S.materialise(base.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
     lists = S.materialise(prefixes(groups, coordinates, matches))
     ids = S.materialise(lists.select("rep").distinct())
-    sigs = groups.join(ids, "rep", "left_semi").select("rep", "sig")
+    sigs = S.materialise(groups.join(ids, "rep", "left_semi").select("rep", "sig"))
     sets = S.materialise(rows.join(ids, rows.doc_id == ids.rep, "left_semi").mapInArrow(full_sets(shingle), "rep long, shingles array<long>"))
     comp = link(lists, sigs, sets, matches, similarity, hubs)
-    final = groups.join(comp, groups.rep == comp.node, "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
+    final = groups.join(comp, "rep", "left").select("h1", "h2", "n", F.coalesce("own", "rep").alias("component"))
     out = base.drop("sig").join(final, ["h1", "h2", "n"], "left")
     smallest = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), F.col("doc_id").eqNullSafe(smallest).alias("kept"))
