@@ -99,8 +99,8 @@ f AS (SELECT *, list_filter([CASE WHEN len(list_filter(urls, lambda u: {has('u',
  CASE WHEN NOT {IS['deep_web']} AND len(list_filter(urls, lambda u: NOT {has('u', O.IMAGE)})) > 0 AND {IS['read']} THEN 'url' END, CASE WHEN {IS['repo']} AND NOT {has('text', O.FILE_PATH)} AND NOT {LOG} THEN 'retrieval' END, CASE WHEN {IS['checks']} THEN 'checks' END, CASE WHEN {IS['dependency']} AND NOT {IS['release']} THEN 'dependency' END,
  CASE WHEN {IS['docs']} THEN 'docs' END, CASE WHEN {IS['release']} OR {IS['cleanup']} THEN 'cleanup' END, CASE WHEN {IS['gate']} THEN 'gate' END], lambda x: x IS NOT NULL) AS tools, list_filter([{RISK}], lambda x: x IS NOT NULL) AS risks FROM r),
 d AS (SELECT *, CASE WHEN list_contains(risks, 'ambiguous_task') AND len(tools) = 0 THEN 'ask' WHEN len(tools) > 0 THEN 'call' ELSE 'skip' END AS decision FROM f)
-SELECT conv_id, turn, array_to_string(tools, ',') AS tools, decision, array_to_string(risks, ',') AS risk_flags, CASE WHEN decision = 'skip' THEN CASE WHEN length(text) < 1200 AND len(urls) = 0 THEN 0.82 ELSE 0.68 END
- ELSE greatest(0.72, coalesce(list_max(list_transform(tools, lambda x: CASE x WHEN 'screenshot' THEN 0.96 WHEN 'trace' THEN 0.94 WHEN 'logs' THEN 0.93 WHEN 'text' THEN 0.9 WHEN 'scraper' THEN 0.9 WHEN 'checks' THEN 0.86 WHEN 'docs' THEN 0.84 WHEN 'cleanup' THEN 0.84 WHEN 'gate' THEN 0.84 ELSE 0.88 END)), 0)) END AS score FROM d"""
+SELECT conv_id, turn, array_to_string(tools, ',') AS tools, decision, array_to_string(risks, ',') AS risk_flags, CAST(CASE WHEN decision = 'skip' THEN CASE WHEN length(text) < 1200 AND len(urls) = 0 THEN 0.82 ELSE 0.68 END
+ ELSE greatest(0.72, coalesce(list_max(list_transform(tools, lambda x: CASE x WHEN 'screenshot' THEN 0.96 WHEN 'trace' THEN 0.94 WHEN 'logs' THEN 0.93 WHEN 'text' THEN 0.9 WHEN 'scraper' THEN 0.9 WHEN 'checks' THEN 0.86 WHEN 'docs' THEN 0.84 WHEN 'cleanup' THEN 0.84 WHEN 'gate' THEN 0.84 ELSE 0.88 END)), 0)) END AS DOUBLE) AS score FROM d"""
 
 
 @query("fn_route", ROUTE)

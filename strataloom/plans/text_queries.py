@@ -69,7 +69,7 @@ k AS (SELECT *, concat_ws(chr(10) || chr(10), 'Context: build/test/runtime logs'
  'Impacted files:' || chr(10) || fb, 'Suggested next checks:' || chr(10) || array_to_string(list_transform(ch, lambda x: '- ' || x), chr(10)), 'Log tail:' || chr(10) || tail) AS full_text FROM j), m AS (SELECT *, {clamp('full_text', 8000)} AS compact FROM k),
 n AS (SELECT *, {tokens('text')} AS raw_tokens, {tokens('compact')} AS compact_tokens FROM m)
 SELECT doc_id, commands, errors, stack_frames, files, root_cause, array_to_string(ch, '␟') AS checks, tail, compact, raw_tokens, compact_tokens, greatest(0, raw_tokens - compact_tokens) AS saved_tokens, {pct('raw_tokens', 'compact_tokens')} AS savings_pct,
- CASE WHEN n_errors = 0 THEN 0.08 WHEN n_errors > 14 THEN 0.05 ELSE 0.02 END AS uncertainty FROM n"""
+ CAST(CASE WHEN n_errors = 0 THEN 0.08 WHEN n_errors > 14 THEN 0.05 ELSE 0.02 END AS DOUBLE) AS uncertainty FROM n"""
 
 
 @query("prep_logs", PREP_LOGS)
