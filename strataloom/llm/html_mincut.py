@@ -41,6 +41,9 @@ OUTSIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget widgets menu menubar nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations comment comments respond reply replies disqus legal copyright pager pagination toolbar skip form search alert disclaimer teaser teasers complementary contentinfo".split()
 )
 ALWAYS_OUTSIDE = frozenset("comment comments reply replies respond disqus ad ads advert advertisement sponsored teaser related promo".split())
+OUTSIDE_STARTS = ("comment", "advert", "cookie", "sidebar", "footer", "breadcrumb", "newsletter", "sponsor", "promo", "navbar", "subscri", "pagination")
+ALWAYS_STARTS = ("comment", "advert", "sponsor", "promo")
+NOT_THIS = frozenset("no has with without".split())
 INSIDE_NAMES = frozenset("article content main post entry story body text hentry prose".split())
 PHRASE = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b|all rights reserved|advertisement\b|sponsored\b|we use cookies|this (?:web)?site uses cookies|subscribe\b|sign up\b|log ?in\b|share (?:this|on)\b|leave a (?:reply|comment)|read more\b|related (?:articles|posts))", re.I)
 
@@ -48,22 +51,26 @@ ADJACENT, NEAR = 0.8, 0.6  # edges of consecutive blocks, and of neighbours in t
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "outside", "inside", "always", "holds_main")
+    __slots__ = ("tag", "parent", "depth", "outside", "inside", "always", "holds_main", "only_header")
 
     def __init__(self, tag: str, parent: "Element | None", attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.holds_main = False
         self.outside, self.inside, self.always = tag in OUTSIDE, tag in ("article", "main"), False
+        self.only_header = tag == "header"
         if attributes and "=" in attributes or "hidden" in attributes:
             for name, value, bare in ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'")
                 if bare or name.lower() == "style":
                     self.always |= bool(bare) or "display:none" in value.replace(" ", "").lower()
                     continue
-                names = {x.lower() for x in PARTS.findall(value)}
-                self.always |= bool(names & ALWAYS_OUTSIDE)
-                self.outside |= bool(names & OUTSIDE_NAMES)
+                words = [x.lower() for x in PARTS.findall(value)]
+                names = {x for i, x in enumerate(words) if not (i and words[i - 1] in NOT_THIS)}
+                out = {x for x in names if x in OUTSIDE_NAMES or x.startswith(OUTSIDE_STARTS)}
+                self.always |= any(x in ALWAYS_OUTSIDE or x.startswith(ALWAYS_STARTS) for x in out)
+                self.only_header = (out or {"header"}) == {"header"} and (not self.outside or self.only_header) and (bool(out) or self.only_header)
+                self.outside |= bool(out)
                 self.inside |= bool(names & INSIDE_NAMES)
         if tag in ("html", "body"):
             self.outside = self.always = False
@@ -198,7 +205,7 @@ def preference(block: Block) -> float:
     while e is not None:
         if e.always:
             return score - 12.0
-        if e.outside and not e.holds_main and not (e.tag == "header" and main_above(e)):
+        if e.outside and not e.holds_main and not (e.only_header and main_above(e)):
             return score - 9.0
         if e.inside and not main:
             inside = max(inside, 4.0 if e.tag in ("article", "main") else 1.2)

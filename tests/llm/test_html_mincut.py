@@ -21,6 +21,12 @@ def test_page_without_article_is_smoothed():
     assert main_text(page) == f"{P.strip()}\nYes.\n{P.strip()}"
 
 
+def test_names_of_regions():
+    page = f'''<body><div class="content no-sidebar"><article><div class="post-header"><h1>Title</h1></div><p>{P}</p><ol class="commentlist"><li><p>{P}</p></li></ol>
+    <p class="notice">{P}</p><div class="advertBox"><p>{P}</p></div></article></div><div id="sideBar" role="complementary"><p>{P}</p></div><div class="cookiebar"><p>{P}</p></div>'''
+    assert main_text(page) == f"Title\n{P.strip()}"
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<nav><a href='x'>y</a>") == main_text("<!-- open") == main_text("<script>x") == ""
     assert main_text(f"<article><p>{P}") == P.strip()
