@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 LONGEST, END = 2048, 1
-CHUNK = 4 << 20
-MOST_CACHED = 1_500_000
+CHUNK = 2 << 20
+SLOTS = 1 << 21  # of a worker's word table, some 60 MB
 #: 0 white space, 1 letter, 2 digit, 3 other; 4 makes the word go to the tokenizer whole.
 KIND = np.full(256, 3, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -40,7 +40,7 @@ WHOLE[128:] = WHOLE[[0x27, 0x3C]] = True
 
 
 class Words:
-    """Token ids of words, kept by hash in flat arrays that grow; one per worker and tokenizer file."""
+    """Token ids of words by hash, in flat arrays of bounded size; one per worker and tokenizer file."""
 
     _all: dict[str, "Words"] = {}
 
@@ -57,23 +57,50 @@ class Words:
             cls._all[path] = cls(path)
         return cls._all[path]
 
-    def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.start, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+    def clear(self, words: int = 0) -> None:
+        self.slots = max(SLOTS, 1 << (2 * words).bit_length())  # more only for a text with more distinct words
+        self.keys, self.values = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.start, self.ids, self.used, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of known words, -1 for others, by linear probing for all at once."""
+        out, slot, open_ = np.full(len(hashes), -1, np.int64), self.home(hashes), np.arange(len(hashes))
+        while len(open_):
+            at = slot[open_]
+            held = self.keys[at]
+            hit = held == hashes[open_]
+            out[open_[hit]] = self.values[at[hit]]
+            open_ = open_[~hit & (held != 0)]
+            slot[open_] = (slot[open_] + 1) % self.slots
+        return out
+
+    def add(self, hashes: np.ndarray, first: int) -> None:
+        """Number new, distinct words from `first` on."""
+        slot, open_ = self.home(hashes), np.arange(len(hashes))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            self.keys[slot[free]] = hashes[free]
+            won = np.zeros(len(hashes), bool)
+            won[free] = self.keys[slot[free]] == hashes[free]
+            self.values[slot[won]] = first + np.flatnonzero(won)
+            open_ = open_[~won[open_]]
+            slot[open_] = (slot[open_] + 1) % self.slots
+
+    def home(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> S.U64(17)) % S.U64(self.slots)).astype(np.int64)
 
     def places(self, hashes: np.ndarray, word) -> np.ndarray:
-        """Where each word's ids are; word(i) gives its bytes."""
-        if len(self.at) + len(hashes) > MOST_CACHED:
-            self.clear()
-        keys = hashes.tolist()
-        get = self.at.get
-        found = np.array([get(k, -1) for k in keys], np.int64)
+        """Where each of the distinct words' ids are; word(i) gives its text."""
+        hashes = np.where(hashes == 0, S.U64(1), hashes)
+        if self.n + len(hashes) > self.slots * 5 // 8:
+            self.clear(len(hashes))
+        found = self.find(hashes)
         missing = np.flatnonzero(found < 0)
         for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000].tolist()
-            own = [x.ids for x in self.tokenizer.encode_batch_fast([word(j) for j in part], add_special_tokens=False)]
+            part = missing[i : i + 20_000]
+            own = [x.ids for x in self.tokenizer.encode_batch_fast([word(j) for j in part.tolist()], add_special_tokens=False)]
             sizes = np.array([len(x) for x in own], np.int64)
-            n, total = len(self.at), int(sizes.sum())
+            n, total = self.n, int(sizes.sum())
             while n + len(part) + 1 > len(self.start):
                 self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             while self.used + total > len(self.ids):
@@ -81,7 +108,8 @@ class Words:
             self.ids[self.used : self.used + total] = np.fromiter((y for x in own for y in x), np.uint32, total)
             self.start[n + 1 : n + len(part) + 1] = self.used + np.cumsum(sizes)
             self.used += total
-            self.at.update(zip((keys[j] for j in part), range(n, n + len(part))))
+            self.add(hashes[part], n)
+            self.n += len(part)
             found[part] = np.arange(n, n + len(part))
         return found
 
