@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import decontam, minhash, packing, quality_bt, suffix_dedup
 from strataloom.llm.queries import tokenizer_path
-from strataloom.llm.shared import shared_dir, table
+from strataloom.llm.shared import own_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,7 +57,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        path = f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
