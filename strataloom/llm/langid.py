@@ -93,15 +93,15 @@ def page_text(page: str | None) -> str:
 
 def evidence(model: TextModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages = batch.column("html").to_pylist()
+        for _, _, rows in S.chunks(batches, CHUNK):
+            pages = rows.column("text").to_pylist()
             data, offs = S.text_bytes(pa.array([page_text(x) for x in pages], pa.string()))
             got = model.likelihoods(data[offs[0] : offs[-1]], offs - offs[0])
             declared = [(m[1].lower() if (m := DECLARED.search(x or "")) else None) for x in pages]
             best = [model.languages[i] if len(model.languages) and row.any() else None for i, row in zip(got.argmax(1) if got.shape[1] else [0] * len(pages), got)]
             cuts = pa.array((np.arange(len(pages) + 1) * got.shape[1]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(declared, pa.string()), pa.array(best, pa.string()), pa.ListArray.from_arrays(cuts, pa.array(got.ravel()))],
+                [rows.column("page_id"), rows.column("url"), pa.array(declared, pa.string()), pa.array(best, pa.string()), pa.ListArray.from_arrays(cuts, pa.array(got.ravel()))],
                 names=["page_id", "url", "declared", "text_lang", "likelihood"],
             )
 
@@ -126,7 +126,7 @@ def _smoothed(own: Column, above: Column, strength: float) -> Column:
 def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     """page_id, url, lang, confidence, and the evidence: declared, text_lang, suffix, host."""
     languages = model.languages
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), *(F.col(c).cast("string").alias(c) for c in ("url", "html")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("text"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#:]*)", 1)), F.lit(""))
     seen = rows.mapInArrow(evidence(model), "page_id long, url string, declared string, text_lang string, likelihood array<double>").withColumn("host", host)
     seen = seen.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "declared": F.coalesce("declared", F.lit(""))})
