@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import decontam, minhash, packing, quality_bt, suffix_dedup
 from strataloom.llm.queries import tokenizer_path
-from strataloom.llm.shared import own_dir, table
+from strataloom.llm.shared import materialise, own_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,26 +21,36 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_bt.score(docs, model).filter("predicted = 1").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written down so that it holds: doc_id can be null or shared."""
+    return materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
+def by_row(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.col("row").alias("doc_id"), "text", *more)
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies."""
-    docs = docs.select(*COLUMNS)
-    gone = minhash.near_dedup(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, that of the smallest doc_id (a null one last); texts without words only go if doc_id and text are equal."""
+    docs = keyed(docs)
+    found = minhash.near_dedup(by_row(docs)).select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    alone = F.when(F.col("component").isNull(), F.struct("doc_id", "hash"))
+    groups = found.join(docs.select("row", "doc_id", F.xxhash64("text").alias("hash")), "row").groupBy("component", alone.alias("alone"))
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")).select("first.row")
+    return docs.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that occur at other places too."""
-    docs = docs.select(*COLUMNS)
-    rest = suffix_dedup.suffix_dedup(docs, with_text=True).select("doc_id", F.col("kept_text").alias("text"))
-    out = docs.drop("text", "n_chars").join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*COLUMNS)
+    docs = keyed(docs).withColumnRenamed("doc_id", "id")
+    rest = suffix_dedup.suffix_dedup(by_row(docs, "id", "lang", "source"), with_text=True, carry=["id", "lang", "source"])
+    return rest.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark has not leaked into."""
-    docs = docs.select(*COLUMNS)
-    bad = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    found = decontam.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), carry=COLUMNS[1:])
+    return found.filter("not contaminated").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def search(shard: SuffixArray, tests: Tests, window: int) -> tuple[np.ndarray, .
     return places, starts[who], np.minimum(size, window)[who], where, starts, best
 
 
-def judge(tests, window: int):
+def judge(tests, window: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Tests = tests.value
         for data, offs, rows in S.chunks(batches, CHUNK):
@@ -210,8 +210,9 @@ def judge(tests, window: int):
                 [
                     rows.column(rows.schema.get_field_index("doc_id")), pa.array(np.diff(first)), pa.array([[{"s": s, "e": e} for s, e in h] for h in hits], struct),
                     pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(longest.astype(np.int32)), pa.array(longest_item, pa.string()), pa.array(longest_at, pa.int32()),
+                    *(rows.column(c) for c in carry),
                 ],
-                names=["doc_id", "n_words", "hits", "items", "longest", "longest_item", "longest_at"],
+                names=["doc_id", "n_words", "hits", "items", "longest", "longest_item", "longest_at", *carry],
             )
 
     return run
@@ -234,29 +235,34 @@ def merged(parts: DataFrame) -> DataFrame:
     """One row per document of several blocks' rows."""
     arrays = F.array_sort(F.flatten(F.collect_list("hits")))
     return parts.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.aggregate(
+        F.max("n_words").alias("n_words"), F.aggregate(
             arrays, F.array().cast("array<struct<s:int,e:int>>"),
             lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
         ).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max(F.struct("longest", "longest_item", "longest_at")).alias("best"),
-    ).select("doc_id", "n_words", "hits", "items", "best.*")
+    ).select("row", "n_words", "hits", "items", "best.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item: str = "item_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, hits (word spans), items, contaminated, and the longest verbatim match with its item and place."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item: str = "item_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, hits (word spans), items, contaminated, and the longest verbatim match with its item and place; then the columns to carry along."""
     spark = docs.sparkSession
-    rows = S.plain(docs)
+    carry = carry or []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
     each = blocks(benchmark, item, text, block_bytes)
-    look = lambda frame, block: frame.mapInArrow(judge(spark.sparkContext.broadcast(Tests.build(block, window)), window), RESULT)
+
+    def look(frame: DataFrame, block: list[tuple], more: list[str]) -> DataFrame:
+        schema = ", ".join([RESULT, *(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in more)])
+        return frame.mapInArrow(judge(spark.sparkContext.broadcast(Tests.build(block, window)), window, more), schema)
+
     block, more = next(each), next(each, None)
     if more is None:
-        out = look(rows, block)
+        out = look(rows, block, carry)
     else:
         keyed = S.materialise(rows.withColumn("row", F.monotonically_increasing_id()))
         out = None
         for block in (block, more, *each):
-            part = look(keyed.select(F.col("row").alias("doc_id"), "text"), block).withColumnRenamed("doc_id", "row")
+            part = look(keyed.select(F.col("row").alias("doc_id"), "text"), block, []).withColumnRenamed("doc_id", "row")
             out = part if out is None else out.unionByName(part)
-        out = merged(out.join(keyed.select("row", "doc_id"), "row"))
+        out = merged(out).join(keyed.select("row", "doc_id", *carry), "row").drop("row")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]).cast("long"))
     return out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

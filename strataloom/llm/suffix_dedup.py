@@ -328,8 +328,8 @@ def cut_bytes(length: int):
     return run
 
 
-def keep_rest(with_text: bool):
-    """Rows (doc_id, text, spans): digest columns of what is left, and on demand the text."""
+def keep_rest(with_text: bool, carry: list[str]):
+    """Rows (id, text, spans and carried columns): digest columns of what is left, and on demand the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offs, rows in S.chunks(batches, 1 << 22):
@@ -349,7 +349,7 @@ def keep_rest(with_text: bool):
                 for column, value in zip(out, (len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)):
                     column.append(value)
             arrays = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([rows.column("key"), *arrays, *(rows.column(c) for c in carry)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry])
 
     return run
 
@@ -372,13 +372,17 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     return whole.unionByName(usual).unionByName(busy)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each document.
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each row, then the columns to carry along.
 
     kept_text is what is left as UTF-8; a character of which a repeat cut away only a part is dropped.
     """
+    carry = carry or []
     nowhere = -(2**63)  # stands for a null doc_id in joins
-    keyed = S.plain(docs).select(F.col("doc_id").alias("id"), F.coalesce("doc_id", F.lit(nowhere)).alias("doc_id"), F.coalesce(F.xxhash64("text").bitwiseAND(0xFFFF), F.lit(0)).cast("int").alias("v"), "text")
-    spans = repeated_spans(keyed.drop("id"), length, gram, hot).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    done = keyed.join(spans, KEY, "left").select("id", "text", "spans").mapInArrow(keep_rest(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    v = F.coalesce(F.xxhash64(text).bitwiseAND(0xFFFF), F.lit(0)).cast("int")
+    keyed = docs.select(key.alias("key"), F.coalesce(key, F.lit(nowhere)).alias("doc_id"), v.alias("v"), text.alias("text"), *carry)
+    spans = repeated_spans(keyed.select(*KEY, "text"), length, gram, hot).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    schema = ["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)]
+    done = keyed.join(spans, KEY, "left").select("key", "text", "spans", *carry).mapInArrow(keep_rest(with_text, carry), ", ".join(schema))
     return done if with_text else done.drop("kept_text")
