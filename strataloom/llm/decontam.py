@@ -9,6 +9,10 @@ there, so no match crosses documents; a long document is a shard by itself.
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
 Every word inside any occurrence of a window is hit. Word identity is by 64-bit hash.
 
+Every document gets the longest run of words that it has in common with an item: the suffixes of the block and
+of the shard are one order, and each training suffix is compared with the two test suffixes next to it. Of
+several runs of one length the first in the document counts, of several items with it the smallest item_id (as a string).
+
 Null and empty texts have no words and are never contaminated; repeated rows are judged each for itself;
 an empty benchmark leaves all clean; an empty table gives an empty result; an item_id that several rows
 share counts once; further columns are ignored.
@@ -35,12 +39,15 @@ RESULT = "doc_id long, n_words long, hits array<struct<s: int, e: int>>, items a
 
 @dataclass
 class Tests:
-    """A block of the benchmark: all items' word hashes, each item ended by 0."""
+    """A block of the benchmark: all items' word hashes, and its own suffix array."""
 
     hashes: np.ndarray
     item: np.ndarray  # of each word
     left: np.ndarray  # words from here to the item's end
     names: list[str]
+    array: "SuffixArray"
+    ordered: np.ndarray  # the words in the order of their suffixes
+    rank: np.ndarray  # place of each item's name among the sorted names, in the order of the array; behind its end a large one
 
     @staticmethod
     def build(rows: list[tuple], window: int) -> "Tests":
@@ -50,7 +57,23 @@ class Tests:
         counts = np.diff(first)
         item = np.repeat(np.arange(len(ids)), counts)
         left = np.repeat(first[1:], counts) - np.arange(len(hashes))
-        return Tests(hashes, item, left, ids)
+        array = SuffixArray(hashes, first)
+        order = array.order
+        owner = np.searchsorted(array.doc_start, order, "right") - 1
+        names = sorted(set(ids))
+        places = {name: i for i, name in enumerate(names)}
+        rank = np.append(np.array([places[i] for i in ids], np.int64)[owner], len(names))
+        words = array.text[order] > 0
+        return Tests(hashes, item, left, ids, array, (order - owner)[words], rank)
+
+    def first_names(self, words: np.ndarray, size: np.ndarray) -> list[str]:
+        """The smallest name of an item that holds the `size` words which begin at each of `words`."""
+        array, start = self.array, words + self.item[words]
+        low, high = (array.bound(array.text, start, size, upper) for upper in (False, True))
+        spans, back = np.unique(np.stack([low, high], 1), axis=0, return_inverse=True)
+        least = np.minimum.reduceat(self.rank, spans.ravel())[::2]
+        names = sorted(set(self.names))
+        return [names[i] for i in least[back.ravel()].tolist()]
 
 
 def hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +177,12 @@ class SuffixArray:
 
 
 def search(shard: SuffixArray, tests: Tests, window: int) -> tuple[np.ndarray, ...]:
-    """(place, test suffix, words) of each occurrence of a window; (place, test suffix, words) of longest matches."""
+    """(place, test suffix, words) of each occurrence of a window; for each place of the shard's text the words it has in common with a test suffix, and that suffix."""
     found = np.searchsorted(shard.vocab, tests.hashes)
-    found = np.minimum(found, max(0, len(shard.vocab) - 1))
-    words = np.where(shard.vocab[found] == tests.hashes, found + 1, -1) if len(shard.vocab) else np.full(len(tests.hashes), -1)
-    words = np.append(words, np.full(1, -1))
-    starts = np.flatnonzero(words[:-1] > 0)
+    near = np.minimum(found, max(0, len(shard.vocab) - 1))
+    known = shard.vocab[near] == tests.hashes if len(shard.vocab) else np.zeros(len(tests.hashes), bool)
+    words = np.append(np.where(known, found + 1.0, found + 0.5), -1.0)  # other words lie between two ranks, so that the order stays that of the hashes
+    starts = np.flatnonzero(known)
     size = tests.left[starts]
     low = shard.bound(words, starts, np.minimum(size, window), False)
     high = shard.bound(words, starts, np.minimum(size, window), True)
@@ -168,14 +191,20 @@ def search(shard: SuffixArray, tests: Tests, window: int) -> tuple[np.ndarray, .
     times = np.where(full, high - low, 0)
     who = np.repeat(np.arange(len(starts)), times)
     places = shard.order[np.repeat(low, times) + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)]
-    # the longest match of a suffix is with a neighbour of its own place in the order
-    at = shard.bound(words, starts, size, False)
-    best, where = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    for side in (np.maximum(at - 1, 0), np.minimum(at, shard.n - 1)):
-        length = shard.agree(words, starts, size, shard.order[side])
-        better = length > best
-        best[better], where[better] = length[better], shard.order[side[better]]
-    return places, starts[who], np.minimum(size, window)[who], where, starts, best
+    # the longest match of a training suffix is with one of the two test suffixes around it in the common order
+    best, mate = np.zeros(shard.n, np.int64), np.zeros(shard.n, np.int64)
+    ordered = tests.ordered[known[tests.ordered]]
+    if len(ordered):
+        at = shard.bound(words, ordered, tests.left[ordered], False)
+        live = np.flatnonzero(shard.text[shard.order] > 0)
+        after = np.searchsorted(at, live, "right")
+        for side in (after - 1, after):
+            fits = (side >= 0) & (side < len(ordered))
+            place, suffix = shard.order[live[fits]], ordered[side[fits]]
+            length = shard.agree(words, suffix, tests.left[suffix], place)
+            better = length > best[place]
+            best[place[better]], mate[place[better]] = length[better], suffix[better]
+    return places, starts[who], np.minimum(size, window)[who], best, mate
 
 
 def judge(tests, window: int, carry: list[str]):
@@ -189,7 +218,7 @@ def judge(tests, window: int, carry: list[str]):
             longest, longest_item, longest_at = np.zeros(n_docs, np.int64), [None] * n_docs, [None] * n_docs
             if len(hashes) and len(block.hashes):
                 shard = SuffixArray(hashes, first)
-                places, suffix, size, where, starts, best = search(shard, block, window)
+                places, suffix, size, best, mate = search(shard, block, window)
                 doc = np.searchsorted(shard.doc_start, places, "right") - 1
                 inner = places - shard.doc_start[doc]
                 order = np.lexsort((inner, doc))
@@ -201,10 +230,12 @@ def judge(tests, window: int, carry: list[str]):
                 pairs = np.unique(np.stack([doc, block.item[suffix]], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
                 for d, i in pairs.tolist():
                     items[d].append(block.names[i])
-                got = best > 0
-                for d, at, s, b in zip((np.searchsorted(shard.doc_start, where[got], "right") - 1).tolist(), where[got].tolist(), starts[got].tolist(), best[got].tolist()):
-                    if b > longest[d]:
-                        longest[d], longest_item[d], longest_at[d] = b, block.names[block.item[s]], at - int(shard.doc_start[d])
+                longest = np.maximum.reduceat(best, shard.doc_start)
+                top = np.flatnonzero((best > 0) & (best == np.repeat(longest, np.diff(np.append(shard.doc_start, shard.n)))))
+                owner, one = np.unique(np.searchsorted(shard.doc_start, top, "right") - 1, return_index=True)
+                at = top[one]
+                for d, p, name in zip(owner.tolist(), (at - shard.doc_start[owner]).tolist(), block.first_names(mate[at], best[at]) if len(at) else []):
+                    longest_item[d], longest_at[d] = name, p
             struct = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -238,8 +269,8 @@ def merged(parts: DataFrame) -> DataFrame:
         F.max("n_words").alias("n_words"), F.aggregate(
             arrays, F.array().cast("array<struct<s:int,e:int>>"),
             lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
-        ).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max(F.struct("longest", "longest_item", "longest_at")).alias("best"),
-    ).select("row", "n_words", "hits", "items", "best.*")
+        ).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min(F.struct((-F.col("longest")).alias("less"), "longest_at", "longest_item")).alias("best"),
+    ).select("row", "n_words", "hits", "items", (-F.col("best.less")).alias("longest"), "best.longest_item", "best.longest_at")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item: str = "item_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:

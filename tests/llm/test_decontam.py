@@ -35,6 +35,41 @@ def test_longest_match(spark):
     assert (row.longest, row.longest_item, row.longest_at, row.n_hit) == (4, "7", 3, 0)
 
 
+def longest(docs, items):
+    """Longest common run of words, its first place and the smallest item with it, in plain Python."""
+    import re
+
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    runs: dict[tuple, str] = {}
+    for i, t in items:
+        w = split(t)
+        for s in range(len(w)):
+            for e in range(s + 1, len(w) + 1):
+                runs[tuple(w[s:e])] = min(str(i), runs.get(tuple(w[s:e]), str(i)))
+    out = []
+    for i, t in docs:
+        w, best = split(t), (0, None, None)
+        for s in range(len(w)):
+            n = best[0]
+            while s + n < len(w) and tuple(w[s : s + n + 1]) in runs:
+                n += 1
+            if n > best[0]:
+                best = (n, runs[tuple(w[s : s + n])], s)
+        out.append((i, *best))
+    return out
+
+
+@pytest.mark.parametrize("seed,block,parts", [(1, 1 << 20, 1), (2, 1 << 20, 5), (4, 300, 2)])
+def test_longest_match_of_documents_that_share_passages(spark, seed, block, parts):
+    docs, items = made(seed)
+    docs += [(100 + i, f"w{i} {items[3][1]} v{i}") for i in range(20)] + [(200 + i, "unseen words") for i in range(3)]
+    items += [(30, items[3][1]), (8, f"{items[3][1]} more")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate(d, b, window=5, block_bytes=block).select("doc_id", "longest", "longest_item", "longest_at").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, longest(docs, items)))
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
