@@ -2,8 +2,9 @@
 
 One map over the texts measures each document. The measures of documents that pass the base rule feed KLL
 sketches, one a (lang, source) group and measure: partially aggregated, so a group that holds a third of all
-rows is one sketch per task before the shuffle. From a group's quantiles come its limits: the median and the
-distance to an outer quantile, stretched by `reach`, and never tighter than a fixed margin around the median.
+rows is one sketch per task before the shuffle. From a group's quantiles come its limits: `reach` times the
+distance between its quartiles around the median, and never tighter than a fixed margin, so that odd rows do not
+move the limits before they are a quarter of their group.
 The limits, a row a group, are joined back. Documents without a limit (group without usable rows) are kept if
 the base rule keeps them.
 
@@ -26,10 +27,10 @@ from . import shared as S
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; per cent of the words in repeated 3-word windows
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 CHUNK = 1 << 21
-#: measure -> (outer quantile low, outer quantile high, smallest margin); a low of None: no lower limit.
-MEASURES = {"word_length": (0.02, 0.98, 1.5), "symbol_share": (None, 0.9, 0.2), "line_share": (None, 0.98, 0.3), "repeat_share": (None, 0.98, 0.3)}
+#: measure -> (has a lower limit, smallest margin). line_share: repeated lines of the lines with a word; the other shares are of words.
+MEASURES = {"word_length": (True, 1.5), "symbol_share": (False, 0.2), "line_share": (False, 0.3), "repeat_share": (False, 0.3)}
 REACH, SKETCH_K = 3.0, 200
-SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
 def repeats(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -45,17 +46,17 @@ def repeats(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def measured(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each document."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word) of each document."""
     n_docs = len(offs) - 1
     starts, ends, first = S.words(data, offs, S.NOT_SPACE)
     zero = np.zeros(n_docs, np.int64)
     if not len(data):
-        return [zero] * 5
+        return [zero] * 6
     before = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     symbols = before(SYMBOLS[data])
     symbols = symbols[offs[1:]] - symbols[offs[:-1]]
     if not len(starts):
-        return [zero, zero, symbols, zero, zero]
+        return [zero, zero, symbols, zero, zero, zero]
     points = before((data & 0xC0) != 0x80)
     chars = before(points[ends] - points[starts])
     chars = chars[first[1:]] - chars[first[:-1]]
@@ -84,13 +85,13 @@ def measured(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     for i in range(3):
         marked[twice + i] = True
     marks = before(marked)
-    return [counts, chars, symbols, dup_lines, marks[first[1:]] - marks[first[:-1]]]
+    return [counts, chars, symbols, dup_lines, marks[first[1:]] - marks[first[:-1]], np.bincount(line_doc, minlength=n_docs)]
 
 
 def measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "lang", "source"]
     for data, offs, rows in S.chunks(batches, CHUNK):
-        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *(pa.array(x.astype(np.int64)) for x in measured(data, offs))], names=[*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *(pa.array(x.astype(np.int64)) for x in measured(data, offs))], names=[*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def shares() -> dict:
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    lines = F.col("n_dup_lines") / words
+    lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
     return {"word_length": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / words, "line_share": lines, "repeat_share": F.col("n_repeat_words") / words}
 
 
@@ -120,10 +121,10 @@ def limits(sketched: DataFrame, reach: float = REACH) -> DataFrame:
     """lang, source and the low and high limit of each measure."""
     out = []
     at = lambda name, q: F.kll_sketch_get_quantile_double(F.col(name), F.lit(q))
-    for name, (low, high, margin) in MEASURES.items():
-        middle = at(name, 0.5)
-        out.append((middle + F.greatest(F.lit(margin), reach * (at(name, high) - middle))).alias(f"{name}_high"))
-        out.append((middle - F.greatest(F.lit(margin), reach * (middle - at(name, low))) if low else F.lit(None).cast("double")).alias(f"{name}_low"))
+    for name, (both, margin) in MEASURES.items():
+        middle, width = at(name, 0.5), F.greatest(F.lit(margin), reach * (at(name, 0.75) - at(name, 0.25)))
+        out.append((middle + width).alias(f"{name}_high"))
+        out.append((middle - width if both else F.lit(None).cast("double")).alias(f"{name}_low"))
     return sketched.select("lang", "source", *out)
 
 

@@ -78,6 +78,20 @@ def test_thresholds_adapt_to_the_group(spark):
     assert sum(got[i] for i in range(100)) == 100 and sum(got[200 + i] for i in range(100)) == 100
 
 
+def test_repetition_is_rejected_below_the_base_rule(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+    line = lambda n: " ".join(words(n))
+    rows = [(i, "\n".join(line(15) for _ in range(10))) for i in range(100)]
+    again = [line(3) for _ in range(4)]
+    rows += [(200 + i, "\n".join([*(line(15) for _ in range(10)), *[again[i]] * (7 + i)])) for i in range(4)]  # 35 to 47 per cent repeated lines
+    rows += [(300 + i, " ".join(words(45 + i) + words(10) * 4)) for i in range(6)]  # 42 to 48 per cent repeated words
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in R.quality_rules(docs).collect()}
+    assert not any(failed for failed, _ in got.values())
+    assert {i for i, (_, kept) in got.items() if kept} == set(range(100))
+
+
 def test_sketches_merge(spark):
     rows = [(i, " ".join("ab" * (1 + i % 5) + str(i) + str(j) for j in range(60)), "en", "s") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
