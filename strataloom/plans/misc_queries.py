@@ -144,3 +144,20 @@ def src_lockfile(t):
     k = F.col("p_partkey")
     raw = F.concat(F.lit('{"packages": {"": {}, "node_modules/b": {"version": "2.0"}, "node_modules/a": {"version": "1.'), (k % 3).cast("string"), F.lit('", "dev": '), (k % 2 == 0).cast("string"), F.lit("}}}"))
     return t("part").filter(k <= 50).select(k.alias("report"), F.explode(IN.lockfile(raw)).alias("p")).select("report", "p.name", "p.version", "p.dev")
+
+
+# Whole lines and all parts; without SQL, as the SQL of win_slug_dedup and src_lockfile is of a part.
+
+
+@query("win_slug_dedup_whole")
+def win_slug_dedup_whole(t):
+    h = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("line"), T.github_slug(F.trim("x")).alias("slug"))
+    n = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("line")) - 1
+    return h.select("doc_id", "line", F.when(n == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), n.cast("string"))).alias("slug"))
+
+
+@query("src_lockfile_whole")
+def src_lockfile_whole(t):
+    k = F.col("p_partkey")
+    raw = F.concat(F.lit('{"packages": {"": {}, "node_modules/b": {"version": "2.0"}, "node_modules/a": {"version": "1.'), (k % 3).cast("string"), F.lit('", "dev": '), (k % 2 == 0).cast("string"), F.lit("}}}"))
+    return t("part").select(k.alias("report"), F.explode(IN.lockfile(raw)).alias("p")).select("report", "p.name", "p.version", "p.dev")

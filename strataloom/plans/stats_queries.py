@@ -144,6 +144,23 @@ def join_refs_tokens(t):
     return G.references(k, k.filter("line = 1 and path % 10 = 0").select(F.col("token").alias("symbol"), "path", "line"))
 
 
+# Whole texts; without SQL, as the SQL of the queries above is of their beginnings.
+
+
+@query("join_doc_links_whole")
+def join_doc_links_whole(t):
+    links = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), 1)).alias("target"))
+    files = t("documents").select(F.explode(F.split("text", " ")).alias("path"))
+    return G.broken_links(links, files).groupBy("page_id", "target").agg(F.count("*").alias("n"))
+
+
+@query("join_refs_tokens_whole")
+def join_refs_tokens_whole(t):
+    """The first token of every document is a symbol; its uses in all texts."""
+    k = t("documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", " ")).alias("pos", "token")).select("path", (F.col("pos") + 1).alias("line"), "token")
+    return G.references(k, k.filter("line = 1").select(F.col("token").alias("symbol"), "path", "line"))
+
+
 # --- traces -----------------------------------------------------------------------------------
 
 MS = "CAST(epoch_us(ts) // 1000 AS BIGINT)"
