@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +37,32 @@ GENERATED_PARTS = ("dist", "coverage", "node_modules", ".artifacts", ".cache")
 ASCII_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """A case-insensitive search, letters of any alphabet, word edges in ASCII."""
-    return text.rlike("(?iu)" + pattern.replace(r"\b", ASCII_EDGE))
+def alternatives(pattern: str) -> tuple[list[str], str]:
+    """The plain words among a pattern's outermost alternatives, lower-cased, and a pattern of the others."""
+    if re.fullmatch(r"\((?!\?)[^()]*\)", pattern):
+        pattern = pattern[1:-1]
+    parts, depth, at = [], 0, 0
+    for m in re.finditer(r"\\.|\[(?:\\.|[^\]\\])*\]|[()|]", pattern):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if m[0] == "|" and not depth:
+            parts.append(pattern[at : m.start()])
+            at = m.end()
+    parts.append(pattern[at:])
+    plain = [x.lower() for x in parts if re.fullmatch(r"[^\\.^$*+?()\[\]{}|]+", x)]
+    return plain, "|".join(x for x in parts if x.lower() not in plain)
+
+
+def matches(text: Column, pattern: str, lowered: Column | None = None) -> Column:
+    """A case-insensitive search, letters of any alphabet, word edges in ASCII.
+
+    Plain words are sought in the lower-cased text (`lowered`, if the caller has it), which is much faster than an alternation.
+    """
+    plain, rest = ([], pattern) if pattern.startswith("(?") else alternatives(pattern)
+    low = F.lower(text) if lowered is None else lowered
+    found = [low.contains(x) for x in plain]
+    if rest:
+        found.append(text.rlike("(?iu)" + rest.replace(r"\b", ASCII_EDGE)))
+    return reduce(lambda a, b: a | b, found)
 
 
 def is_sensitive_path(path: Column) -> Column:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,3 +27,13 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.join("strataloom", os.path.relpath(path, root)))
     sc.addPyFile(archive)
     sc._strataloom_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, with its rows dealt out to all cores if its scan has fewer splits than the cluster has cores.
+
+    For heavy work on each row: a small table is often one row group, which only one task reads. A large one
+    has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
