@@ -1,13 +1,17 @@
 """Benchmark decontamination: suffix arrays over the training documents, searched for every test suffix.
 
 How it scales. Each task builds word suffix arrays over shards of a few megabytes of its own documents and
-binary-searches them for all suffixes of the benchmark, which is broadcast in blocks of at most
-`block_bytes` (a benchmark of any size is handled block by block, so the broadcast size is bounded). No
-document is shuffled unless there are several blocks. Shards end at document ends, and a suffix stops
-there, so no match crosses documents; a long document is a shard by itself.
+binary-searches each for all suffixes of the benchmark, block by block: a block is at most `block_bytes` of
+text, prepared on the driver one at a time and handed to the executors as a file, of which a worker holds one.
+So memory is bounded by a block and a shard whatever the benchmark's size, a shard is sorted once for all
+blocks, and no document is shuffled. Shards end at document ends, and a suffix stops there, so no match crosses
+documents; a long document is a shard by itself.
+
+Windows that several items share are one window with a list of items, so the places found in a shard are at
+most its words times the number of different window lengths, however often a passage occurs on either side.
 
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
-Every word inside any occurrence of a window is hit. Word identity is by 64-bit hash.
+Every word inside any occurrence of a window is hit. Word identity is by a 61-bit hash.
 
 Every document gets the longest run of words that it has in common with an item: the suffixes of the block and
 of the shard are one order, and each training suffix is compared with the two test suffixes next to it. Of
@@ -21,12 +25,16 @@ share counts once; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
+import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared as S
@@ -34,20 +42,25 @@ from . import shared as S
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
 CHUNK = 3 << 20
+MOST_ITEMS = 1 << 18  # item names in a batch that goes back to Spark
 RESULT = "doc_id long, n_words long, hits array<struct<s: int, e: int>>, items array<string>, longest int, longest_item string, longest_at int"
 
 
 @dataclass
 class Tests:
-    """A block of the benchmark: all items' word hashes, and its own suffix array."""
+    """A block of the benchmark: all items' word hashes, their suffix array, and the different windows with their items."""
 
     hashes: np.ndarray
     item: np.ndarray  # of each word
     left: np.ndarray  # words from here to the item's end
-    names: list[str]
+    names: np.ndarray  # the different item ids, sorted
     array: "SuffixArray"
     ordered: np.ndarray  # the words in the order of their suffixes
-    rank: np.ndarray  # place of each item's name among the sorted names, in the order of the array; behind its end a large one
+    rank: np.ndarray  # place of each item's name, in the order of the array; behind its end a large one
+    windows: np.ndarray  # a word at which each window begins
+    sizes: np.ndarray
+    owners: np.ndarray  # places of the names of the windows' items, one window behind the other
+    first: np.ndarray  # where each window's begin
 
     @staticmethod
     def build(rows: list[tuple], window: int) -> "Tests":
@@ -58,13 +71,20 @@ class Tests:
         item = np.repeat(np.arange(len(ids)), counts)
         left = np.repeat(first[1:], counts) - np.arange(len(hashes))
         array = SuffixArray(hashes, first)
-        order = array.order
-        owner = np.searchsorted(array.doc_start, order, "right") - 1
+        owner = np.searchsorted(array.doc_start, array.order, "right") - 1
         names = sorted(set(ids))
         places = {name: i for i, name in enumerate(names)}
-        rank = np.append(np.array([places[i] for i in ids], np.int64)[owner], len(names))
-        words = array.text[order] > 0
-        return Tests(hashes, item, left, ids, array, (order - owner)[words], rank)
+        name = np.array([places[i] for i in ids], np.int64)
+        words = array.text[array.order] > 0
+        starts = np.flatnonzero((left >= window) | (left == counts[item]))
+        size = np.minimum(left[starts], window)
+        low = array.bound(array.text, starts + item[starts], size, False)
+        kinds, one, kind = np.unique(np.stack([low, size], 1), axis=0, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([kind.ravel(), name[item[starts]]], 1), axis=0)
+        return Tests(
+            hashes, item, left, np.array(names, object), array, (array.order - owner)[words], np.append(name[owner], len(names)),
+            starts[one], size[one], pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(kinds) + 1)),
+        )
 
     def first_names(self, words: np.ndarray, size: np.ndarray) -> list[str]:
         """The smallest name of an item that holds the `size` words which begin at each of `words`."""
@@ -72,8 +92,11 @@ class Tests:
         low, high = (array.bound(array.text, start, size, upper) for upper in (False, True))
         spans, back = np.unique(np.stack([low, high], 1), axis=0, return_inverse=True)
         least = np.minimum.reduceat(self.rank, spans.ravel())[::2]
-        names = sorted(set(self.names))
-        return [names[i] for i in least[back.ravel()].tolist()]
+        return self.names[least[back.ravel()]].tolist()
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """The items of some windows, sorted."""
+        return self.names[np.unique(np.concatenate([self.owners[self.first[w] : self.first[w + 1]] for w in windows.tolist()]))].tolist()
 
 
 def hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,19 +199,16 @@ class SuffixArray:
         return out
 
 
-def search(shard: SuffixArray, tests: Tests, window: int) -> tuple[np.ndarray, ...]:
-    """(place, test suffix, words) of each occurrence of a window; for each place of the shard's text the words it has in common with a test suffix, and that suffix."""
+def search(shard: SuffixArray, tests: Tests) -> tuple[np.ndarray, ...]:
+    """(place, window) of each occurrence; for each place of the shard's text the words it has in common with a test suffix, and that suffix."""
     found = np.searchsorted(shard.vocab, tests.hashes)
     near = np.minimum(found, max(0, len(shard.vocab) - 1))
     known = shard.vocab[near] == tests.hashes if len(shard.vocab) else np.zeros(len(tests.hashes), bool)
     words = np.append(np.where(known, found + 1.0, found + 0.5), -1.0)  # other words lie between two ranks, so that the order stays that of the hashes
-    starts = np.flatnonzero(known)
-    size = tests.left[starts]
-    low = shard.bound(words, starts, np.minimum(size, window), False)
-    high = shard.bound(words, starts, np.minimum(size, window), True)
-    whole = np.bincount(tests.item, minlength=1)[tests.item[starts]] if len(starts) else size
-    full = (size >= window) | (size == whole)
-    times = np.where(full, high - low, 0)
+    windows = np.flatnonzero(known[tests.windows])
+    starts, size = tests.windows[windows], tests.sizes[windows]
+    low, high = (shard.bound(words, starts, size, upper) for upper in (False, True))
+    times = high - low
     who = np.repeat(np.arange(len(starts)), times)
     places = shard.order[np.repeat(low, times) + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)]
     # the longest match of a training suffix is with one of the two test suffixes around it in the common order
@@ -204,47 +224,95 @@ def search(shard: SuffixArray, tests: Tests, window: int) -> tuple[np.ndarray, .
             length = shard.agree(words, suffix, tests.left[suffix], place)
             better = length > best[place]
             best[place[better]], mate[place[better]] = length[better], suffix[better]
-    return places, starts[who], np.minimum(size, window)[who], best, mate
+    return places, windows[who], best, mate
+
+
+_HELD: dict[str, Tests] = {}
+
+
+def held(name: str) -> Tests:
+    """A block from its file; a worker keeps the last one."""
+    if name not in _HELD:
+        from pyspark import SparkFiles
+
+        with open(SparkFiles.get(name), "rb") as f:
+            tests = pickle.load(f)
+        _HELD.clear()
+        _HELD[name] = tests
+    return _HELD[name]
+
+
+class Found:
+    """What the blocks of a benchmark have in common with the documents of a shard."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        self.n_docs = len(first) - 1
+        self.shard = SuffixArray(hashes, first) if len(hashes) else None
+        self.marks = np.zeros(self.shard.n + 1 if self.shard else 1, np.int64)
+        self.items: list[list[str]] = [[] for _ in range(self.n_docs)]
+        self.longest: list[tuple] = [(0, None, None)] * self.n_docs  # words, place, item
+
+    def add(self, block: Tests) -> None:
+        shard = self.shard
+        if shard is None or not len(block.hashes):
+            return
+        places, window, best, mate = search(shard, block)
+        size = len(self.marks)
+        self.marks += np.bincount(places, minlength=size) - np.bincount(places + block.sizes[window], minlength=size)
+        doc = np.searchsorted(shard.doc_start, places, "right") - 1
+        pairs = np.unique(doc * len(block.windows) + window)
+        doc, window = np.divmod(pairs, max(1, len(block.windows)))
+        known: dict[bytes, list[str]] = {}  # copies have the same windows
+        cuts = np.flatnonzero(np.diff(doc, prepend=-1, append=self.n_docs))
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            key = window[s:e].tobytes()
+            if key not in known:
+                known[key] = block.items_of(window[s:e])
+            d = int(doc[s])
+            self.items[d] = sorted({*self.items[d], *known[key]}) if self.items[d] else known[key]
+        longest = np.maximum.reduceat(best, shard.doc_start)
+        top = np.flatnonzero((best > 0) & (best == np.repeat(longest, np.diff(np.append(shard.doc_start, shard.n)))))
+        owner, one = np.unique(np.searchsorted(shard.doc_start, top, "right") - 1, return_index=True)
+        at = top[one]
+        for d, p, name in zip(owner.tolist(), (at - shard.doc_start[owner]).tolist(), block.first_names(mate[at], best[at]) if len(at) else []):
+            n, place, other = self.longest[d]
+            if (-int(longest[d]), p, name) < (-n, p if place is None else place, name if other is None else other):
+                self.longest[d] = (int(longest[d]), p, name)
+
+    def hits(self) -> list[list[dict]]:
+        """Word spans of each document."""
+        out: list[list[dict]] = [[] for _ in range(self.n_docs)]
+        if self.shard is not None:
+            inside = np.cumsum(self.marks) > 0
+            edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+            s, e = edges[::2], edges[1::2]
+            doc = np.searchsorted(self.shard.doc_start, s, "right") - 1
+            base = self.shard.doc_start[doc]
+            for d, x, y in zip(doc.tolist(), (s - base).tolist(), (e - base).tolist()):
+                out[d].append({"s": x, "e": y})
+        return out
 
 
-def judge(tests, window: int, carry: list[str]):
+def judge(names: list[str], carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Tests = tests.value
         for data, offs, rows in S.chunks(batches, CHUNK):
             hashes, first = hashed_words(data, offs)
-            n_docs = len(offs) - 1
-            hits: list[list] = [[] for _ in range(n_docs)]
-            items: list[list] = [[] for _ in range(n_docs)]
-            longest, longest_item, longest_at = np.zeros(n_docs, np.int64), [None] * n_docs, [None] * n_docs
-            if len(hashes) and len(block.hashes):
-                shard = SuffixArray(hashes, first)
-                places, suffix, size, best, mate = search(shard, block, window)
-                doc = np.searchsorted(shard.doc_start, places, "right") - 1
-                inner = places - shard.doc_start[doc]
-                order = np.lexsort((inner, doc))
-                for d, s, e in zip(doc[order].tolist(), inner[order].tolist(), (inner + size)[order].tolist()):
-                    if hits[d] and s <= hits[d][-1][1]:
-                        hits[d][-1][1] = max(hits[d][-1][1], e)
-                    else:
-                        hits[d].append([s, e])
-                pairs = np.unique(np.stack([doc, block.item[suffix]], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-                for d, i in pairs.tolist():
-                    items[d].append(block.names[i])
-                longest = np.maximum.reduceat(best, shard.doc_start)
-                top = np.flatnonzero((best > 0) & (best == np.repeat(longest, np.diff(np.append(shard.doc_start, shard.n)))))
-                owner, one = np.unique(np.searchsorted(shard.doc_start, top, "right") - 1, return_index=True)
-                at = top[one]
-                for d, p, name in zip(owner.tolist(), (at - shard.doc_start[owner]).tolist(), block.first_names(mate[at], best[at]) if len(at) else []):
-                    longest_item[d], longest_at[d] = name, p
-            struct = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(rows.schema.get_field_index("doc_id")), pa.array(np.diff(first)), pa.array([[{"s": s, "e": e} for s, e in h] for h in hits], struct),
-                    pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(longest.astype(np.int32)), pa.array(longest_item, pa.string()), pa.array(longest_at, pa.int32()),
-                    *(rows.column(c) for c in carry),
-                ],
-                names=["doc_id", "n_words", "hits", "items", "longest", "longest_item", "longest_at", *carry],
-            )
+            found = Found(hashes, first)
+            for name in names:
+                found.add(held(name))
+            hits, total = found.hits(), np.cumsum([0, *map(len, found.items)])
+            struct, at, n = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), 0, rows.num_rows
+            while at < n:  # in batches of a bounded number of items, or one document
+                to = min(n, max(at + 1, int(np.searchsorted(total, total[at] + MOST_ITEMS, "right")) - 1))
+                longest, own = found.longest[at:to], rows.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column(own.schema.get_field_index("doc_id")), pa.array(np.diff(first)[at:to]), pa.array(hits[at:to], struct), pa.array(found.items[at:to], pa.list_(pa.string())),
+                        pa.array([x[0] for x in longest], pa.int32()), pa.array([x[2] for x in longest], pa.string()), pa.array([x[1] for x in longest], pa.int32()), *(own.column(c) for c in carry),
+                    ],
+                    names=["doc_id", "n_words", "hits", "items", "longest", "longest_item", "longest_at", *carry],
+                )
+                at = to
 
     return run
 
@@ -262,38 +330,22 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iter
     yield held
 
 
-def merged(parts: DataFrame) -> DataFrame:
-    """One row per document of several blocks' rows."""
-    arrays = F.array_sort(F.flatten(F.collect_list("hits")))
-    return parts.groupBy("row").agg(
-        F.max("n_words").alias("n_words"), F.aggregate(
-            arrays, F.array().cast("array<struct<s:int,e:int>>"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
-        ).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min(F.struct((-F.col("longest")).alias("less"), "longest_at", "longest_item")).alias("best"),
-    ).select("row", "n_words", "hits", "items", (-F.col("best.less")).alias("longest"), "best.longest_item", "best.longest_at")
+def sent(spark: SparkSession, tests: Tests) -> str:
+    """The name under which the executors find the block; Spark's file server hands it out."""
+    name = f"strataloom-tests-{uuid.uuid4().hex}"
+    with open(os.path.join(tempfile.mkdtemp(prefix="spark-"), name), "wb") as f:
+        pickle.dump(tests, f, protocol=5)
+    spark.sparkContext.addFile(f.name)
+    return name
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item: str = "item_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, hits (word spans), items, contaminated, and the longest verbatim match with its item and place; then the columns to carry along."""
-    spark = docs.sparkSession
     carry = carry or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
-    each = blocks(benchmark, item, text, block_bytes)
-
-    def look(frame: DataFrame, block: list[tuple], more: list[str]) -> DataFrame:
-        schema = ", ".join([RESULT, *(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in more)])
-        return frame.mapInArrow(judge(spark.sparkContext.broadcast(Tests.build(block, window)), window, more), schema)
-
-    block, more = next(each), next(each, None)
-    if more is None:
-        out = look(rows, block, carry)
-    else:
-        keyed = S.materialise(rows.withColumn("row", F.monotonically_increasing_id()))
-        out = None
-        for block in (block, more, *each):
-            part = look(keyed.select(F.col("row").alias("doc_id"), "text"), block, []).withColumnRenamed("doc_id", "row")
-            out = part if out is None else out.unionByName(part)
-        out = merged(out).join(keyed.select("row", "doc_id", *carry), "row").drop("row")
+    names = [sent(docs.sparkSession, Tests.build(block, window)) for block in blocks(benchmark, item, text, block_bytes)]
+    schema = ", ".join([RESULT, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)])
+    out = rows.mapInArrow(judge(names, carry), schema)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]).cast("long"))
     return out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

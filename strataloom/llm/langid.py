@@ -26,10 +26,13 @@ from . import shared as S
 
 BUCKETS = 4096
 CHUNK = 1 << 20
-TEXT_WEIGHT = 40.0  # a text counts as so many independent trigrams at most
-MOST_LANGUAGES = 256
-TAGS = re.compile(r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
-DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+#: A text counts as so many independent trigrams at most: neighbouring trigrams of a long text are far from independent,
+#: and without a bound the text alone would decide each page, whatever its markup and host say. A parameter of train().
+TEXT_WEIGHT = 40.0
+MARKUP = re.compile(r"<(script|style|head)\b|<!--|<[^>]*>|&#?\w+;", re.I | re.A)
+CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.I | re.A) for tag in ("script", "style", "head")}
+DECLARED = re.compile(r"<html\b[^>]*", re.I | re.A)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([a-z]{2,3})", re.I | re.A)
 
 
 def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +62,10 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class TextModel:
-    """Log probabilities of buckets; languages by name. At most MOST_LANGUAGES x BUCKETS numbers."""
+    """Log probabilities of buckets; languages by name. BUCKETS numbers a language."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, text_weight: float = TEXT_WEIGHT):
+        self.text_weight = text_weight
         self.languages = sorted({r[0] for r in rows})
         counts = np.zeros((len(self.languages), BUCKETS))
         at = {x: i for i, x in enumerate(self.languages)}
@@ -71,24 +75,47 @@ class TextModel:
         self.log = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
 
     def likelihoods(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Log likelihood of each text, one column a language, of at most TEXT_WEIGHT trigrams' weight."""
+        """Log likelihood of each text, one column a language, of at most text_weight trigrams' weight."""
         bucket, doc = trigrams(data, offs)
         n = len(offs) - 1
         size = np.bincount(doc, minlength=n)
         total = np.stack([np.bincount(doc, row[bucket], minlength=n) for row in self.log], 1) if len(self.languages) else np.zeros((n, 0))
-        return total * (np.minimum(size, TEXT_WEIGHT) / np.maximum(size, 1))[:, None]
+        return total * (np.minimum(size, self.text_weight) / np.maximum(size, 1))[:, None]
 
 
-def train(docs: DataFrame) -> TextModel:
-    """Trigram counts over all documents that have a language; most common MOST_LANGUAGES languages."""
+def train(docs: DataFrame, text_weight: float = TEXT_WEIGHT) -> TextModel:
+    """Trigram counts over all documents that have a language, of every language: BUCKETS rows a language on the driver, however many documents."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    counts = S.materialise(rows.mapInArrow(count_buckets, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    common = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MOST_LANGUAGES)
-    return TextModel([tuple(r) for r in counts.join(F.broadcast(common), "lang").select("lang", "bucket", "n").collect()])
+    counts = rows.mapInArrow(count_buckets, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return TextModel([tuple(r) for r in counts.collect()], text_weight)
 
 
 def page_text(page: str | None) -> str:
-    return TAGS.sub(" ", page or "")
+    """The page without tags, comments, character references, scripts, styles and its head; linear in its length."""
+    page = page or ""
+    out, at, last, no_end = [], 0, page.rfind(">"), set()
+    most = max(last, page.rfind("&"))
+    for found in iter(lambda: MARKUP.search(page, at) if at <= most else None, None):
+        out.append(page[at : found.start()])
+        at = found.end()
+        tag = (found[1] or "").lower()
+        if tag and tag not in no_end:
+            end = CLOSING[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            no_end.add(tag)
+        if tag or found[0] == "<!--":
+            end = page.find(">" if tag else "-->", at) if at <= last else -1
+            at = at if end < 0 else end + (1 if tag else 3)
+    out.append(page[at:])
+    return " ".join(out)
+
+
+def declared_language(page: str | None) -> str | None:
+    html = DECLARED.search(page or "")
+    found = LANG.search(html[0]) if html else None
+    return found[1].lower() if found else None
 
 
 def evidence(model: TextModel):
@@ -97,7 +124,7 @@ def evidence(model: TextModel):
             pages = rows.column("text").to_pylist()
             data, offs = S.text_bytes(pa.array([page_text(x) for x in pages], pa.string()))
             got = model.likelihoods(data[offs[0] : offs[-1]], offs - offs[0])
-            declared = [(m[1].lower() if (m := DECLARED.search(x or "")) else None) for x in pages]
+            declared = [declared_language(x) for x in pages]
             best = [model.languages[i] if len(model.languages) and row.any() else None for i, row in zip(got.argmax(1) if got.shape[1] else [0] * len(pages), got)]
             cuts = pa.array((np.arange(len(pages) + 1) * got.shape[1]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -118,6 +145,11 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _smoothed(own: Column, above: Column, strength: float) -> Column:
     """Dirichlet smoothing of counts by the level above."""
     return F.transform(own, lambda x, i: (x + strength * F.element_at(above, i + 1)) / (_total(own) + strength))
@@ -139,13 +171,16 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     total = {r[0]: r[1] for r in everything}
     world = [(total.get(x, 0) + 1.0) / (sum(total.values()) + len(languages)) for x in languages]
     all_pages = F.array(*(F.lit(x) for x in world))
-    domains = sums(["domain"], "of_domain").withColumn("domain_prior", _smoothed(F.col("of_domain"), all_pages, 20.0)).select("domain", "domain_prior")
-    prior = sums(["host", "domain"], "of_host").join(domains, "domain").select("host", _smoothed(F.col("of_host"), F.col("domain_prior"), 10.0).alias("prior"))
+    counted = sums(["host", "domain"], "of_host").join(sums(["domain"], "of_domain"), "domain").drop("domain")
+    # a page's own guess is not evidence of its host: it is taken out of both counts
+    others = lambda c: F.transform(c, lambda x, i: x - (F.element_at(names, i + 1) == F.coalesce("text_lang", F.lit(""))).cast("double"))
+    names = F.array(*(F.lit(x) for x in languages))
+    prior = bound(others(F.col("of_domain")), lambda d: bound(_smoothed(d, all_pages, 20.0), lambda above: bound(others(F.col("of_host")), lambda h: _smoothed(h, above, 10.0))))
     # P(suffix | language) and P(declared | language), each smoothed by its overall share
     given = lambda frame, key, n: frame.select(key, F.transform(F.col(n), lambda x, i: (x + F.lit(1.0)) / (F.element_at(F.array(*(F.lit(float(total.get(y, 0) + 50)) for y in languages)), i + 1))).alias(f"{key}_given"))
     suffixes = given(sums(["suffix"], "of_suffix"), "suffix", "of_suffix")
     marks = given(_counts(seen, ["declared"], languages, "of_mark"), "declared", "of_mark")
-    joined = seen.join(prior, "host", "left").join(suffixes, "suffix", "left").join(marks, "declared", "left")
+    joined = seen.join(counted, "host", "left").withColumn("prior", prior).join(suffixes, "suffix", "left").join(marks, "declared", "left")
     log = lambda c, i: F.ln(F.greatest(F.coalesce(F.element_at(c, i + 1), F.lit(1.0)), F.lit(1e-6)))
     posterior = F.transform("likelihood", lambda x, i: x + log(F.col("prior"), i) + log(F.col("suffix_given"), i) + log(F.col("declared_given"), i))
     weight = F.transform("posterior", lambda x: F.exp(x - F.array_max("posterior")))

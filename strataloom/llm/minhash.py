@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 from .components import components
 
-SHINGLE, SIMILARITY = 4, 80
+SHINGLE, SIMILARITY = 5, 80
 COORDINATES, MATCHES = 64, 36
 CHUNK = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(7))

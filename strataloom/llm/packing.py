@@ -40,7 +40,10 @@ WHOLE[128:] = WHOLE[[0x27, 0x3C]] = True
 
 
 class Words:
-    """Token ids of words by hash, in flat arrays of bounded size; one per worker and tokenizer file."""
+    """Token ids of words by hash, in flat arrays of bounded size; one per worker and tokenizer file.
+
+    The words' bytes are kept too and compared at each look-up, so a collision of hashes changes no result.
+    """
 
     _all: dict[str, "Words"] = {}
 
@@ -61,6 +64,7 @@ class Words:
         self.slots = max(SLOTS, 1 << (2 * words).bit_length())  # more only for a text with more distinct words
         self.keys, self.values = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.start, self.ids, self.used, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
+        self.bytes_start, self.bytes, self.bytes_used = np.zeros(1 << 16, np.int64), np.zeros(1 << 19, np.uint8), 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of known words, -1 for others, by linear probing for all at once."""
@@ -74,45 +78,75 @@ class Words:
             slot[open_] = (slot[open_] + 1) % self.slots
         return out
 
-    def add(self, hashes: np.ndarray, first: int) -> None:
-        """Number new, distinct words from `first` on."""
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Enter new, distinct hashes with their words' numbers."""
         slot, open_ = self.home(hashes), np.arange(len(hashes))
         while len(open_):
             free = open_[self.keys[slot[open_]] == 0]
             self.keys[slot[free]] = hashes[free]
             won = np.zeros(len(hashes), bool)
             won[free] = self.keys[slot[free]] == hashes[free]
-            self.values[slot[won]] = first + np.flatnonzero(won)
+            self.values[slot[won]] = numbers[won]
             open_ = open_[~won[open_]]
             slot[open_] = (slot[open_] + 1) % self.slots
 
     def home(self, hashes: np.ndarray) -> np.ndarray:
         return ((hashes >> S.U64(17)) % S.U64(self.slots)).astype(np.int64)
 
-    def places(self, hashes: np.ndarray, word) -> np.ndarray:
-        """Where each of the distinct words' ids are; word(i) gives its text."""
+    def places(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word, a span of data; no two have one hash."""
         hashes = np.where(hashes == 0, S.U64(1), hashes)
         if self.n + len(hashes) > self.slots * 5 // 8:
             self.clear(len(hashes))
         found = self.find(hashes)
+        known = np.flatnonzero(found >= 0)
+        own = found[known]
+        same = equal_spans(data, start[known], end[known], self.bytes, self.bytes_start[own], self.bytes_start[own + 1])
+        other = known[~same]  # another word has this hash: encoded anew, and not entered under it
+        found[other] = -2
         missing = np.flatnonzero(found < 0)
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
-            own = [x.ids for x in self.tokenizer.encode_batch_fast([word(j) for j in part.tolist()], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in own], np.int64)
-            n, total = self.n, int(sizes.sum())
-            while n + len(part) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + total] = np.fromiter((y for x in own for y in x), np.uint32, total)
-            self.start[n + 1 : n + len(part) + 1] = self.used + np.cumsum(sizes)
-            self.used += total
-            self.add(hashes[part], n)
-            self.n += len(part)
-            found[part] = np.arange(n, n + len(part))
+            fresh = found[part] == -1
+            found[part] = self.encode(data, start[part], end[part])
+            self.add(hashes[part[fresh]], found[part[fresh]])
         return found
 
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Append the words' ids and bytes; their numbers."""
+        raw = [data[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())]
+        own = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in raw], add_special_tokens=False)]
+        sizes, n = np.array([len(x) for x in own], np.int64), self.n
+        self.start, self.ids, self.used = appended(self.start, n, self.ids, self.used, sizes, np.fromiter((y for x in own for y in x), np.uint32, int(sizes.sum())))
+        self.bytes_start, self.bytes, self.bytes_used = appended(self.bytes_start, n, self.bytes, self.bytes_used, end - start, np.frombuffer(b"".join(raw), np.uint8))
+        self.n += len(raw)
+        return np.arange(n, self.n)
+
+
+def appended(starts: np.ndarray, n: int, values: np.ndarray, used: int, sizes: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """n lists, kept flat, with further ones behind them; the arrays grow by doubling."""
+    while n + len(sizes) + 1 > len(starts):
+        starts = np.concatenate([starts, np.zeros_like(starts)])
+    while used + len(new) > len(values):
+        values = np.concatenate([values, np.zeros_like(values)])
+    values[used : used + len(new)] = new
+    starts[n + 1 : n + len(sizes) + 1] = used + np.cumsum(sizes)
+    return starts, values, used + len(new)
+
+
+def equal_spans(a: np.ndarray, sa: np.ndarray, ea: np.ndarray, b: np.ndarray, sb: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Which spans of a and b have the same bytes."""
+    out = (ea - sa) == (eb - sb)
+    at = np.flatnonzero(out)
+    size = (ea - sa)[at]
+    for i in range(0, len(at), 1 << 16):
+        own, n = at[i : i + (1 << 16)], size[i : i + (1 << 16)]
+        who = np.repeat(np.arange(len(own)), n)
+        inner = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        differs = a[sa[own][who] + inner] != b[sb[own][who] + inner]
+        out[own[who[differs]]] = False
+    return out
+
 
 def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes with ASCII letters lower-cased, starts, ends) of what is encoded by itself."""
@@ -145,8 +179,10 @@ def encoded(data: np.ndarray, offs: np.ndarray, words: Words) -> tuple[np.ndarra
     if not len(start):
         return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
     names, at, back = np.unique(S.span_hash(S.prefix_hash(lower), start, end), return_index=True, return_inverse=True)
-    raw = lower.tobytes()
-    place = words.places(names, lambda i: raw[start[at[i]] : end[at[i]]].decode("utf-8", "replace"))[back]
+    place = words.places(names, lower, start[at], end[at])[back]
+    odd = np.flatnonzero(~equal_spans(lower, start, end, lower, start[at[back]], end[at[back]]))
+    if len(odd):  # words that share the hash of another word of this chunk
+        place[odd] = words.encode(lower, start[odd], end[odd])
     low, size = words.start[place], words.start[place + 1] - words.start[place]
     before = np.concatenate([[0], np.cumsum(size)])
     ids = words.ids[np.repeat(low - before[:-1], size) + np.arange(before[-1])]

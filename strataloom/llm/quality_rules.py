@@ -3,11 +3,16 @@
 One map over the texts measures each document. The measures of documents that pass the base rule feed KLL
 sketches, one a (lang, source) group and measure: partially aggregated, so a group that holds a third of all
 rows is one sketch per task before the shuffle. From a group's quantiles come its limits: `reach` times the
-distance between its quartiles around the median, and never tighter than a fixed margin, so that odd rows do not
-move the limits before they are a quarter of their group.
+distance between its quartiles around the median, so that odd rows do not move the limits before they are a
+quarter of their group, and never closer to the median than a margin (a parameter): most measures are 0 for most
+documents, and a limit of 0 would reject each clean one that repeats a line.
 The limits, a row a group, are joined back. Documents without a limit (group without usable rows) are kept if
 the base rule keeps them.
 
+Groups of up to SKETCH_K rows get exact quantiles; of larger ones the sketch, which is randomised, is off by
+some 0.1 per cent of the ranks, so two runs can judge a document on a limit differently. Where that matters, write
+limits(sketches(measure(docs))) down once and pass it as `bounds`.
+
 Null and empty texts have no words and fail the base rule; null lang and source are groups of their own;
 repeated rows count and are judged each for itself; an empty table gives an empty result; further columns
 are ignored.
@@ -29,7 +34,7 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 CHUNK = 1 << 21
 #: measure -> (has a lower limit, smallest margin). line_share: repeated lines of the lines with a word; the other shares are of words.
 MEASURES = {"word_length": (True, 1.5), "symbol_share": (False, 0.2), "line_share": (False, 0.3), "repeat_share": (False, 0.3)}
-REACH, SKETCH_K = 3.0, 200
+REACH, SKETCH_K = 3.0, 4096
 SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
@@ -117,11 +122,12 @@ def merge_sketches(parts: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "source").agg(*(F.kll_merge_agg_double(F.col(name), SKETCH_K).alias(name) for name in MEASURES))
 
 
-def limits(sketched: DataFrame, reach: float = REACH) -> DataFrame:
-    """lang, source and the low and high limit of each measure."""
+def limits(sketched: DataFrame, reach: float = REACH, margins: dict[str, float] | None = None) -> DataFrame:
+    """lang, source and the low and high limit of each measure. margins: of measures for which they differ from MEASURES."""
     out = []
     at = lambda name, q: F.kll_sketch_get_quantile_double(F.col(name), F.lit(q))
     for name, (both, margin) in MEASURES.items():
+        margin = (margins or {}).get(name, margin)
         middle, width = at(name, 0.5), F.greatest(F.lit(margin), reach * (at(name, 0.75) - at(name, 0.25)))
         out.append((middle + width).alias(f"{name}_high"))
         out.append((middle - width if both else F.lit(None).cast("double")).alias(f"{name}_low"))
@@ -138,13 +144,37 @@ def judge(measures: DataFrame, bounds: DataFrame) -> DataFrame:
     return both.withColumn("kept", ~F.col("base_failed") & ~odd)
 
 
-def quality_rules(docs: DataFrame, reach: float = REACH) -> DataFrame:
+def quality_rules(docs: DataFrame, reach: float = REACH, margins: dict[str, float] | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept."""
     measures = S.materialise(measure(docs))
-    out = judge(measures, limits(S.materialise(sketches(measures)), reach))
+    out = judge(measures, limits(S.materialise(sketches(measures)), reach, margins) if bounds is None else bounds)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def brute_kept(rows: list[tuple], reach: float = REACH) -> dict:
+    """kept of rows (doc_id, lang, source, text) in plain Python, for tests; exact quantiles."""
+    import math
+
+    base = {r[0]: b for r, b in zip(rows, brute_force([(r[0], r[3]) for r in rows]))}
+    lines = {r[0]: max(1, sum(1 for x in (r[3] or "").split("\n") if x.strip(" \t\n\v\f\r"))) for r in rows}
+    own = lambda k: {"word_length": base[k][2] / max(1, base[k][1]), "symbol_share": base[k][3] / max(1, base[k][1]), "line_share": base[k][4] / lines[k], "repeat_share": base[k][5] / max(1, base[k][1])}
+    groups: dict[tuple, list] = {}
+    for r in rows:
+        if not base[r[0]][6]:
+            groups.setdefault(r[1:3], []).append(own(r[0]))
+    out = {}
+    for k, lang, source, _ in rows:
+        kept, x = not base[k][6], own(k)
+        for name, (both, margin) in MEASURES.items():
+            values = sorted(g[name] for g in groups.get((lang, source), []))
+            if values:
+                at = lambda q: values[max(0, math.ceil(q * len(values)) - 1)]  # noqa: B023, E731
+                width = max(margin, reach * (at(0.75) - at(0.25)))
+                kept &= x[name] <= at(0.5) + width and not (both and x[name] < at(0.5) - width)
+        out[k] = kept
+    return out
+
+
 def brute_force(docs: list[tuple]) -> list[tuple]:
     """The base measures in plain Python, for tests: doc_id ... base_failed."""
     import re

@@ -53,7 +53,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), shingle=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -6,6 +6,7 @@ vectorised pass covers many documents and a very long document only makes its ow
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,10 +20,12 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder in spark.checkpoint.dir; where that is unset and Spark runs on one machine (tests), a new local one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -87,12 +90,28 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nd
             i = j
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `most` bytes of a string column; a longer text is a batch by itself."""
+    for batch in batches:
+        if batch.num_rows:
+            _, offs = text_bytes(batch.column(batch.schema.get_field_index(column)))
+            i = 0
+            while i < batch.num_rows:
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1))
+                yield batch.slice(i, j - i)
+                i = j
+
+
 # --- hashing ----------------------------------------------------------------------------------
 
+#: Hashes of spans are polynomials modulo the prime 2^61 - 1: unlike modulo 2^64, no base has strings of
+#: special form (Thue-Morse words, say) that collide; two strings of n bytes do by chance of n / 2^61.
+PRIME = U64(2**61 - 1)
+LOW31, LOW30, LOW29 = U64(2**31 - 1), U64(2**30 - 1), U64(2**29 - 1)
+BASE = 0x9E3779B97F4A7C1 % (2**61 - 1)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-BASE = U64(0x9E3779B97F4A7C15)
-BASE_INV = U64(pow(int(BASE), -1, 2**64))
+BYTE_CODE = _RNG.permutation(np.arange(1, 1 + 256, dtype=np.uint64)) * U64(2**20) + _RNG.integers(0, 2**20, 256, dtype=np.uint64)
+PART = 1 << 15  # numbers that are worked on at once, so that intermediate results stay in the processor's cache
 _POWERS: dict[str, np.ndarray] = {}
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
@@ -105,27 +124,60 @@ WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[48:58] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x below 2^63, modulo the prime."""
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime."""
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), PART):
+        x, y = a[i : i + PART], b[i : i + PART]
+        xu, xd, yu, yd = x >> U64(31), x & LOW31, y >> U64(31), y & LOW31
+        middle = xd * yu + xu * yd
+        out[i : i + PART] = reduced(((xu * yu) << U64(1)) + (middle >> U64(30)) + ((middle & LOW30) << U64(31)) + xd * yd)
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse mod 2^64 to the powers 0..n-1."""
+    """BASE and its inverse modulo the prime to the powers 0..n-1."""
     have = _POWERS.get("p")
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("p", BASE), ("q", BASE_INV)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
+        size = 1 << max(20, (n - 1).bit_length())
+        for name, base in (("p", BASE), ("q", pow(BASE, -1, int(PRIME)))):
+            out = np.ones(size, np.uint64)
+            k = 1
+            while k < size:
+                out[k : 2 * k] = product(out[:k], np.full(k, pow(base, k, int(PRIME)), np.uint64))
+                k *= 2
+            _POWERS[name] = out
     return _POWERS["p"][:n], _POWERS["q"][:n]
 
 
 def prefix_hash(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """P of n+1 entries, from which span_hash takes the hash of any span in constant time."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(code[data] * powers(len(data))[0], out=out[1:])
+    """P of n+1 entries, from which span_hash takes the hash of any span in constant time. code has 29 bits."""
+    n = len(data)
+    power, out, before = powers(n)[0], np.zeros(n + 1, np.uint64), U64(0)
+    for i in range(0, n, PART):
+        c, w = code[data[i : i + PART]], power[i : i + PART]
+        middle, low = c * (w >> U64(31)), c * (w & LOW31)
+        x = (middle >> U64(30)) + ((middle & LOW30) << U64(31)) + low
+        high, low = np.cumsum(x >> U64(32)), np.cumsum(x & U64(2**32 - 1))
+        out[i + 1 : i + 1 + len(c)] = reduced((high >> U64(29)) + ((high & LOW29) << U64(32)) + low + before)
+        before = out[i + len(c)]
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
+    return mix(product(reduced(prefix[end] + (PRIME - prefix[start])), powers(len(prefix))[1][start]))
+
+
+def window_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """span_hash of all spans of one width."""
+    n = len(prefix) - width
+    return mix(product(reduced(prefix[width:] + (PRIME - prefix[:n])), powers(len(prefix))[1][:n]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

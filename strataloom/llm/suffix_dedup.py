@@ -4,21 +4,23 @@ How it scales. Two equal strings of `length` bytes hold the same least k-gram ha
 document are cut into runs that share this minimum (one run per ~70 bytes). Only the runs' hashes are
 shuffled, never the suffixes:
 
-1. a map over the texts emits (m, h, doc_id, lo, n): minimum, hash of the run's bytes, place, windows;
+1. a map over the texts emits (m, h, doc_id, v, lo, n): minimum, hash of the run's bytes, place, windows;
 2. minima that occur once (and not twice in their own run, as in periodic text) are dropped after a partially aggregated count (a hot minimum is one row a task);
 3. runs with equal (m, h) are whole repeats and end here, so thousands of copies are never compared;
 4. for minima with several different runs, one representative a run is cut from its text, and the
    suffixes at its windows are ordered: multikey quicksort to a shallow depth, then blind tries for the
    groups that still share their prefix. Neighbours that agree in `length` bytes are repeats;
-5. a minimum with more than `hot` different runs (a passage in very many documents) is dealt out once
-   more by the hash of each window, so that no task gets an unbounded group.
+5. the runs of a minimum with more than `hot` different ones (a passage in very many documents) stay in the
+   batches in which they were cut. Each batch orders its own suffixes in the same way; what it finds repeated
+   is final, and of equal windows only one goes on, by its hash, to a partially aggregated count over all
+   batches. So no task gets an unbounded group, and a shared window is one row a batch.
 
 Step 4 orders suffixes only where a k-gram repeats, which is where a repeated string can be; nothing is
-capped or sampled. Hashes have 64 bits each (m and h together 128).
+capped or sampled. Hashes have 61 bits (of a run or window, in addition to its minimum).
 
 Nulls and empty texts give n_bytes 0 and the digest of nothing; texts under `length` bytes are kept;
 repeated rows (equal doc_id too) count as two places, each of which loses its repeats (rows of one
-doc_id with different texts are told apart by 16 bits of the text's hash); an empty table
+doc_id with different texts are told apart by v, 64 bits of the text's hash); an empty table
 gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -39,7 +41,7 @@ CHUNK = 1 << 18
 SHALLOW_WORDS = 4  # multikey quicksort goes this many 8-byte keys deep
 MOST_WINDOWS = (1 << 15) - 1  # a longer run (periodic text) is cut; its parts meet again in their minimum
 KEY = ["doc_id", "v"]
-SPANS = "doc_id long, v int, s int, e int"
+SPANS = "doc_id long, v long, s int, e int"
 
 
 def sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -52,10 +54,9 @@ def sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
     return least(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def window_minima(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def window_minima(prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window start the least hash of a k-gram in it; and window starts whose minimum is met twice nearby."""
-    at = np.arange(len(data) - gram + 1)
-    grams = S.span_hash(S.prefix_hash(data), at, at + gram)
+    grams = S.window_hash(prefix, gram)
     width = length - gram + 1
     least = sliding(grams, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
@@ -73,7 +74,8 @@ def runs_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     empty = np.zeros(0, np.int64)
     if len(data) < length:
         return empty, empty, empty, empty, empty, empty
-    least, twice = window_minima(data, length, gram)
+    prefix = S.prefix_hash(data)
+    least, twice = window_minima(prefix, length, gram)
     last = np.maximum(offs[1:] - length + 1, offs[:-1])  # one past the last window of each document
     edge = np.ones(len(least) + 1, bool)
     edge[1:-1] = least[1:] != least[:-1]
@@ -90,26 +92,25 @@ def runs_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     own[np.searchsorted(lo, twice, "right") - 1] = 1
     fits = lo < last[doc]
     lo, hi, doc, own = lo[fits], hi[fits], doc[fits], own[fits]
-    h = S.span_hash(S.prefix_hash(data), lo, hi + length - 1)
+    h = S.span_hash(prefix, lo, hi + length - 1)
     return doc, least[lo].view(np.int64), h.view(np.int64), lo - offs[doc], hi - lo, own
 
 
 def cut_runs(length: int, gram: int):
-    """Rows (doc_id, v, text): (m, h, doc_id, place) of each run, place holding lo, own, n and v in one number."""
+    """Rows (doc_id, v, text): (m, h, doc_id, v, place) of each run, place holding lo, own and n in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offs, rows in S.chunks(batches, CHUNK):
             doc, m, h, lo, n, own = runs_of(data, offs, length, gram)
-            v = rows.column("v").to_numpy().astype(np.int64)[doc]
-            place = (lo << 32) | (own << 31) | (n << 16) | v
-            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), rows.column("doc_id").take(pa.array(doc)), pa.array(place)], names=["m", "h", "doc_id", "place"])
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), *(rows.column(k).take(take) for k in KEY), pa.array((lo << 16) | (own << 15) | n)], names=["m", "h", *KEY, "place"])
 
     return run
 
 
 def unpacked(place: str) -> list:
     p = F.col(place)
-    return [p.bitwiseAND(0xFFFF).cast("int").alias("v"), F.shiftright(p, 32).cast("int").alias("lo"), F.shiftright(p, 16).bitwiseAND(0x7FFF).cast("int").alias("n")]
+    return [F.shiftright(p, 16).cast("int").alias("lo"), p.bitwiseAND(0x7FFF).cast("int").alias("n")]
 
 
 # --- ordering suffixes ------------------------------------------------------------------------
@@ -249,16 +250,11 @@ def sort_groups(length: int, most: int = 150_000):
     return run
 
 
-DEALT = "m long, deal int, doc_id array<long>, v array<int>, at array<int>, hash array<long>, seen array<boolean>"
+DEALT = "m long, hash long, doc_id long, v long, s int, e int"
 
 
 def deal_windows(length: int):
-    """For hot minima: window hashes, packed by (m, deal).
-
-    A window that this batch holds twice is known to be repeated; of its places, one goes on as `seen`
-    with its hash, the others only as places (their hash is null), so that the shared windows of a hot
-    group shrink to one a batch before they meet.
-    """
+    """For hot minima: spans that a batch finds repeated, with a null hash; one window of each kind, with its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,38 +262,23 @@ def deal_windows(length: int):
                 continue
             t = pa.Table.from_batches([batch])
             data, owner, at, place, m = _windows(t)
+            group = np.unique(m, return_inverse=True)[1]
+            first, last, who = _spans(owner, repeated_windows(data, at, group, length))
             hashes = S.span_hash(S.prefix_hash(data), at, at + length)
-            deals = t.column("deals").to_numpy().astype(np.uint64)[owner]
-            deal = ((hashes >> S.U64(24)) % deals).astype(np.int64)
-            order = np.lexsort((hashes, deal, m))
-            m, deal, hashes, owner, place = m[order], deal[order], hashes[order], owner[order], place[order]
-            new = np.ones(len(m), bool)
-            new[1:] = (m[1:] != m[:-1]) | (hashes[1:] != hashes[:-1])
-            rank = _ranks(new)
-            seen = np.bincount(rank)[rank] > 1
-            box = np.ones(len(m), bool)
-            box[1:] = (m[1:] != m[:-1]) | (deal[1:] != deal[:-1])
-            heads = np.flatnonzero(box)
-            cuts = pa.array(np.append(heads, len(m)).astype(np.int32))
-            keys = [t.column(k).combine_chunks().take(pa.array(owner)) for k in KEY]
-            columns = [*keys, pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64), mask=~new), pa.array(seen)]
-            yield pa.RecordBatch.from_arrays([pa.array(m[heads]), pa.array(deal[heads].astype(np.int32)), *(pa.ListArray.from_arrays(cuts, c) for c in columns)], names=["m", "deal", *KEY, "at", "hash", "seen"])
-
-    return run
-
-
-def match_deals(length: int):
-    """Windows of one (m, deal) that were seen twice in a batch, or whose hash comes from two places."""
-
-    def run(group: pa.Table) -> pa.Table:
-        flat = pa.table({k: group.column(k).combine_chunks().flatten() for k in (*KEY, "at", "hash", "seen")})
-        sent = np.asarray(flat.column("hash").is_valid())
-        hashes = flat.column("hash").fill_null(0).to_numpy()
-        keep = flat.column("seen").to_numpy().copy()
-        _, inverse, counts = np.unique(hashes[sent], return_inverse=True, return_counts=True)
-        keep[sent] |= counts[inverse] > 1
-        at, who = flat.column("at").to_numpy().astype(np.int64)[keep], np.flatnonzero(keep)
-        return pa.Table.from_batches([_result(flat, who, at, at + length)])
+            order = np.lexsort((hashes, m))
+            new = np.ones(len(order), bool)
+            new[1:] = (m[order][1:] != m[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+            one = order[new]
+            rows = np.concatenate([who, owner[one]])
+            spans = [np.concatenate([place[first], place[one]]), np.concatenate([place[last], place[one]]) + length]
+            none = np.arange(len(rows)) < len(who)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    t.column("m").combine_chunks().take(pa.array(rows)), pa.array(np.concatenate([np.zeros(len(who), np.int64), hashes[one].view(np.int64)]), mask=none),
+                    *(t.column(k).combine_chunks().take(pa.array(rows)) for k in KEY), *(pa.array(x.astype(np.int32)) for x in spans),
+                ],
+                names=["m", "hash", *KEY, "s", "e"],
+            )
 
     return run
 
@@ -356,19 +337,21 @@ def keep_rest(with_text: bool, carry: list[str]):
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, v, s, e): byte spans that lie in repeated strings; keyed has doc_id, v and text."""
-    runs = keyed.filter(F.octet_length("text") >= length).mapInArrow(cut_runs(length, gram), "m long, h long, doc_id long, place long")
-    own = F.shiftright("place", 31).bitwiseAND(1)
+    runs = keyed.filter(F.octet_length("text") >= length).mapInArrow(cut_runs(length, gram), "m long, h long, doc_id long, v long, place long")
+    own = F.shiftright("place", 15).bitwiseAND(1)
     twice = S.materialise(runs.groupBy("m").agg(F.sum(1 + own).alias("times")).filter("times > 1").select("m"))
     cand = S.materialise(runs.join(twice, "m"))
-    by_run = S.materialise(cand.groupBy("m", "h").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "place")).alias("one")))
-    whole = cand.join(by_run.filter("times > 1").select("m", "h"), ["m", "h"]).select("doc_id", *unpacked("place"))
+    by_run = S.materialise(cand.groupBy("m", "h").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "place")).alias("one")))
+    whole = cand.join(by_run.filter("times > 1").select("m", "h"), ["m", "h"]).select(*KEY, *unpacked("place"))
     whole = whole.select(*KEY, F.col("lo").alias("s"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("e"))
-    kinds = by_run.groupBy("m").agg(F.sum(1 + F.shiftright("one.place", 31).bitwiseAND(1)).alias("kinds")).filter("kinds > 1")
+    kinds = by_run.groupBy("m").agg(F.sum(1 + F.shiftright("one.place", 15).bitwiseAND(1)).alias("kinds")).filter("kinds > 1")
     want = by_run.join(kinds, "m").select("m", "one.*", F.ceil(F.col("kinds") / hot).cast("int").alias("deals"))
-    per_row = want.select("m", "doc_id", *unpacked("place"), "deals").groupBy(*KEY).agg(F.collect_list(F.struct("m", "lo", "n", "deals")).alias("want"))
-    pieces = S.materialise(keyed.join(per_row, KEY).select(*KEY, "text", "want").mapInArrow(cut_bytes(length), "m long, doc_id long, v int, lo int, n int, deals int, bytes binary"))
+    per_row = want.select("m", *KEY, *unpacked("place"), "deals").groupBy(*KEY).agg(F.collect_list(F.struct("m", "lo", "n", "deals")).alias("want"))
+    pieces = S.materialise(keyed.join(per_row, KEY).select(*KEY, "text", "want").mapInArrow(cut_bytes(length), "m long, doc_id long, v long, lo int, n int, deals int, bytes binary"))
     usual = pieces.filter("deals = 1").repartition("m").sortWithinPartitions("m").mapInArrow(sort_groups(length), SPANS)
-    busy = pieces.filter("deals > 1").mapInArrow(deal_windows(length), DEALT).groupBy("m", "deal").applyInArrow(match_deals(length), SPANS)
+    dealt = S.materialise(pieces.filter("deals > 1").mapInArrow(deal_windows(length), DEALT))
+    again = dealt.filter("hash is not null").groupBy("m", "hash").agg(F.count("*").alias("times")).filter("times > 1").select("m", "hash")
+    busy = dealt.filter("hash is null").select(*KEY, "s", "e").unionByName(dealt.join(again, ["m", "hash"]).select(*KEY, "s", "e"))
     return whole.unionByName(usual).unionByName(busy)
 
 
@@ -380,7 +363,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     carry = carry or []
     nowhere = -(2**63)  # stands for a null doc_id in joins
     key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    v = F.coalesce(F.xxhash64(text).bitwiseAND(0xFFFF), F.lit(0)).cast("int")
+    v = F.xxhash64(text)
     keyed = docs.select(key.alias("key"), F.coalesce(key, F.lit(nowhere)).alias("doc_id"), v.alias("v"), text.alias("text"), *carry)
     spans = repeated_spans(keyed.select(*KEY, "text"), length, gram, hot).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     schema = ["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)]

@@ -7,7 +7,8 @@ seconds long.
 
 A revisit is resolved when an earlier response exists and its validators agree: equal etag (weak comparison)
 where both have one, else equal last-modified, else equal payload digest. Its headers are the response's,
-replaced by those that a not-modified answer may carry. Of responses at one time the largest record_id counts;
+replaced by those that a not-modified answer may carry. Of responses at one time the largest record_id counts, of
+several rows of one id and time the one with the largest etag, then date, digest and headers (nulls first);
 a response at the revisit's own time is not earlier. Null urls and times resolve to nothing; repeated rows are
 resolved each for itself; an empty table gives an empty result; further columns are ignored.
 """
@@ -41,16 +42,17 @@ def resolve(records: DataFrame, slot_s: int = SLOT_S) -> DataFrame:
     """
     rows = records.select(*FIELDS).withColumns({"key": canonical(F.col("url")), "slot": F.floor(F.col("at_s") / slot_s)})
     full = F.when(F.col("kind") == "response", F.struct("at_s", "record_id", "etag", "last_modified", "digest", "headers"))
-    # without the header map, which has no order
     rank = F.when((F.col("kind") == "response") & F.col("at_s").isNotNull() & F.col("key").isNotNull(), F.struct("at_s", "record_id"))
-    slots = rows.groupBy("key", "slot").agg(F.max_by(full, rank).alias("last"))
+    # what is left to tell responses of one id and time apart; the header map itself has no order
+    content = F.struct("etag", "last_modified", "digest", F.array_sort(F.map_entries("headers")).alias("h"))
+    slots = rows.groupBy("key", "slot").agg(F.max_by(full, F.when(rank.isNotNull(), F.struct(rank.alias("rank"), content.alias("content")))).alias("last"))
     carried = slots.select("key", "slot", F.last("last", ignorenulls=True).over(Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     # inside a slot, strictly earlier in time
     w = Window.partitionBy("key", "slot").orderBy("at_s").rangeBetween(Window.unboundedPreceding, -1)
     inner = rows.withColumn("inner", F.max(rank).over(w)).filter("kind = 'revisit'").drop("headers_of")
     found = inner.join(carried, (inner.key == carried.key) & (inner.slot == carried.slot), "left").select(inner["*"], "before")
     # fetch the response of the same slot by its id; one of an earlier slot came along
-    responses = rows.filter("kind = 'response'").select(F.col("key").alias("k"), F.col("at_s").alias("t"), F.col("record_id").alias("r"), full.alias("own")).dropDuplicates(["k", "t", "r"])
+    responses = rows.filter("kind = 'response'").select(F.col("key").alias("k"), F.col("at_s").alias("t"), F.col("record_id").alias("r"), full.alias("own"), content.alias("c")).groupBy("k", "t", "r").agg(F.max_by("own", "c").alias("own"))
     found = found.join(responses, (F.col("inner.at_s") == F.col("t")) & (F.col("inner.record_id") == F.col("r")) & (F.col("key") == F.col("k")), "left")
     base = F.coalesce("own", "before")
     return found.withColumn("base", base).select(

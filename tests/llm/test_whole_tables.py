@@ -38,7 +38,7 @@ def test_quality_rules(spark, docs):
 
 
 def test_minhash(spark, docs):
-    assert rows(spark, "op10_minhash") == sorted(minhash.brute_force(docs))
+    assert rows(spark, "op10_minhash") == sorted(minhash.brute_force(docs, 4))
 
 
 def test_packing(spark, docs):
