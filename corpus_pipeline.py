@@ -1,4 +1,12 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Every stage judges each row for itself or by a key that it gives the row, so doc_id may be null or shared by rows:
+nothing is lost or multiplied. Null and empty texts: the classifier scores them like other texts without words;
+near-dedup keeps one row of equal (doc_id, text); suffix dedup and decontamination pass them on; packing makes one
+end token. Repeated rows lose all but one in near-dedup; ties go to the smallest doc_id, then to any one row. Very
+long texts are worked on whole. An empty table gives an empty result with the stage's columns, and columns beyond
+those of documents are dropped by the first stage.
+"""
 
 from __future__ import annotations
 
@@ -31,7 +39,10 @@ def by_row(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id (a null one last); texts without words only go if doc_id and text are equal."""
+    """One row of each group of near copies, that of the smallest doc_id (a null one last); texts without words only go if doc_id and text are equal.
+
+    Near copies have 0.8 or more of their five-word shingles in common.
+    """
     docs = keyed(docs)
     found = minhash.near_dedup(by_row(docs)).select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
     alone = F.when(F.col("component").isNull(), F.struct("doc_id", "hash"))
