@@ -88,3 +88,114 @@ def counter_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per counter: true counts one, a positive number its value, all else nothing."""
     value = lambda c: F.when(F.col(c).cast("string") == "true", 1.0).otherwise(F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))))
     return rows.agg(*(F.sum(value(c)).alias(c) for c in keys)).unpivot([], keys, "counter", "total")
+
+
+#: Fixed: what feedback on a retrieval asks to be done, by what it says.
+UPGRADES = {
+    "promote": "Promote this query to a golden benchmark candidate before changing ranking.",
+    "paths": "Add expected_paths/missing_paths to the benchmark so future ranking changes are measurable.",
+    "query": "Inspect corrected_query for synonym/query-expansion rules.",
+    "search": "Compare frontier-discovered files with ranked_files and adjust scoring only if the benchmark fails reproducibly.",
+    "context": "Check path policy, generated-file filtering, and over-boosted context_hints for false positives.",
+    "keep": "Keep as positive trace; no retrieval upgrade needed.",
+}
+OUTCOMES = ("helpful", "partial", "miss", "wrong_context", "manual_search_needed")
+
+
+def record_feedback(rows: DataFrame) -> DataFrame:
+    """Feedback rows of a known outcome, with benchmark_candidate and the plan that they ask for."""
+    o, some = F.col("outcome"), lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    searched = F.coalesce("frontier_had_to_search", F.lit(False))
+    asks = F.array_compact(
+        F.array(
+            F.when(o != "helpful", F.lit(UPGRADES["promote"])), F.when(some(F.col("expected_paths")) | some(F.col("missing_paths")), F.lit(UPGRADES["paths"])),
+            F.when(F.trim(F.coalesce("corrected_query", F.lit(""))) != "", F.lit(UPGRADES["query"])), F.when(searched, F.lit(UPGRADES["search"])), F.when(o == "wrong_context", F.lit(UPGRADES["context"])),
+        )
+    )
+    plan = F.when(F.size(asks) > 0, asks).otherwise(F.array(F.lit(UPGRADES["keep"])))
+    return rows.filter(o.isin(*OUTCOMES)).withColumns({"benchmark_candidate": (o != "helpful") | searched, "upgrade_plan": plan})
+
+
+def import_feedback(rows: DataFrame, date: str = "", helpful: bool = False, others: bool = False) -> DataFrame:
+    """Feedback rows that become cases: of a day (a prefix of ts), candidates unless `others`, none that was helpful unless `helpful`."""
+    o = F.coalesce("outcome", F.lit(""))
+    candidate = F.coalesce("benchmark_candidate", F.lit(False)) | ((o != "") & (o != "helpful"))
+    out = rows.filter(F.col("ts").startswith(date)) if date else rows
+    out = out if helpful else out.filter(o != "helpful")
+    out = out if others else out.filter(candidate)
+    return out.withColumn("tags", F.array(F.lit("retrieval-feedback"), F.coalesce(F.nullif(o, F.lit("")), F.lit("unknown-outcome"))))
+
+
+def inherit_traffic(feedback: DataFrame, calls: DataFrame) -> DataFrame:
+    """feedback (call_id, own, ...) with traffic: its own class, if known, else that of the last call (call_id, at, traffic) with its id."""
+    last = calls.groupBy("call_id").agg(F.max_by("traffic", "at").alias("of_call"))
+    return feedback.join(last, "call_id", "left").withColumn("traffic", F.coalesce(F.nullif("own", F.lit("unknown")), "of_call")).drop("of_call")
+
+
+def helpful_split(rows: DataFrame, feedback: DataFrame, key: str) -> DataFrame:
+    """rows with helpful: whether feedback (key, outcome) calls them so."""
+    good = feedback.filter("outcome = 'helpful'").select(key)
+    return rows.join(good, key, "left_semi").withColumn("helpful", F.lit(True)).unionByName(rows.join(good, key, "left_anti").withColumn("helpful", F.lit(False)))
+
+
+def query_of(cases: DataFrame, overrides: DataFrame, key: str, summary: str) -> DataFrame:
+    """(key, query): the override (key, query), else the case's summary, else nothing."""
+    over = overrides.select(key, F.col("query").alias("_over"))
+    return cases.select(key, summary).join(over, key, "left").select(key, F.coalesce("_over", summary, F.lit("")).alias("query"))
+
+
+def pairwise_gaps(groups: DataFrame, name: str, value: str) -> DataFrame:
+    """(a, b, gap) of each two groups of a handful, a before b."""
+    side = lambda x: groups.select(F.col(name).alias(x), F.col(value).alias(f"_{x}"))
+    return side("a").join(side("b"), F.col("a") < F.col("b")).select("a", "b", (F.col("_a") - F.col("_b")).alias("gap"))
+
+
+def command_source(explicit: Column, from_file: Column, builtin: Column) -> Column:
+    """Where a command comes from: asked for, the policy file, built in, or nowhere."""
+    given = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return F.when(given(explicit), "explicit").when(given(from_file), "file").when(given(builtin), "builtin").otherwise("unavailable")
+
+
+def license_of(raw: Column) -> Column:
+    """A package's license from its JSON value: a text, a list (joined by OR), or an object with a type."""
+    v = F.try_parse_json(raw)
+    kind = F.schema_of_variant(v)
+    items = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))), lambda x: F.trim(x) != "")
+    text = F.when(kind == "STRING", F.trim(F.try_variant_get(v, "$", "string"))).when(kind.startswith("ARRAY"), F.array_join(items, " OR ")).when(kind.startswith("OBJECT"), F.trim(F.try_variant_get(v, "$.type", "string")))
+    return F.nullif(text, F.lit(""))
+
+
+def peer_evidence(dependencies: DataFrame, peers: DataFrame, providers: DataFrame) -> DataFrame:
+    """Dependencies (name) that a provider (package) names as its peer (package, name)."""
+    return dependencies.join(peers.join(providers.select("package").distinct(), "package", "left_semi"), "name", "left_semi")
+
+
+def coverage(requests: DataFrame, excluded: tuple[str, ...] = (), core: tuple[str, ...] = ()) -> DataFrame:
+    """(service, profile, requests, production_like, errors, status, in_denominator) of requests (service, traffic, ok, error).
+
+    A service counts if it is active; one that is left out by its class counts all the same when it has an error that
+    is no proof, no benchmark and no refusal by policy.
+    """
+    from .safety import is_caller_rejection
+
+    bad = ~F.col("ok") & ~F.col("traffic").isin("proof", "benchmark") & ~is_caller_rejection(F.col("error"))
+    out = requests.groupBy("service").agg(F.count("*").alias("requests"), F.count_if(F.col("traffic") == "production_like").alias("production_like"), F.count_if(bad).alias("errors"))
+    left_out, active = F.col("service").isin(*excluded) if excluded else F.lit(False), F.col("production_like") > 0
+    forced = (F.col("errors") > 0) & (left_out | ~active)
+    status = F.when(forced, "force_kept_recent_error").when(left_out, "traffic_class_excluded").when(active, "active").otherwise("visible_idle")
+    profile = F.when(F.col("service").isin(*core), "core").otherwise("extended") if core else F.lit("extended")
+    return out.withColumns({"profile": profile, "status": status, "in_denominator": forced | (~left_out & active)})
+
+
+def coverage_gates(services: DataFrame) -> DataFrame:
+    """(profile, services, counted, ready, passed): a tier passes if it counts services and all of them are ready."""
+    ready = F.col("in_denominator") & (F.col("production_like") > 0) & (F.col("errors") == 0)
+    out = services.groupBy("profile").agg(F.count("*").alias("services"), F.count_if("in_denominator").alias("counted"), F.count_if(ready).alias("ready"))
+    return out.withColumn("passed", (F.col("counted") > 0) & (F.col("ready") == F.col("counted")))
+
+
+def trace_source(explicit: Column, *about: Column) -> Column:
+    """Where a call comes from: a proof loop if any text about it speaks of one, else as it says itself (80 characters), else unknown."""
+    said = F.trim(F.coalesce(explicit, F.lit("")))
+    joined = F.lower(F.concat_ws(" ", said, *about))
+    return F.when(joined.rlike("benchmark|smoke|regression"), "proof_loop").when(said != "", F.substring(said, 1, 80)).otherwise("unknown")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.session import saved
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct sorted targets of each source; edges (src, dst)."""
@@ -54,21 +56,69 @@ def blast_radius(imports: DataFrame, references: DataFrame, node) -> DataFrame:
     return a.unionByName(b).filter(F.col("path") != node).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """Simple cycles of at most `longest` edges, each once, starting at its smallest node.
+def core(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have both incoming and outgoing ones, after as many rounds as it takes; all cycles are there."""
+    e, n = saved(edges.select("src", "dst").distinct()), -1
+    while (now := e.count()) != n:
+        n = now
+        inside = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        e = saved(inside.join(inside.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return e
+
+
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """Simple cycles, each once, starting at its smallest node; of any length, or of at most `longest` edges.
 
-    Paths grow only through nodes above their start, so each cycle is made once instead of at every rotation.
+    Only the core of the graph is walked. Paths grow only through nodes above their start, so each cycle is made once
+    instead of at every rotation; a round ends when no path can grow. In a dense graph the number of cycles itself is
+    exponential: there `longest` bounds the listing, and strong_components tells exactly who lies on a cycle at all.
     """
-    e = edges.select("src", "dst").distinct()
+    e = core(edges)
     paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
     found = e.filter("src = dst").select(F.array("src").alias("cycle"))
-    for _ in range(2, longest + 1):
-        step = paths.join(e.select(F.col("src").alias("at"), "dst"), "at")
+    length = 1
+    while longest is None or length < longest:
+        step = saved(paths.join(e.select(F.col("src").alias("at"), "dst"), "at").filter(F.col("dst") >= F.element_at("path", 1)))
         found = found.unionByName(step.filter(F.col("dst") == F.element_at("path", 1)).select(F.col("path").alias("cycle")))
         paths = step.filter((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
+        length += 1
+        if paths.isEmpty():
+            break
     return found
 
 
+def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, value) after the largest value has gone along all edges until nothing changes."""
+    while True:
+        sent = values.join(edges, values.node == edges.src).select(F.col("dst").alias("node"), "value")
+        grown = saved(values.unionByName(sent).groupBy("node").agg(F.max("value").alias("value")))
+        if not grown.join(values.withColumnRenamed("value", "was"), "node").filter("not (value <=> was)").head(1):
+            return grown
+        values = grown
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that lie on cycles; the component is its largest node.
+
+    Colours go forward from the largest node that reaches each; the nodes that go back to their colour's root inside the
+    colour are its component. What is left is trimmed and coloured again.
+    """
+    e, out = core(edges), None
+    while not e.isEmpty():
+        colours = _spread(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("value", F.col("node")), e)
+        a, b = colours.select(F.col("node").alias("src"), F.col("value").alias("va")), colours.select(F.col("node").alias("dst"), F.col("value").alias("vb"))
+        inside = saved(e.join(a, "src").join(b, "dst").filter("va = vb").select("src", "dst"))
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reached = _spread(colours.select("node", F.when(F.col("node") == F.col("value"), F.col("value")).alias("value")), back)
+        done = saved(reached.filter("value is not null").withColumnRenamed("value", "component"))
+        # a root without an edge inside its colour is no cycle
+        done = saved(done.join(inside.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
+        out = done if out is None else out.unionByName(done)
+        gone = reached.filter("value is not null").select("node")
+        e = core(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+
+
 def references(tokens: DataFrame, symbols: DataFrame, per_symbol: int = 80) -> DataFrame:
     """Uses of symbols (symbol, path, line of definition) in tokens (token, path, line), without the definition, capped per symbol in order."""
     uses = tokens.join(symbols.select(F.col("symbol").alias("token")).distinct(), "token")

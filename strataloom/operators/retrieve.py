@@ -134,3 +134,49 @@ def path_priority(path: Column) -> Column:
 def top_per_group(files: DataFrame, group: Column, order: list, top: int = 18) -> DataFrame:
     w = Window.partitionBy("group").orderBy(*order)
     return files.withColumn("group", group).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+#: Fixed: what else to search for when a query speaks of a subject; several words of one set stand for each other.
+EXPANSIONS = [
+    ((("mcp",),), ("tools/list", "CallToolRequestSchema")),
+    ((("api", "route", "endpoint"),), ("/api/", "route", "endpoint")),
+    ((("screenshot", "screenshots"),), ("prepare_screenshot", "vision-mcp", "image_urls_for_model")),
+    ((("retrieval", "retrieve"),), ("retrieve_context", "find_files", "raw_search")),
+    ((("context",), ("prep", "prepare")), ("prep_logs", "prep_url", "prep_text", "context-prep-mcp")),
+]
+TEST_EXPANSION = (".test.", ".spec.", "describe(", "it(")
+MOST_SYMBOL_SCORE = 60
+
+
+def domain_expansion(terms: Column, intent: str = "code", most: int = 18) -> Column:
+    """Further terms of the subjects that a query's terms name."""
+    low = F.transform(terms, F.lower)
+    none = F.array().cast("array<string>")
+    parts = []
+    for needs, adds in EXPANSIONS:
+        fits = F.lit(True)
+        for words in needs:
+            fits = fits & F.arrays_overlap(low, F.array(*map(F.lit, words)))
+        parts.append(F.when(fits, F.array(*map(F.lit, adds))).otherwise(none))
+    if intent == "test":
+        parts.append(F.array(*map(F.lit, TEST_EXPANSION)))
+    return F.slice(F.array_distinct(F.concat(*parts)), 1, most)
+
+
+def symbol_score(symbols: DataFrame, imports: DataFrame, terms: list[str]) -> DataFrame:
+    """(path, score): for each term 14 a symbol with it in the name (18 a route or tool), 4 a signature, 3 an import target; at most 60."""
+    name, signature, target = F.lower("name"), F.lower(F.coalesce("signature", F.lit(""))), F.lower("target")
+    of_symbol, of_import = F.lit(0), F.lit(0)
+    for t in (x.lower() for x in terms):
+        of_symbol = of_symbol + F.when(name.contains(t), F.when(F.col("kind").isin("route", "tool"), 18).otherwise(14)).when(signature.contains(t), 4).otherwise(0)
+        of_import = of_import + F.when(target.contains(t), 3).otherwise(0)
+    both = symbols.select("path", of_symbol.alias("s")).unionByName(imports.select("path", of_import.alias("s")))
+    return both.groupBy("path").agg(F.least(F.lit(MOST_SYMBOL_SCORE), F.sum("s")).alias("score"))
+
+
+def by_tier(ranked: DataFrame, tier: str, rank: str) -> DataFrame:
+    """Rows with their place when tiers go first and the earlier rank stays the order inside a tier."""
+    counts = ranked.groupBy(tier).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(tier).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a tier
+    w = Window.partitionBy(tier).orderBy(rank)
+    return ranked.join(F.broadcast(before), tier).withColumn("place", F.row_number().over(w) + F.col("_before")).drop("_n", "_before")

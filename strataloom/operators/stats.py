@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import random
+import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,17 +24,19 @@ def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, C
     return F.when(trials > 0, low).otherwise(0.0), F.when(trials > 0, high).otherwise(1.0)
 
 
+def erf(x: Column) -> Column:
+    """The error function of a number that is not negative, by its series of positive terms; exact to rounding."""
+    z = F.least(x.cast("double"), F.lit(6.0))  # beyond, 1 to a double's precision
+    start = F.struct(z.alias("term"), z.alias("total"))
+    step = lambda acc, n: F.struct((acc["term"] * 2 * z * z / (2 * n + 1)).alias("term"), (acc["total"] + acc["term"] * 2 * z * z / (2 * n + 1)).alias("total"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, step, lambda acc: acc["total"])
+    return F.least(F.lit(1.0), F.lit(2 / math.sqrt(math.pi)) * F.exp(-z * z) * total)
+
+
 def normal_cdf(x: Column) -> Column:
-    """Phi, by a continued rational form of erfc that is accurate to 1.2e-7."""
-    z = F.abs(x) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.5 * z)
-    # fixed values: coefficients of the Chebyshev fit of erfc
-    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(c[-1])
-    for k in reversed(c[:-1]):
-        poly = k + t * poly
-    tail = 0.5 * t * F.exp(-z * z + poly)
-    return F.when(x >= 0, 1 - tail).otherwise(tail)
+    """Phi."""
+    half = erf(F.abs(x) / F.lit(math.sqrt(2.0))) / 2
+    return F.when(x >= 0, 0.5 + half).otherwise(0.5 - half)
 
 
 def moments(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -86,36 +90,56 @@ def cost_factor(b: Column, n: Column, stable: Column, rho: float = 0.10) -> Colu
 
 
 def pareto(rows: DataFrame, key: str, axes: list[str]) -> DataFrame:
-    """Rows that no other beats on every axis; equal rows both stay. One row a candidate, broadcast by size."""
-    other = rows.select(*(F.col(a).alias(f"o_{a}") for a in axes))
+    """Rows that no other beats on every axis; equal rows both stay, and a row with a missing value is never beaten.
+
+    Each task first keeps what none of its own rows beats, so that only these few meet each other.
+    """
+
+    def front(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: pd.DataFrame | None = None
+        for frame in frames:
+            both = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            x = both[axes].to_numpy(float)
+            order = np.argsort(-np.nan_to_num(x, nan=np.inf).sum(1), kind="stable")
+            held = np.empty((0, len(axes)))
+            stays = np.zeros(len(both), bool)
+            for i in order:  # a row can only be beaten by one with a larger sum
+                if not ((held >= x[i]).all(1) & (held > x[i]).any(1)).any():
+                    stays[i] = True
+                    held = np.vstack([held, x[i]])
+            kept = both[stays]
+        if kept is not None:
+            yield kept
+
+    few = rows.mapInPandas(front, rows.schema)
+    other = rows.select(*axes).mapInPandas(front, rows.select(*axes).schema).select(*(F.col(a).alias(f"o_{a}") for a in axes)).distinct()
     no_worse, better = F.lit(True), F.lit(False)
     for a in axes:
         no_worse, better = no_worse & (F.col(f"o_{a}") >= F.col(a)), better | (F.col(f"o_{a}") > F.col(a))
-    return rows.join(other, no_worse & better, "left_anti")
+    return few.join(other, no_worse & better, "left_anti")
 
 
-def bootstrap(rows: DataFrame, group: str, cluster: str, value: str, resamples: int = 2000, seed: int = 42, conf: float = 0.95) -> DataFrame:
-    """Cluster bootstrap interval of the mean.
+#: Fixed: the chances of at most 0, 1, 2 ... draws of a Poisson variable with mean 1.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
-    Clusters are first reduced to (count, sum), so what meets in one task is a row a cluster.
-    """
-    small = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(cluster).alias("cluster")).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("cluster")
-        pairs = list(zip(frame["n"], frame["s"]))
-        rng = random.Random(seed)
-        draws = []
-        for _ in range(resamples):
-            took = [rng.choice(pairs) for _ in pairs]
-            total = sum(n for n, _ in took)
-            if total:
-                draws.append(sum(s for _, s in took) / total)
-        draws.sort()
-        alpha = (1 - conf) / 2
-        point = sum(s for _, s in pairs) / sum(n for n, _ in pairs)
-        return pd.DataFrame([{"g": frame["g"].iloc[0], "clusters": len(pairs), "point": point, "low": draws[int(alpha * len(draws))], "high": draws[int((1 - alpha) * len(draws)) - 1]}])
-
-    return small.groupBy("g").applyInPandas(run, "g string, clusters long, point double, low double, high double")
 
+def bootstrap(rows: DataFrame, group: str, cluster: str, value: str, resamples: int = 2000, seed: int = 42, conf: float = 0.95) -> DataFrame:
+    """Cluster bootstrap interval of the mean: g, clusters, point, low, high.
 
+    Every cluster gets a Poisson weight of mean 1 in each resample, drawn by a hash of seed, cluster and resample; the
+    weighted sums are partially aggregated, so a group of any number of clusters is spread over all tasks, and a
+    resample is one row a group. Weights are reproducible, but not those of drawing with replacement by a seeded generator.
+    """
+    small = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(cluster).cast("string").alias("c")).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    each = small.select("g", "c", "n", "s", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "c", "r"), F.lit(2**52)) / float(2**52)
+    weight = F.lit(0)
+    for p in POISSON:
+        weight = weight + F.when(u >= p, 1).otherwise(0)
+    drawn = each.withColumn("w", weight).filter("w > 0").groupBy("g", "r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n")).filter("n > 0")
+    draws = drawn.groupBy("g").agg(F.sort_array(F.collect_list(F.col("s") / F.col("n"))).alias("d"))  # `resamples` numbers a group
+    point = small.groupBy("g").agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("n")).alias("point"))
+    alpha = (1 - conf) / 2
+    at = lambda i: F.element_at("d", i.cast("int"))
+    n = F.size("d")
+    return point.join(draws, "g", "left").select("g", "clusters", "point", at(F.floor(alpha * n) + 1).alias("low"), at(F.greatest(F.lit(1), F.floor((1 - alpha) * n))).alias("high"))

@@ -12,12 +12,8 @@ from .scalar_queries import scalar
 K = lambda: F.col("p_partkey")
 PART = ("part", "p_partkey")
 
-scalar("fn_schema_ref", *PART, lambda: F.substring_index(F.concat(F.lit("#/components/schemas/S"), K().cast("string")), "/", -1), "'S' || p_partkey")
 scalar("fn_to_number", *PART, lambda: C.to_number(F.when(K() % 3 == 0, "x").when(K() % 3 == 1, F.col("p_size").cast("string")), 12.0, 1.0, 40.0), "CAST(CASE WHEN p_partkey % 3 = 1 THEN least(40.0, greatest(1.0, p_size)) ELSE 12.0 END AS DOUBLE)")
-scalar("fn_ocr_hint_ok", *PART, lambda: (F.length(F.trim("p_name")) >= 3) & (F.col("p_size") / 100 >= 0.45), "length(trim(p_name)) >= 3 AND p_size / 100 >= 0.45")
-scalar("fn_command_policy", *PART, lambda: F.coalesce(F.when(K() % 4 == 0, "explicit"), F.when(K() % 4 == 1, "file"), F.when(K() % 4 == 2, "builtin"), F.lit("unavailable")), "['explicit', 'file', 'builtin', 'unavailable'][p_partkey % 4 + 1]")
 scalar("fn_region_normalize", *PART, lambda: F.to_json(C.clip(K().cast("int") % 80 - 10, F.lit(5), K().cast("int") % 80 + 10, F.lit(90), 64, 64)), "CASE WHEN least(64, greatest(0, p_partkey % 80 + 10)) > least(64, greatest(0, p_partkey % 80 - 10)) THEN '{\"x0\":' || least(64, greatest(0, p_partkey % 80 - 10)) || ',\"y0\":5,\"x1\":' || least(64, greatest(0, p_partkey % 80 + 10)) || ',\"y1\":64}' END")
-scalar("fn_infer_globs", *PART, lambda: F.concat(F.substring_index(F.concat(F.lit("dir"), (K() % 5).cast("string"), F.lit("/a/b.ts")), "/", 1), F.lit("/**")), "'dir' || p_partkey % 5 || '/**'")
 scalar("agg_context_quality", *PART, lambda: C.presence_score([K() % n == 0 for n in (2, 3, 4, 5, 6, 7, 8, 9)])[0], " + ".join(f"(p_partkey % {n} = 0)::DOUBLE" for n in (2, 3, 4, 5, 6, 7, 8, 9)).join(("(", ") / 8")))
 
 
@@ -74,16 +70,3 @@ def agg_quality_counters(t):
     rows = t("events").select((F.col("event_type") == "error").alias("failed"), (F.col("value") - 50).alias("excess"))
     return C.counter_sums(rows, ["failed", "excess"])
 
-
-@query("agg_compression_summary", "WITH r AS (SELECT p_size / 50.0 AS ratio, p_size AS units FROM part) SELECT count(*) AS requests, count(*) FILTER (ratio <= 0.2) AS aggressive, floor(avg(units) * 100.0 + 0.5) / 100.0 AS avg_units FROM r")
-def agg_compression_summary(t):
-    from strataloom.functions.text import round_to
-
-    return t("part").agg(F.count("*").alias("requests"), F.count_if(F.col("p_size") / 50 <= 0.2).alias("aggressive"), round_to(F.avg("p_size"), 2).alias("avg_units"))
-
-
-@query("agg_depth_compare", "WITH s AS (SELECT p_brand, avg(p_size) FILTER (p_partkey % 2 = 0) AS before, avg(p_size) FILTER (p_partkey % 2 = 1) AS after FROM part GROUP BY 1) SELECT p_brand, after - before AS delta, CASE WHEN after - before > 0.5 THEN 'deeper' WHEN after - before < -0.5 THEN 'shallower' ELSE 'same' END AS direction FROM s")
-def agg_depth_compare(t):
-    half = lambda r: F.avg(F.when(K() % 2 == r, F.col("p_size")))
-    d = t("part").groupBy("p_brand").agg((half(1) - half(0)).alias("delta"))
-    return d.withColumn("direction", F.when(F.col("delta") > 0.5, "deeper").when(F.col("delta") < -0.5, "shallower").otherwise("same"))

@@ -58,7 +58,7 @@ DECLARED = "d AS (SELECT unnest(['@scope/pkg1', '@scope/pkg9', 'lib2', 'lib8', '
 @query("join_dep_imports", f"WITH {SOURCE}, i AS ({found(C.IMPORTS, 'target')}), u AS (SELECT DISTINCT CASE WHEN starts_with(target, '@') THEN split_part(target, '/', 1) || '/' || split_part(target, '/', 2) ELSE split_part(target, '/', 1) END AS p FROM i WHERE NOT starts_with(target, '.')), {DECLARED} SELECT package FROM d WHERE package NOT IN (SELECT p FROM u) AND replace(package, '@types/', '') NOT IN (SELECT p FROM u)")
 def join_dep_imports(t):
     files = source(t)
-    declared = t("region").limit(1).select(F.explode(F.array(*map(F.lit, ("@scope/pkg1", "@scope/pkg9", "lib2", "lib8", "@types/lib3", "@types/lib9")))).alias("package"))
+    declared = t("region").sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("@scope/pkg1", "@scope/pkg9", "lib2", "lib8", "@types/lib3", "@types/lib9")))).alias("package"))
     return C.unused_dependencies(declared, C.imports(files))
 
 

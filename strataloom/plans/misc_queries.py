@@ -74,10 +74,6 @@ def filter_reason(t):
     return files(t).select("path", P.filter_reason(p).alias("reason"), P.category(p).alias("category"), F.length(T.extension(p)).alias("ext_chars"))
 
 
-@query("agg_top_extensions", f"WITH {FILES} SELECT coalesce(nullif(regexp_extract(path, '(\\.[^./]*)$', 1), ''), '[none]') AS ext, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, ext LIMIT 8")
-def agg_top_extensions(t):
-    return files(t).groupBy(F.coalesce(F.nullif(T.extension(F.col("path")), F.lit("")), F.lit("[none]")).alias("ext")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ext").limit(8)
-
 
 @query("topk_per_group", f"WITH {FILES}, r AS (SELECT path, split_part(path, '/', 1) AS \"group\", row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path) AS rank FROM f) SELECT * FROM r WHERE rank <= 18")
 def topk_per_group(t):
@@ -114,12 +110,6 @@ def fn_redact(t):
     return t("conversations").select("conv_id", "turn", T.redact(F.col("text")).alias("clean"))
 
 
-@query("win_slug_dedup", "WITH h AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), s AS (SELECT doc_id, line, regexp_replace(regexp_replace(lower(trim(substr(x, 1, 5))), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g') AS slug FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line) - 1 AS n FROM s) SELECT doc_id, line, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS slug FROM r")
-def win_slug_dedup(t):
-    h = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("line"), T.github_slug(F.trim(F.substring("x", 1, 5))).alias("slug"))
-    n = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("line")) - 1
-    return h.select("doc_id", "line", F.when(n == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), n.cast("string"))).alias("slug"))
-
 
 @query("agg_context_pressure", f"WITH {FILES}, l AS (SELECT path, len(string_split(text, chr(10))) AS n, doc_id FROM f) SELECT split_part(path, '/', 1) AS \"group\", CAST(sum(CASE WHEN regexp_matches(path, '\\.md$') THEN n ELSE 2 * n END) AS BIGINT) AS pressure, CAST(sum(CASE WHEN regexp_matches(path, '\\.md$') THEN n ELSE 0 END) AS BIGINT) AS doc_lines FROM l GROUP BY 1")
 def agg_context_pressure(t):
@@ -139,25 +129,23 @@ def src_git_numstat(t):
     return IN.git_numstat(numstat(t))
 
 
-@query("src_lockfile", "SELECT p_partkey AS report, 'a' AS name, '1.' || (p_partkey % 3) AS version, p_partkey % 2 = 0 AS dev FROM part WHERE p_partkey <= 50 UNION ALL SELECT p_partkey, 'b', '2.0', FALSE FROM part WHERE p_partkey <= 50")
-def src_lockfile(t):
-    k = F.col("p_partkey")
-    raw = F.concat(F.lit('{"packages": {"": {}, "node_modules/b": {"version": "2.0"}, "node_modules/a": {"version": "1.'), (k % 3).cast("string"), F.lit('", "dev": '), (k % 2 == 0).cast("string"), F.lit("}}}"))
-    return t("part").filter(k <= 50).select(k.alias("report"), F.explode(IN.lockfile(raw)).alias("p")).select("report", "p.name", "p.version", "p.dev")
-
-
-# Whole lines and all parts; without SQL, as the SQL of win_slug_dedup and src_lockfile is of a part.
+SLUGS = "WITH h AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), s AS (SELECT doc_id, line, regexp_replace(regexp_replace(lower(trim(x)), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g') AS slug FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line) - 1 AS n FROM s) SELECT doc_id, line, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS slug FROM r"
 
 
-@query("win_slug_dedup_whole")
-def win_slug_dedup_whole(t):
+@query("win_slug_dedup_whole", SLUGS)
+@query("win_slug_dedup", SLUGS)
+def win_slug_dedup(t):
     h = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("line"), T.github_slug(F.trim("x")).alias("slug"))
     n = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("line")) - 1
     return h.select("doc_id", "line", F.when(n == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), n.cast("string"))).alias("slug"))
 
 
-@query("src_lockfile_whole")
-def src_lockfile_whole(t):
+LOCKS = "SELECT p_partkey AS report, 'a' AS name, '1.' || (p_partkey % 3) AS version, p_partkey % 2 = 0 AS dev FROM part UNION ALL SELECT p_partkey, 'b', '2.0', FALSE FROM part"
+
+
+@query("src_lockfile_whole", LOCKS)
+@query("src_lockfile", LOCKS)
+def src_lockfile(t):
     k = F.col("p_partkey")
     raw = F.concat(F.lit('{"packages": {"": {}, "node_modules/b": {"version": "2.0"}, "node_modules/a": {"version": "1.'), (k % 3).cast("string"), F.lit('", "dev": '), (k % 2 == 0).cast("string"), F.lit("}}}"))
     return t("part").select(k.alias("report"), F.explode(IN.lockfile(raw)).alias("p")).select("report", "p.name", "p.version", "p.dev")

@@ -12,6 +12,7 @@ from strataloom.operators import compact as K
 from strataloom.operators import diffs as D
 from strataloom.operators import logs as L
 from strataloom.operators import retrieve as R
+from strataloom.operators import windows as V
 
 from .registry import query
 from .text_queries import NORMAL, SCORE, clamp, has, pct, tokens, trim
@@ -32,10 +33,16 @@ X, N = (lambda: F.col("text")), (lambda: F.col("p_partkey"))
 DOC = ("documents", "doc_id")
 PART = ("part", "p_partkey")
 LINE = "split_part(text, chr(10), 1)"
-first_line = lambda: F.substring_index("text", "\n", 1)
+LINES_OF = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
+
+
+def by_line(name: str, value, sql: str):
+    """value(text) of every line of every document."""
+    query(name, f"SELECT doc_id, line, {sql} AS value FROM {LINES_OF}")(lambda t: K.lines(t("documents")).select("doc_id", "line", value(F.col("text")).alias("value")))
+
 
 for name, pattern in {"pred_error_line": P.ERROR, "pred_command_line": P.COMMAND, "pred_stack_line": P.STACK, "pred_decision": P.DECISION, "pred_action": P.ACTION, "pred_risk": P.RISK, "pred_question": P.QUESTION, "pred_critical_unit": P.CRITICAL, "pred_noise_unit": P.NOISE}.items():
-    scalar(name, *DOC, lambda pattern=pattern: P.matches(first_line(), pattern), has(LINE, pattern))
+    by_line(name, lambda x, pattern=pattern: P.matches(x, pattern), has("x", pattern))
 
 PATHS = ("a/.env", "docs/Secret.md", "x.PNG", "src/a.ts", "dist/a.js", "b/yarn.lock", "readme.md", "k.pem", "lib/noext")
 path = lambda: F.element_at(F.array(*map(F.lit, PATHS)), (N() % len(PATHS) + 1).cast("int"))
@@ -67,29 +74,56 @@ scalar("fn_clamp_trunc", *DOC, lambda: T.clamp_cut(X(), 200, 80, " [cut]"), "CAS
 scalar("fn_normalize_ws", *DOC, lambda: T.normalise_space(F.concat(F.lit("  \t"), F.replace(X(), F.lit(" "), F.lit("  ")), F.lit("\n\n\n\n\nend "))), f"{TRIMMED('''regexp_replace(replace(chr(32) || chr(32) || chr(9) || replace(text, ' ', '  ') || repeat(chr(10), 5) || 'end ', chr(9), ' '), '[ ]{2,}', ' ', 'g')''').replace('regexp_replace(regexp_replace(', 'regexp_replace(regexp_replace(regexp_replace(', 1).replace(''', ' ', 'g'), '^''', ''', ' ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^''', 1)}")
 scalar("fn_strip_ansi", *DOC, lambda: T.strip_ansi(F.concat(F.lit("\x1b[31m"), X(), F.lit("\x1b[0m"))), "text")
 scalar("fn_first_lines", *DOC, lambda: joined(T.first_lines(X(), 3)), f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim('x')}), lambda x: x <> '')[1:3], '␟')")
-scalar("fn_terms", *DOC, lambda: F.size(T.terms(F.substring("text", 1, 300))), "len(list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 300)), '[^a-z0-9_а-яё-]+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'you', 'your', 'are'))))")
 scalar("fn_split_units", *DOC, lambda: F.size(K.units_of(X())), f"len(list_filter(string_split(text, chr(10)), lambda x: {trim('x')} <> ''))")
-scalar("fn_score_unit", *DOC, lambda: K.score_unit(first_line(), F.lit(0), ()), SCORE.replace("8 * h + CASE WHEN h >= 2 THEN 8 ELSE 0 END + ", "").replace("(i - 1)", "0").replace("regexp_matches(x,", f"regexp_matches({LINE},"))
 scalar("fn_stable_hash", *DOC, lambda: T.stable_hash(X()), "substr(sha256(text), 1, 16)")
-scalar("fn_github_slug", *DOC, lambda: T.github_slug(F.substring("text", 1, 40)), "regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 40), '^\\s+|\\s+$', '', 'g')), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g')")
 scalar("fn_normalize_section", *DOC, lambda: C.normal_section(X()), "lower(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')))", "(SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g'), '\\[[^\\]]+\\]\\([^)]+\\)', ' ', 'g'), 'https?://\\S+', ' ', 'g') AS text FROM documents)")
-scalar("fn_normalize_dup_line", *DOC, lambda: K.normal_line(first_line()), NORMAL(LINE))
 scalar("fn_safe_url", "pages", "page_id", lambda: T.safe_url(F.col("url")), "regexp_replace(url, '[?#].*$', '')")
 scalar("fn_safe_id", *PART, lambda: T.safe_id(F.concat(F.lit(" --A/"), F.col("p_name"), F.lit("! ")), 20), "substr(regexp_replace(regexp_replace(lower('--A/' || p_name || '!'), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 20)")
 scalar("fn_clean_label", *PART, lambda: L.label(F.concat(F.lit("  "), F.col("p_name")), 5), "substr(trim(p_name), 1, 5)")
 scalar("fn_package_name", *PART, lambda: C.package_name(F.element_at(F.array(*map(F.lit, ("@a/b/c", "lib/x", "./y", "node:fs", "z"))), (N() % 5 + 1).cast("int"))), "['@a/b', 'lib', '', '', 'z'][p_partkey % 5 + 1]")
 scalar("fn_major", *PART, lambda: T.major(F.concat(F.lit("^"), N().cast("string"), F.lit(".2.3"))), "CAST(p_partkey AS INT)")
-scalar("fn_byte_saving", *DOC, lambda: 1 - F.length(F.substring("text", 1, 200)) / F.length("text"), "1 - length(substr(text, 1, 200)) / length(text)")
-scalar("fn_ratio", *DOC, lambda: F.when(F.length("text") > 0, F.length(F.substring("text", 1, 200)) / F.length("text")).otherwise(0.0), "length(substr(text, 1, 200)) / length(text)")
 scalar("fn_compressors", *DOC, lambda: joined(F.array(*(F.md5(f(X())) for f in K.COMPRESSORS.values()))), "md5(substr(text, 1, 200)) || '␟' || md5(substr(text, 1, 1000)) || '␟' || md5(text) || '␟' || md5(regexp_replace(text, '\\s+', ' ', 'g'))")
 scalar("fn_clamp01", *PART, lambda: T.clamp01(F.col("p_size") / 30 - 0.5), "least(1.0, greatest(0.0, p_size / 30 - 0.5))")
 scalar("fn_safe_preview", *DOC, lambda: T.safe_preview(F.regexp_replace("text", r"[:=]", " "), 50), f"CASE WHEN length({trim('''regexp_replace(regexp_replace(text, '[:=]', ' ', 'g'), '\\s+', ' ', 'g')''')}) <= 50 THEN {trim('''regexp_replace(regexp_replace(text, '[:=]', ' ', 'g'), '\\s+', ' ', 'g')''')} ELSE substr({trim('''regexp_replace(regexp_replace(text, '[:=]', ' ', 'g'), '\\s+', ' ', 'g')''')}, 1, 49) || '…' END")
 scalar("set_unique_ci", *DOC, lambda: F.size(T.unique_ci(F.split("text", " "), 10_000)), f"len(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda x: lower({trim('x')})), lambda x: x <> '')))")
-scalar("set_unique", *DOC, lambda: F.size(F.array_distinct(F.split("text", " "))), "len(list_distinct(string_split(text, ' ')))")
-scalar("set_diff", *DOC, lambda: F.size(F.array_except(F.split("text", " "), F.split(first_line(), " "))), f"len(list_distinct(list_filter(string_split(text, ' '), lambda x: NOT list_contains(string_split({LINE}, ' '), x))))")
-WORDS = "list_filter(string_split(substr(text, 1, 60), ' '), lambda x: x <> '')"
-words = lambda: F.filter(F.split(F.substring("text", 1, 60), " "), lambda x: x != "")
-scalar("win_adjacent_pairs", *DOC, lambda: joined(F.transform(F.arrays_zip(F.slice(words(), F.lit(1), F.greatest(F.lit(0), F.size(words()) - 1)).alias("a"), F.slice(words(), F.lit(2), F.size(words())).alias("b")), lambda p: F.concat(p["a"], F.lit("-"), p["b"]))), f"array_to_string(list_transform(range(1, len({WORDS})), lambda i: {WORDS}[i] || '-' || {WORDS}[i + 1]), '␟')")
+W_LIST = "(SELECT doc_id, string_split(text, ' ') AS w FROM documents)"
+split = lambda: F.split("text", " ")
+scalar("set_unique", *DOC, lambda: F.size(V.unique(split())), f"len(list_distinct(list_filter(list_transform(w, lambda x: {trim('x')}), lambda x: x <> '')))", W_LIST)
+scalar("set_diff", *DOC, lambda: F.size(V.difference(split(), F.split(F.substring_index("text", "\n", 1), " "))), f"len(list_distinct(list_filter(string_split(text, ' '), lambda x: NOT list_contains(string_split({LINE}, ' '), x))))")
+scalar("win_adjacent_pairs", *DOC, lambda: F.md5(joined(V.adjacent_pairs(split()))), "md5(array_to_string(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda p: p[1] || '-' || p[2]), '␟'))", W_LIST)
+scalar("win_tail", *DOC, lambda: V.tail(X(), 3, 400), clamp("v", 400), f"(SELECT doc_id, {trim('array_to_string(w[greatest(1, len(w) - 2):], chr(10))')} AS v FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))")
+scalar("fn_ratio", *DOC, lambda: V.ratio(F.length(F.regexp_replace("text", r"\s+", "")), F.length("text")), "CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '\\s+', '', 'g')) / length(text) ELSE 0.0 END")
+scalar("fn_byte_saving", *DOC, lambda: V.byte_saving(F.octet_length(F.regexp_replace("text", r"\s+", " ")), F.octet_length("text")), "1 - strlen(regexp_replace(text, '\\s+', ' ', 'g')) / strlen(text)")
+scalar("fn_terms", *DOC, lambda: F.size(T.terms(X())), "len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_а-яё-]+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'you', 'your', 'are'))))")
+by_line("fn_score_unit", lambda x: K.score_unit(x, F.col("line") - 1, ()), SCORE.replace("8 * h + CASE WHEN h >= 2 THEN 8 ELSE 0 END + ", "").replace("(i - 1)", "(line - 1)"))
+by_line("fn_normalize_dup_line", K.normal_line, NORMAL("x"))
+by_line("fn_github_slug", T.github_slug, "regexp_replace(regexp_replace(lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g')")
+
+
+@query("agg_first_value", "SELECT user_id, min_by(event_type, event_id) FILTER (event_type <> 'view') AS first FROM events GROUP BY 1")
+def agg_first_value(t):
+    rows = t("events").select("user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("event_type"))
+    return V.first_value(rows, ["user_id"], "event_type", "event_id")
+
+
+@query("set_dedupe_by", "SELECT user_id, event_type, min(event_id) AS event_id, min_by(value, event_id) AS value FROM events GROUP BY ALL")
+def set_dedupe_by(t):
+    return V.dedupe_by(t("events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("win_per_key_cap", "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events) SELECT user_id, event_id, rank FROM r WHERE rank <= 80")
+def win_per_key_cap(t):
+    return V.cap_per_key(t("events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 80).select("user_id", "event_id", "rank")
+
+
+@query("win_score_gap", "WITH r AS (SELECT source, length(text) AS score, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS r, lead(length(text), 1, 0) OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS second FROM documents) SELECT source, score AS top, score - second AS gap FROM r WHERE r = 1")
+def win_score_gap(t):
+    return V.score_gap(t("documents").select("source", "doc_id", F.length("text").alias("score")), "source", "score", "doc_id")
+
+
+@query("agg_compression_summary", "WITH r AS (SELECT p_size / 50.0 AS ratio, p_size AS units, p_partkey % 7 = 0 AS fallback FROM part) SELECT count(*) AS requests, count(*) FILTER (ratio <= 0.2) AS aggressive, count(*) FILTER (fallback) AS fallbacks, floor(avg(units) * 100.0 + 0.5) / 100.0 AS avg_units FROM r")
+def agg_compression_summary(t):
+    return V.compression_summary(t("part").select((F.col("p_size") / 50).alias("ratio"), F.col("p_size").alias("units_kept"), (N() % 7 == 0).alias("fallback")))
 
 
 @query("agg_sum_finite", "SELECT event_type, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END) AS total FROM events GROUP BY 1")
@@ -98,10 +132,6 @@ def agg_sum_finite(t):
     return t("events").groupBy("event_type").agg(F.sum(L.finite(x)).alias("total"))
 
 
-@query("agg_first_value", "SELECT user_id, min_by(event_type, event_id) FILTER (event_type <> 'view') AS first FROM events GROUP BY 1")
-def agg_first_value(t):
-    return t("events").groupBy("user_id").agg(F.min_by("event_type", F.when(F.col("event_type") != "view", F.col("event_id"))).alias("first"))
-
 
 @query("win_next_line", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, line, lead(length(x)) OVER (PARTITION BY doc_id ORDER BY line) AS next_chars FROM l")
 def win_next_line(t):
@@ -113,48 +143,7 @@ def src_text_lines(t):
     return K.lines(t("documents")).select("doc_id", "line", F.md5("text").alias("digest"))
 
 
-@query("win_per_key_cap", "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT user_id, event_id FROM r WHERE r <= 80")
-def win_per_key_cap(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").withColumn("r", F.row_number().over(w)).filter("r <= 80").select("user_id", "event_id")
-
-
-@query("join_feedback_traffic", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'own' WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS traffic FROM events WHERE event_id % 5 = 0")
-def join_feedback_traffic(t):
-    i = F.col("event_id")
-    feedback = t("events").filter(i % 5 == 0).select("event_id", F.when(i % 2 == 0, "own").otherwise("unknown").alias("own"))
-    calls = t("events").filter(i % 3 != 0).select("event_id", "event_type")
-    return feedback.join(calls, "event_id", "left").select("event_id", F.coalesce(F.nullif("own", F.lit("unknown")), "event_type").alias("traffic"))
 
 
-@query("join_helpful_semi", "SELECT event_id, event_id IN (SELECT event_id FROM events WHERE event_type = 'purchase') AS helpful FROM events WHERE value > 50")
-def join_helpful_semi(t):
-    rows, good = t("events").filter("value > 50").select("event_id"), t("events").filter("event_type = 'purchase'").select("event_id")
-    return rows.join(good, "event_id", "left_semi").withColumn("helpful", F.lit(True)).unionByName(rows.join(good, "event_id", "left_anti").withColumn("helpful", F.lit(False)))
-
-
-@query("join_query_override", "SELECT doc_id, coalesce(CASE WHEN quality = 0 THEN 'low' END, source, '') AS query FROM documents LEFT JOIN labels USING (doc_id)")
-def join_query_override(t):
-    over = t("labels").filter("quality = 0").select("doc_id", F.lit("low").alias("over"))
-    return t("documents").select("doc_id", "source").join(over, "doc_id", "left").select("doc_id", F.coalesce("over", "source", F.lit("")).alias("query"))
-
-
-@query("join_cross_pairwise", "WITH g AS (SELECT event_type AS g, avg(value) AS m FROM events GROUP BY 1) SELECT a.g AS a, b.g AS b, a.m - b.m AS gap FROM g a JOIN g b ON a.g < b.g")
-def join_cross_pairwise(t):
-    g = t("events").groupBy("event_type").agg(F.avg("value").alias("m"))
-    a, b = g.select(F.col("event_type").alias("a"), F.col("m").alias("ma")), g.select(F.col("event_type").alias("b"), F.col("m").alias("mb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("ma") - F.col("mb")).alias("gap"))
-
-
-@query("win_score_gap", "WITH r AS (SELECT source, length(text) AS score, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS r, lead(length(text), 1, 0) OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS second FROM documents) SELECT source, score - second AS gap FROM r WHERE r = 1")
-def win_score_gap(t):
-    w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
-    rows = t("documents").select("source", "doc_id", F.length("text").alias("score"))
-    return rows.withColumns({"r": F.row_number().over(w), "second": F.lead("score", 1, 0).over(w)}).filter("r = 1").select("source", (F.col("score") - F.col("second")).alias("gap"))
 
 
-@query("limit_findings", "WITH f AS (SELECT event_id, count(*) OVER () AS total, row_number() OVER (ORDER BY event_id) AS r FROM events WHERE event_type = 'error') SELECT event_id, total, total > 20 AS truncated FROM f WHERE r <= 20")
-def limit_findings(t):
-    found = t("events").filter("event_type = 'error'").select("event_id")
-    total = found.agg(F.count("*").alias("total"))
-    return found.orderBy("event_id").limit(20).crossJoin(total).withColumn("truncated", F.col("total") > 20)

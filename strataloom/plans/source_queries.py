@@ -53,10 +53,6 @@ def src_sarif(t):
     return IN.sarif(report(t, raw))
 
 
-@query("agg_finding_counts", "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM part GROUP BY 1")
-def agg_finding_counts(t):
-    return src_sarif(t).groupBy("severity").agg(F.count("*").alias("n"))
-
 
 @query("src_npm_audit", "SELECT p_partkey AS report_id, 'pkg' || p_partkey % 30 AS package, ['low', 'high', 'critical'][p_partkey % 3 + 1] AS severity, p_partkey % 2 = 0 AS is_direct, '<' || p_size AS range FROM part")
 def src_npm_audit(t):
@@ -96,28 +92,8 @@ def src_ocr_tsv(t):
     return IN.ocr_table(lines).select("image", F.size(F.split("text", " ")).cast("long").alias("words"), "confidence")
 
 
-@query("set_dedupe_by", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
-def set_dedupe_by(t):
-    return t("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-
-
-@query("set_removed_lines", "WITH o AS (SELECT DISTINCT trim(unnest(string_split(text, chr(10)))) AS x FROM documents WHERE doc_id % 2 = 0), n AS (SELECT DISTINCT trim(unnest(string_split(text, chr(10)))) AS x FROM documents WHERE doc_id % 2 = 1) SELECT md5(x) AS removed FROM o WHERE x NOT IN (SELECT x FROM n)")
-def set_removed_lines(t):
-    side = lambda r: t("documents").filter(F.col("doc_id") % 2 == r).select(F.explode(F.split("text", "\n")).alias("x")).select(F.trim("x").alias("x")).distinct()
-    return side(0).join(side(1), "x", "left_anti").select(F.md5("x").alias("removed"))
-
-
-@query("win_tail", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM l) SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS tail FROM r WHERE r <= 3 GROUP BY doc_id")
-def win_tail(t):
-    l = F.split("text", "\n")
-    return t("documents").select("doc_id", F.array_join(F.slice(l, F.greatest(F.lit(1), F.size(l) - 2), F.lit(3)), "\n").alias("tail"))
 
 
-@query("fn_status_from_exit", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 11 = 1 AND event_type <> 'error' THEN 'passed' ELSE 'failed' END AS status FROM events")
-def fn_status_from_exit(t):
-    code = F.when(F.col("event_id") % 11 == 0, 127).when(F.col("event_id") % 11 == 1, 0).otherwise(1)
-    status = F.when(code.isNull() | (code == 127), "error").when((code == 0) & (F.col("event_type") != "error"), "passed").otherwise("failed")
-    return t("events").select("event_id", status.alias("status"))
 
 
 @query("fn_red_class", "SELECT event_id, CASE event_type WHEN 'error' THEN 'import' WHEN 'view' THEN 'syntax' WHEN 'click' THEN 'assertion' ELSE 'other' END AS kind FROM events")

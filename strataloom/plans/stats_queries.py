@@ -29,10 +29,14 @@ WELCH = """m AS (SELECT event_type AS g, count(value) AS n, avg(value) AS mean,
 p AS (SELECT a.g || ' vs ' || b.g AS pair, (a.mean - b.mean) / sqrt(a.var / a.n + b.var / b.n) AS t, pow(a.var / a.n + b.var / b.n, 2) / (pow(a.var / a.n, 2) / (a.n - 1) + pow(b.var / b.n, 2) / (b.n - 1)) AS df, (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) AS d FROM m a JOIN m b ON a.g < b.g)"""
 
 
-@query("agg_welch", f"WITH {WELCH} SELECT pair, floor(t * 1e6 + 0.5) / 1e6 AS t, floor(df * 1e3 + 0.5) / 1e3 AS df FROM p")
+#: erf by its series in gamma functions, which is another one than the operator's.
+ERF = "CASE WHEN z = 0 THEN 0.0 ELSE list_sum(list_transform(range(0, 160), lambda n: exp((2 * n + 1) * ln(z) - lgamma(n + 1.5) - z * z))) END"
+
+
+@query("agg_welch", f"WITH {WELCH}, z AS (SELECT *, abs(t) / sqrt(2.0) AS z FROM p) SELECT pair, floor(t * 1e6 + 0.5) / 1e6 AS t, floor(df * 1e3 + 0.5) / 1e3 AS df, floor((1 - {ERF}) * 1e8 + 0.5) / 1e8 AS p FROM z")
 def agg_welch(t):
     r = S.pairwise(t("events"), "event_type", "value")
-    return r.select("pair", (F.floor(F.col("t") * 1e6 + 0.5) / 1e6).alias("t"), (F.floor(F.col("df") * 1e3 + 0.5) / 1e3).alias("df"))
+    return r.select("pair", (F.floor(F.col("t") * 1e6 + 0.5) / 1e6).alias("t"), (F.floor(F.col("df") * 1e3 + 0.5) / 1e3).alias("df"), (F.floor(F.col("p") * 1e8 + 0.5) / 1e8).alias("p"))
 
 
 @query("agg_cohens_d", f"WITH {WELCH} SELECT pair, floor(d * 1e6 + 0.5) / 1e6 AS d FROM p")
@@ -62,7 +66,7 @@ def agg_variance_components(t):
 
 @query("agg_bootstrap")
 def agg_bootstrap(t):
-    return S.bootstrap(C.compressor_runs(t("documents")), "compressor", "doc_id", "b", 200)
+    return S.bootstrap(C.compressor_runs(t("documents")), "compressor", "doc_id", "b")
 
 
 @query("fn_cost_factor", f"WITH {RUNS} SELECT compressor, doc_id, run AS n, (1 - (1 - ratio)) * (1 + (run - 1) * (1 * 0.1 + 1 - 1)) AS cost FROM r")
@@ -84,12 +88,13 @@ def fn_pareto(t):
 
 
 def edges(t):
-    """Each supplier refers to those of the next part keys."""
+    """Each part refers to 5k mod 11, each supplier to 7k mod 13 + 20: trees that end in rings of one to twelve nodes."""
     l = t("lineitem")
-    return l.select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") * 7) % 97 + 1).alias("dst")).filter("l_linenumber = 1 and l_quantity > 48").distinct()
+    a = l.select(F.col("l_partkey").alias("src"), (F.col("l_partkey") * 5 % 11).alias("dst"))
+    return a.union(l.select("l_suppkey", F.col("l_suppkey") * 7 % 13 + 20)).distinct()
 
 
-EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey * 7) % 97 + 1 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 48)"
+EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_partkey * 5 % 11 AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey, l_suppkey * 7 % 13 + 20 FROM lineitem)"
 
 
 @query("graph_import_graph", f"WITH {EDGES} SELECT src, array_to_string(list_sort(list(dst)), ',') AS targets FROM e GROUP BY src")
@@ -108,10 +113,18 @@ def join_blast_radius(t):
     return G.blast_radius(e, e.filter("src % 2 = 0"), 5)
 
 
-@query("graph_cycles", f"""WITH RECURSIVE {EDGES}, p(start, cur, path) AS (SELECT src, dst, [src] FROM e WHERE dst >= src UNION ALL SELECT start, e.dst, list_append(path, cur) FROM p JOIN e ON e.src = p.cur WHERE cur > start AND len(path) < 3 AND NOT list_contains(path, cur) AND e.dst >= start)
-SELECT array_to_string(path, ',') AS cycle FROM p WHERE cur = start""")
+
+RING = f"""WITH RECURSIVE {EDGES}, p(start, cur, path) AS (SELECT src, dst, [src] FROM e WHERE dst >= src AND src <= 100 UNION ALL SELECT start, e.dst, list_append(path, cur) FROM p JOIN e ON e.src = p.cur WHERE cur > start AND NOT list_contains(path, cur) AND e.dst >= start)"""
+
+
+@query("graph_cycles", f"{RING} SELECT array_to_string(path, ',') AS cycle FROM p WHERE cur = start")
 def graph_cycles(t):
-    return G.cycles(edges(t), 3).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+    return G.cycles(edges(t)).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+
+
+@query("graph_components", f"WITH RECURSIVE {EDGES}, n AS (SELECT DISTINCT src AS a FROM e WHERE src IN (SELECT dst FROM e)), r(a, b) AS (SELECT src, dst FROM e WHERE src IN (SELECT a FROM n) UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT x.a AS node, max(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1")
+def graph_components(t):
+    return G.strong_components(edges(t))
 
 
 @query("join_orphans", f"WITH {EDGES} SELECT DISTINCT src AS path FROM e WHERE src NOT IN (SELECT dst FROM e WHERE src <> dst)")
@@ -122,13 +135,30 @@ def join_orphans(t):
     return found.select(F.col("path").cast("bigint").alias("path"))
 
 
-@query("join_doc_links", "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"/]+)\"', 1)) AS target FROM pages), f AS (SELECT DISTINCT unnest(string_split(substr(text, 1, 200), ' ')) AS path FROM documents) SELECT page_id, target, count(*) AS n FROM l WHERE target NOT IN (SELECT path FROM f) GROUP BY ALL")
+
+LINKS = "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"/]+)\"', 1)) AS target FROM pages), f AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS path FROM documents) SELECT page_id, target, count(*) AS n FROM l WHERE target NOT IN (SELECT path FROM f) GROUP BY ALL"
+
+
+@query("join_doc_links_whole", LINKS)
+@query("join_doc_links", LINKS)
 def join_doc_links(t):
     links = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), 1)).alias("target"))
-    files = t("documents").select(F.explode(F.split(F.substring("text", 1, 200), " ")).alias("path"))
+    files = t("documents").select(F.explode(F.split("text", " ")).alias("path"))
     return G.broken_links(links, files).groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
+TOKENS = """WITH k AS (SELECT doc_id AS path, generate_subscripts(w, 1) AS line, unnest(w) AS token FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)), s AS (SELECT token, path, line FROM k WHERE line = 1),
+u AS (SELECT DISTINCT k.* FROM k WHERE token IN (SELECT token FROM s) AND line > 1), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY path, line) AS rank FROM u) SELECT token, path, line, rank FROM r WHERE rank <= 80"""
+
+
+@query("join_refs_tokens_whole", TOKENS)
+@query("join_refs_tokens", TOKENS)
+def join_refs_tokens(t):
+    """The first token of every document is a symbol; its uses in all texts."""
+    k = t("documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", " ")).alias("pos", "token")).select("path", (F.col("pos") + 1).alias("line"), "token")
+    return G.references(k, k.filter("line = 1").select(F.col("token").alias("symbol"), "path", "line"))
+
+
 @query("join_import_resolve", "WITH c AS (SELECT p_partkey AS ref_id, unnest(['m' || p_partkey % 90, 'm' || p_partkey % 90 || '.ts', 'm' || p_partkey % 90 || '/index.ts']) AS path, unnest([1, 2, 3]) AS prio FROM part), f AS (SELECT 'm' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.ts' ELSE '/index.ts' END AS path FROM part WHERE p_partkey < 80), m AS (SELECT ref_id, min_by(path, prio) AS resolved FROM c JOIN f USING (path) GROUP BY ref_id) SELECT p_partkey AS ref_id, resolved FROM part LEFT JOIN m ON ref_id = p_partkey")
 def join_import_resolve(t):
     k = F.col("p_partkey")
@@ -137,29 +167,8 @@ def join_import_resolve(t):
     return G.resolve_first(refs, G.import_candidates(F.col("base")), files).select("ref_id", "resolved")
 
 
-@query("join_refs_tokens", """WITH k AS (SELECT doc_id AS path, generate_subscripts(w, 1) AS line, unnest(w) AS token FROM (SELECT doc_id, string_split(substr(text, 1, 400), ' ') AS w FROM documents)), s AS (SELECT token, path, line FROM k WHERE line = 1 AND path % 10 = 0),
-u AS (SELECT DISTINCT k.* FROM k WHERE token IN (SELECT token FROM s) AND NOT EXISTS (SELECT 1 FROM s WHERE s.token = k.token AND s.path = k.path AND s.line = k.line)), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY path, line) AS rank FROM u) SELECT token, path, line, rank FROM r WHERE rank <= 80""")
-def join_refs_tokens(t):
-    k = t("documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split(F.substring("text", 1, 400), " ")).alias("pos", "token")).select("path", (F.col("pos") + 1).alias("line"), "token")
-    return G.references(k, k.filter("line = 1 and path % 10 = 0").select(F.col("token").alias("symbol"), "path", "line"))
-
-
-# Whole texts; without SQL, as the SQL of the queries above is of their beginnings.
 
 
-@query("join_doc_links_whole")
-def join_doc_links_whole(t):
-    links = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), 1)).alias("target"))
-    files = t("documents").select(F.explode(F.split("text", " ")).alias("path"))
-    return G.broken_links(links, files).groupBy("page_id", "target").agg(F.count("*").alias("n"))
-
-
-@query("join_refs_tokens_whole")
-def join_refs_tokens_whole(t):
-    """The first token of every document is a symbol; its uses in all texts."""
-    k = t("documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", " ")).alias("pos", "token")).select("path", (F.col("pos") + 1).alias("line"), "token")
-    return G.references(k, k.filter("line = 1").select(F.col("token").alias("symbol"), "path", "line"))
-
 
 # --- traces -----------------------------------------------------------------------------------
 
@@ -225,7 +234,7 @@ GRID = "g AS (SELECT r_name AS image, CAST(i % 64 AS INT) AS x, CAST(i // 64 AS
 
 @query("raster_pixel_diff", f"WITH {GRID} SELECT image, count(*) AS pixels, count(*) FILTER (inside) AS changed, floor(count(*) FILTER (inside) / count(*) * 100.0 * 1000.0 + 0.5) / 1000.0 AS changed_pct, count(*) FILTER (inside) / count(*) * 100.0 <= 0.1 AS passed FROM d WHERE NOT (x < 12 AND y < 12) GROUP BY image")
 def raster_pixel_diff(t):
-    masks = t("region").limit(1).select(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(12).alias("x1"), F.lit(12).alias("y1"))
+    masks = t("region").sparkSession.range(1).select(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(12).alias("x1"), F.lit(12).alias("y1"))
     return X.pixel_diff(pixels(t, False), pixels(t, True), masks)
 
 

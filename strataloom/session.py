@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +39,21 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage in loops and survives lost executors.
+
+    The folder is that in spark.checkpoint.dir; where it is unset and Spark runs on one machine, a new local one.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/strataloom-{sc.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

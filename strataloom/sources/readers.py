@@ -132,3 +132,42 @@ def ocr_table(lines: DataFrame) -> DataFrame:
     rows = lines.filter((F.size(p) >= 12) & (conf >= 0) & (F.trim(F.get(p, F.lit(11))) != "")).select("image", "n", conf.alias("conf"), F.trim(F.get(p, F.lit(11))).alias("word"))
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]), " ")
     return rows.groupBy("image").agg(words.alias("text"), (F.avg("conf") / 100).alias("confidence"))
+
+
+def npm_fix_plan(reports: DataFrame, key: str, raw: str = "raw") -> DataFrame:
+    """A row a vulnerable package of a dry-run fix plan, with the plan's net change in packages."""
+    schema = "struct<added:int,removed:int,audit:string,vulnerabilities:string>"
+    package = "map<string,struct<severity:string,isDirect:boolean,range:string,via:array<string>,effects:array<string>,fixAvailable:string>>"
+    top = reports.select(key, F.from_json(raw, schema).alias("p"))
+    inner = F.coalesce(F.get_json_object("p.audit", "$.vulnerabilities"), F.col("p.vulnerabilities"))
+    net = F.coalesce("p.added", F.lit(0)) - F.coalesce("p.removed", F.lit(0))
+    rows = top.select(key, net.alias("net"), F.explode(F.from_json(inner, package)).alias("package", "v"))
+    fix, size = F.col("v.fixAvailable"), lambda c: F.coalesce(F.size(F.filter(c, lambda x: x.isNotNull())), F.lit(0))
+    of = lambda k: F.get_json_object(fix, f"$.{k}")
+    return rows.select(
+        key, "package", F.coalesce("v.severity", F.lit("unknown")).alias("severity"), F.coalesce("v.isDirect", F.lit(False)).alias("direct"), F.greatest(F.lit(0), size(F.col("v.via"))).alias("via"), F.greatest(F.lit(0), size(F.col("v.effects"))).alias("effects"),
+        F.col("v.range").alias("range"), F.coalesce(~fix.isin("false", "null", "0", ""), F.lit(False)).alias("fix_available"), of("name").alias("fix_package"), of("version").alias("fix_version"), F.coalesce(of("isSemVerMajor") == "true", F.lit(False)).alias("fix_major"), "net",
+    )
+
+
+def mirror_manifest(manifests: DataFrame, raw: str = "raw") -> DataFrame:
+    """(source_path, title, page_id_hash, url_hash, source_hash, last_synced_at) of the pages of mirror manifests; ids only as hashes."""
+    from strataloom.functions.text import stable_hash
+
+    page = "array<struct<source_path:string,title:string,notion_page_id:string,notion_url:string,source_hash:string,last_synced_at:string>>"
+    pages = F.coalesce(F.from_json(raw, f"struct<pages:{page}>")["pages"], F.from_json(raw, page))
+    rows = manifests.select(F.explode(pages).alias("p")).filter("p.source_path is not null")
+    return rows.select("p.source_path", F.substring("p.title", 1, 120).alias("title"), stable_hash(F.col("p.notion_page_id")).alias("page_id_hash"), stable_hash(F.col("p.notion_url")).alias("url_hash"), "p.source_hash", "p.last_synced_at")
+
+
+def benchmark_runs(reports: DataFrame, key: str, raw: str = "raw") -> DataFrame:
+    """(key, compressor, fixture, run, b): byte savings of the samples `fixture#rN` of compressor benchmarks; other samples are left out."""
+    sample = "array<struct<sample_id:string,ratio:double>>"
+    top = reports.select(key, F.from_json(raw, f"struct<compressor:string,per_sample:{sample}>").alias("d")).select(key, "d.compressor", F.explode("d.per_sample").alias("s"))
+    part = lambda i: F.regexp_extract("s.sample_id", r"^(.+)#r(\d+)$", i)
+    return top.filter(part(1) != "").select(key, "compressor", part(1).alias("fixture"), part(2).cast("int").alias("run"), (1 - F.col("s.ratio")).alias("b"))
+
+
+def stable_fixtures(runs: DataFrame, key: str) -> DataFrame:
+    """(key, compressor, fixture, runs, stable): whether two or more runs save the same."""
+    return runs.groupBy(key, "compressor", "fixture").agg(F.count("*").alias("runs"), ((F.count("*") >= 2) & (F.max("b") - F.min("b") < 1e-9)).alias("stable"))
