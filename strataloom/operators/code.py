@@ -13,7 +13,13 @@ NAME = "[A-Za-z_$][A-Za-z0-9_$]*"
 SYMBOLS = (
     ("function", rf"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+({NAME})\s*\("), ("class", rf"^(?:export\s+)?(?:default\s+)?class\s+({NAME})\b"), ("type", rf"^(?:export\s+)?(?:interface|type|enum)\s+({NAME})\b"),
     ("function", rf"^(?:export\s+)?(?:const|let|var)\s+({NAME})\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|{NAME}\s*=>)"), ("function", r"^(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("),
+    ("function", r"^(?:function\s+)?([A-Za-z_][A-Za-z0-9_-]*)\s*\(\)\s*\{"),
 )
+PYTHON_IMPORTS = (("import", r"^from\s+([A-Za-z0-9_.]+)\s+import\b"), ("import", r"^import\s+([A-Za-z0-9_.]+)"))
+#: Keys of data files and headings of documents, by file ending; YAML and TOML keys only where a line begins with them.
+OUTLINES = {
+    r"\.ya?ml$": r"^([A-Za-z0-9_.-]+):\s*", r"\.json$": r"^\s*\"([A-Za-z0-9_.-]{2,80})\"\s*:", r"\.toml$": r"^(?:\[+([A-Za-z0-9_.-]+)\]+|([A-Za-z0-9_.-]+)\s*=)",
+}
 IMPORTS = (
     ("import", r"""\bimport\s+(?:type\s+)?(?:[^"']+\s+from\s+)?["']([^"']+)["']"""), ("export", r"""\bexport\s+[^"']+\s+from\s+["']([^"']+)["']"""), ("require", r"""\brequire\(\s*["']([^"']+)["']\s*\)"""), ("dynamic_import", r"""\bimport\(\s*["'`]([^"'`]+)["'`]\s*\)"""),
 )
@@ -44,8 +50,21 @@ def symbols(files: DataFrame) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(path, line, kind, target), the first 160 of each file."""
-    return _found(numbered(files), IMPORTS, "target", 220, 160)
+    """(path, line, kind, target), the first 160 of each file; Python files have their own statements."""
+    python = F.col("path").rlike(r"\.pyi?$")
+    rows = numbered(files)
+    return _found(rows.filter(~python), IMPORTS, "target", 220, 160).unionByName(_found(rows.filter(python), PYTHON_IMPORTS, "target", 220, 160))
+
+
+def outline(files: DataFrame) -> DataFrame:
+    """(path, line, kind, name) of headings of Markdown files and keys of YAML, JSON and TOML files."""
+    rows = files.select("path", F.posexplode(T.lines_of(F.coalesce("text", F.lit("")))).alias("pos", "x")).select("path", (F.col("pos") + 1).alias("line"), "x")
+    level = F.length(F.regexp_extract("x", HEADING, 1))
+    name, kind = F.when(F.col("path").rlike(r"\.mdx?$"), F.regexp_extract("x", HEADING, 2)), F.concat(F.lit("heading"), level.cast("string"))
+    for ending, pattern in OUTLINES.items():
+        groups = [F.regexp_extract("x", pattern, i) for i in range(1, pattern.count("([") + 1)]
+        name = name.when(F.col("path").rlike(ending), F.coalesce(*(F.nullif(g, F.lit("")) for g in groups), F.lit("")))
+    return rows.select("path", "line", F.when(F.col("path").rlike(r"\.mdx?$"), kind).otherwise("key").alias("kind"), name.alias("name")).filter("name <> ''")
 
 
 def package_name(target: Column) -> Column:

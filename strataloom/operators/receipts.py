@@ -72,3 +72,17 @@ def suspicious(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Selectors whose region never reached 200 bytes, and hashes that never changed over three runs or more."""
     out = rows.groupBy(*keys).agg(F.count("*").alias("runs"), F.max("size_bytes").alias("largest"), F.count_distinct("hash").alias("hashes"))
     return out.withColumns({"selector_miss": F.col("largest") < 200, "constant_hash": (F.col("runs") >= 3) & (F.col("hashes") == 1)})
+
+
+def assemble(action: Column, pre_url: Column, pre_html: Column, post_url: Column, post_html: Column, navigated: Column | None = None, stable: Column | None = None, errors: Column | None = None) -> Column:
+    """A receipt struct of what a browser saw: the regions' hashes and sizes, whether they differ, and an empty error block unless one is given."""
+    own = lambda x, otherwise: F.coalesce(x, F.lit(otherwise)) if x is not None else F.lit(otherwise)
+    before, after = dom_hash(pre_html), dom_hash(post_html)
+    none = F.array().cast("array<string>")
+    empty = F.struct(none.alias("console"), none.alias("network"), F.lit(False).alias("selector_not_found"), F.lit(False).alias("timeout"), F.lit(None).cast("string").alias("action_failed"))
+    return F.struct(
+        F.lit("1").alias("schema_version"), action.alias("action"),
+        F.struct(pre_url.alias("url"), before.alias("dom_region_hash"), F.octet_length(pre_html).alias("dom_region_size_bytes")).alias("pre_state"),
+        F.struct(post_url.alias("url"), after.alias("dom_region_hash"), F.octet_length(post_html).alias("dom_region_size_bytes"), (before != after).alias("changed"), own(stable, True).alias("stable"), own(navigated, False).alias("navigated")).alias("post_state"),
+        (empty if errors is None else errors).alias("errors"),
+    )

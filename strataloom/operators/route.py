@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.predicates import matches
 from strataloom.functions.text import lines_of, round_to
+from strataloom.session import spread
 
-# Patterns of tasks and risks.
+# Patterns of tasks and risks, each with all its alternatives. Word edges are ASCII, as everywhere here, so
+# the Cyrillic alternatives between two edges only match where Latin letters touch them; that is the patterns' meaning.
 URL = r"\bhttps?://[^\s<>)\"']+"
 IMAGE = r"\.(png|jpe?g|webp|gif)(\?|#|$)"
 RISKS = {
-    "architecture_heavy": r"\b(architecture|design doc|system design|schema migration)\b",
+    "architecture_heavy": r"\b(architecture|архитектур|design doc|system design|schema migration)\b",
     "security_sensitive": r"\b(security|secret|credential|token|auth|permission|ssh|prod|production|deploy|infra)\b",
     "destructive_or_data_risk": r"\b(delete|remove all|reset|rollback|migration|truncate|drop|force-push|force push)\b",
     "final_output_sensitive": r"\b(final answer|final copy|publish|send to client|legal|medical|financial|contract)\b",
@@ -21,12 +23,12 @@ RISKS = {
 TASKS = {
     "trace": r"\btrace\.zip\b|\bhar\b|\bplaywright trace\b|\bconsole errors?\b|\bnetwork failures?\b",
     "deep_web": r"\bserp\b|\bcrawl\b|\bdeep research\b|\bextract structured\b|\binteract\b",
-    "read": r"\b(read|summari[sz]e|compare|extract|parse|review|analy[sz]e)\b",
-    "repo": r"\b(where|which files|implemented|spans|codebase|repo|bug fix|refactor|review this branch)\b",
+    "read": r"\b(read|summari[sz]e|compare|extract|parse|review|analy[sz]e)\b|\b(прочитай|суммируй|разбери|сравни|извлеки|проанализируй)\b",
+    "repo": r"\b(where|which files|implemented|spans|codebase|repo|bug fix|refactor|review this branch)\b|\b(где|какие файлы|кодовой базе|репо|баг|рефактор|ветк)\b",
     "checks": r"\b(run|check)\s+(tests?|build|tsc|eslint|lint|typecheck)\b|\bproof loop\b",
-    "release": r"\b(release hygiene|repo hygiene|repository hygiene|repo snapshot)\b|\b(generated artifacts?|tracked dist|missing license file|public release blocker)\b",
+    "release": r"\b(release hygiene|repo hygiene|repository hygiene|public repo(?:sitory)? file list|repo snapshot|synthetic repo snapshot)\b|\b(generated artifacts?|generated dist|tracked dist|missing license file|license file missing|public release blocker)\b",
     "dependency": r"\b(npm audit|osv|license|dependency|lockfile|supply chain|vulnerabilit)\b",
-    "docs": r"\b(broken links?|stale refs?|frontmatter|docs hygiene|orphan docs?|docs sync)\b",
+    "docs": r"\b(broken links?|stale refs?|frontmatter|docs hygiene|orphan docs?|notion mirror|docs sync)\b",
     "cleanup": r"\b(unused exports?|unused dependencies?|duplicate code|repo hygiene|cleanup plan)\b",
     "gate": r"\b(context pressure|quality gate|new code budget|new docs budget|large docs?)\b",
 }
@@ -35,10 +37,11 @@ FILE_PATH = r"(^|\s)([\w.-]+/)+[\w.-]+\.(ts|tsx|js|jsx|mjs|cjs|py|md|mdx|json|ya
 
 def route(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, tools, decision, risk_flags, score of each text."""
+    rows = spread(rows.select(key, text))
     t = F.coalesce(F.col(text), F.lit(""))
     task = lambda name: matches(t, TASKS[name])
     n, lines = F.length(t), F.when(t == "", 0).otherwise(F.size(lines_of(t)))
-    urls = F.regexp_extract_all(t, F.lit("(?i)" + URL.replace(r"\b", "")), 0)
+    urls = F.transform(F.regexp_extract_all(t, F.lit("(?i)" + URL.replace(r"\b", "")), 0), lambda u: F.rtrim(u, F.lit("),.;")))
     images = F.exists(urls, lambda u: matches(u, IMAGE))
     pages = F.exists(urls, lambda u: ~matches(u, IMAGE))
     stack = t.rlike(r"(?m)^\s*at\s+.+\(.+:\d+:\d+\)") | matches(t, r"traceback \(most recent call last\)") | matches(t, r"\berror:\s.+")

@@ -90,7 +90,7 @@ def url_guard(t):
 RISK = ", ".join(f"CASE WHEN {has('text', p.replace('сделай|исправь|почини', 'сделай|исправь|почини'))} THEN '{k}' END" for k, p in O.RISKS.items())
 IS = {k: has("text", p) for k, p in O.TASKS.items()}
 LOG = "(regexp_matches(text, '(?m)^\\s*at\\s+.+\\(.+:\\d+:\\d+\\)') OR regexp_matches(text, '(?i)traceback \\(most recent call last\\)') OR regexp_matches(text, '(?i)\\berror:\\s.+') OR length(text) >= 8000 OR len(string_split(text, chr(10))) >= 150)"
-ROUTE = f"""WITH r AS (SELECT conv_id, turn, text, regexp_extract_all(text, 'https?://[^\\s<>)"'']+') AS urls FROM conversations),
+ROUTE = f"""WITH r AS (SELECT conv_id, turn, text, list_transform(regexp_extract_all(text, 'https?://[^\\s<>)"'']+'), lambda u: rtrim(u, '),.;')) AS urls FROM conversations),
 f AS (SELECT *, list_filter([CASE WHEN len(list_filter(urls, lambda u: {has('u', O.IMAGE)})) > 0 THEN 'screenshot' END, CASE WHEN {IS['trace']} THEN 'trace' END, CASE WHEN {LOG} THEN 'logs' END, CASE WHEN NOT {LOG} AND length(text) >= 5000 THEN 'text' END, CASE WHEN {IS['deep_web']} THEN 'scraper' END,
  CASE WHEN NOT {IS['deep_web']} AND len(list_filter(urls, lambda u: NOT {has('u', O.IMAGE)})) > 0 AND {IS['read']} THEN 'url' END, CASE WHEN {IS['repo']} AND NOT {has('text', O.FILE_PATH)} AND NOT {LOG} THEN 'retrieval' END, CASE WHEN {IS['checks']} THEN 'checks' END, CASE WHEN {IS['dependency']} AND NOT {IS['release']} THEN 'dependency' END,
  CASE WHEN {IS['docs']} THEN 'docs' END, CASE WHEN {IS['release']} OR {IS['cleanup']} THEN 'cleanup' END, CASE WHEN {IS['gate']} THEN 'gate' END], lambda x: x IS NOT NULL) AS tools, list_filter([{RISK}], lambda x: x IS NOT NULL) AS risks FROM r),

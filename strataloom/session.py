@@ -41,12 +41,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage in loops and survives lost executors.
-
-    The folder is that in spark.checkpoint.dir; where it is unset and Spark runs on one machine, a new local one.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder: that in spark.checkpoint.dir; where it is unset and Spark runs on one machine, a new local one."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -54,6 +50,11 @@ def saved(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/strataloom-{sc.applicationId}/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/strataloom-{sc.applicationId}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage in loops and survives lost executors."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

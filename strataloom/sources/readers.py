@@ -31,20 +31,29 @@ def json_file(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def repository(spark: SparkSession, root: str, extensions: tuple[str, ...] = P.CODE_EXTENSIONS + P.DOC_EXTENSIONS, most_bytes: int = 512_000, most_files: int = 4000) -> DataFrame:
-    """(path, ext, size, text) below a folder, in path order: known extensions, no skipped folders, no binary files."""
+def repository(spark: SparkSession, root: str, extensions: tuple[str, ...] = P.CODE_EXTENSIONS + P.DOC_EXTENSIONS, most_bytes: int | None = 512_000, most_files: int | None = None) -> DataFrame:
+    """(path, ext, size, text) below a folder: known extensions, no skipped folders, no binary files; the first most_files in path order, if given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", "[.]") + "/", "")
-    out = files.select(path.alias("path"), F.col("length").alias("size"), "content").filter(F.col("size") <= most_bytes)
+    out = files.select(path.alias("path"), F.col("length").alias("size"), "content")
+    out = out.filter(F.col("size") <= most_bytes) if most_bytes else out
     out = out.withColumn("ext", extension(F.col("path"))).filter(F.col("ext").isin(*extensions) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_DIRS))))
     out = out.withColumn("text", F.decode("content", "UTF-8")).filter(~F.contains("text", F.lit("\0"))).drop("content")
-    return out.orderBy("path").limit(most_files)
+    return out.orderBy("path").limit(most_files) if most_files else out
 
 
-def gate_files(files: DataFrame, most_files: int = 4000) -> DataFrame:
-    """All files ranked: code and docs, others, generated; the first most_files."""
+def under(files: DataFrame, roots: tuple[str, ...], explicit: DataFrame | None = None) -> DataFrame:
+    """Files below some folders, or those that are named (path)."""
+    inside = F.lit(False)
+    for r in roots:
+        inside = inside | F.col("path").startswith(r.rstrip("/") + "/")
+    return files.filter(inside) if explicit is None else files.join(explicit.select("path").distinct(), "path", "left_semi")
+
+
+def gate_files(files: DataFrame, most_files: int | None = None) -> DataFrame:
+    """All files ranked: code and docs, others, generated; the first most_files, if given."""
     plain = F.when(P.category(F.col("path")).isin("code", "docs"), 0).otherwise(1)
-    return files.withColumn("rank", plain + F.when(P.is_generated(F.col("path")), 2).otherwise(0)).orderBy("rank", "path").limit(most_files)
+    return files.withColumn("rank", plain + F.when(P.is_generated(F.col("path")), 2).otherwise(0)).orderBy("rank", "path").limit(most_files or 2**31 - 1)
 
 
 def git_log(lines: DataFrame) -> DataFrame:
