@@ -46,8 +46,8 @@ def _leaves(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def leak_scan(exports: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """(key, path, reason) of forbidden keys and values anywhere in JSON exports."""
-    leaves = exports.select(key, F.explode(F.pandas_udf(_leaves, "array<struct<path:string,key:string,value:string>>")(F.col(raw))).alias("x")).select(key, "x.path", F.col("x.key").alias("k"), "x.value")
-    keys = leaves.filter(F.col("k").isin(*FORBIDDEN_KEYS)).select(key, "path", F.concat(F.lit("forbidden_key:"), "k").alias("reason"))
+    leaves = exports.select(key, F.explode(F.pandas_udf(_leaves, "array<struct<path:string,key:string,value:string>>")(F.col(raw))).alias("x")).select(key, "x.path", F.col("x.key").alias("_key"), "x.value")
+    keys = leaves.filter(F.col("_key").isin(*FORBIDDEN_KEYS)).select(key, "path", F.concat(F.lit("forbidden_key:"), "_key").alias("reason"))
     values = leaves.filter("value is not null").select(key, "path", F.explode(F.array_compact(F.array(*(F.when(F.col("value").contains(v), F.lit(f"forbidden_value:{v}")) for v in FORBIDDEN_VALUES)))).alias("reason"))
     return keys.unionByName(values)
 

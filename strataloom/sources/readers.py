@@ -32,14 +32,15 @@ def json_file(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def repository(spark: SparkSession, root: str, extensions: tuple[str, ...] = P.CODE_EXTENSIONS + P.DOC_EXTENSIONS, most_bytes: int | None = 512_000, most_files: int | None = None) -> DataFrame:
-    """(path, ext, size, text) below a folder: known extensions, no skipped folders, no binary files; the first most_files in path order, if given."""
+    """(path, ext, size, text) below a folder, in path order: known extensions, no skipped folders, no binary files; the first most_files, if given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", "[.]") + "/", "")
     out = files.select(path.alias("path"), F.col("length").alias("size"), "content")
     out = out.filter(F.col("size") <= most_bytes) if most_bytes else out
     out = out.withColumn("ext", extension(F.col("path"))).filter(F.col("ext").isin(*extensions) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_DIRS))))
     out = out.withColumn("text", F.decode("content", "UTF-8")).filter(~F.contains("text", F.lit("\0"))).drop("content")
-    return out.orderBy("path").limit(most_files) if most_files else out
+    out = out.orderBy("path")
+    return out.limit(most_files) if most_files else out
 
 
 def under(files: DataFrame, roots: tuple[str, ...], explicit: DataFrame | None = None) -> DataFrame:
