@@ -4,7 +4,8 @@ Keys are `host/path-prefix` strings. The universe is every key that a url of the
 made once, distinct, by a partially aggregated group (a hot host is one row a task). Level 1 of a cascade is a
 Bloom filter of the listed keys; level 2 holds the unlisted keys of the universe that pass level 1; level 3 the
 listed keys that pass level 2; and so on until no key is wrong. A key of the universe is listed when the first
-level that it fails is an even one. Filters are bit arrays of at most `most_bits` bits, which bounds what is
+level that it fails is an even one. A given list is joined with nothing but the few keys that pass level 1, to tell
+those that are listed from the false ones. Filters are bit arrays of at most `most_bits` bits, which bounds what is
 sent to the executors; a list that needs more is split by hash into parts of that size with a cascade each.
 
 Rules: a rule `host/path` fits its host and all subdomains where the url's path starts with the rule's; the
@@ -79,25 +80,29 @@ def filter_of(keys: DataFrame, level: int, size: int) -> DataFrame:
 class Cascade:
     """Levels as (size, literal of the words); built on the driver from bounded bit arrays."""
 
-    def __init__(self, listed: DataFrame, others: DataFrame, most_bits: int = MOST_BITS):
+    def __init__(self, listed: DataFrame, others: DataFrame, most_bits: int = MOST_BITS, known: DataFrame | None = None):
+        """others: the unlisted keys of the universe; may still hold keys of the table `known`, which is part of listed."""
         self.parts: list[list[tuple[int, Column]]] = []
         n = listed.count()
         self.n_parts = max(1, math.ceil(n * BITS_PER_KEY / most_bits))
         for part in range(self.n_parts):
             mine = lambda frame: frame.filter(self.part_of(F.col("key")) == part) if self.n_parts > 1 else frame  # noqa: E731, B023
-            self.parts.append(self.levels(mine(listed), mine(others)))
+            self.parts.append(self.levels(mine(listed), mine(others), known))
 
     def part_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.n_parts))
 
-    def levels(self, inside: DataFrame, outside: DataFrame) -> list[tuple[int, Column]]:
+    def levels(self, inside: DataFrame, outside: DataFrame, known: DataFrame | None = None) -> list[tuple[int, Column]]:
         out: list[tuple[int, Column]] = []
         while n := inside.count():
             level, size = len(out), max(64, 64 * math.ceil(n * BITS_PER_KEY / 64))
             words = filter_of(inside, level, size).first()["words"]  # at most most_bits bits
             held = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
             out.append((size, held))
-            inside, outside = outside.filter(passes(F.col("key"), held, level, size)), inside
+            passed = outside.filter(passes(F.col("key"), held, level, size))
+            if level == 0 and known is not None:  # of the universe only what passes the first level is told apart by the list itself
+                passed = S.materialise(passed.join(known, "key", "left_anti"))
+            inside, outside = passed, inside
         return out
 
     def holds(self, key: Column) -> Column:
@@ -128,14 +133,11 @@ def url_filter(urls: DataFrame, rules: dict[str, str], listed: DataFrame | None
     fits = Cascade(ruled.select("key"), rule_universe.filter(~F.col("key").isin(names)), most_bits)
     allows = Cascade(ruled.filter("allow").select("key"), ruled.filter("not allow").select("key"), most_bits)
 
-    host_universe = rows.select(F.explode(domains(F.col("host"))).alias("key")).distinct()
-    in_list = F.coalesce(F.substring_index("key", ".", 1).isin(list(blocked_labels)) if blocked_labels else F.lit(False), F.lit(False))
-    if listed is not None:
-        known = listed.select(F.translate("domain", UPPER, LOWER).alias("key")).distinct().withColumn("known", F.lit(True))
-        host_universe = host_universe.join(known, "key", "left")
-        in_list = in_list | F.coalesce("known", F.lit(False))
-    host_universe = S.materialise(host_universe.select("key", in_list.alias("listed")))
-    blocked = Cascade(host_universe.filter("listed").select("key"), host_universe.filter("not listed").select("key"), most_bits)
+    by_label = F.coalesce(F.substring_index("key", ".", 1).isin(list(blocked_labels)) if blocked_labels else F.lit(False), F.lit(False))
+    host_universe = S.materialise(rows.select(F.explode(domains(F.col("host"))).alias("key")).distinct().withColumn("listed", by_label))
+    named, others = host_universe.filter("listed").select("key"), host_universe.filter("not listed").select("key")
+    known = listed.select(F.translate("domain", UPPER, LOWER).alias("key")).filter("key is not null").distinct() if listed is not None else None
+    blocked = Cascade(named if known is None else named.unionByName(known).distinct(), others, most_bits, known)
 
     rule = F.filter(rule_keys(F.col("host"), F.col("path"), lengths), lambda k: fits.holds(k["key"]))
     rule = F.when(F.size(rule) > 0, F.element_at(rule, 1)["key"])
