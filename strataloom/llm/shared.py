@@ -6,6 +6,7 @@ vectorised pass covers many documents and a very long document only makes its ow
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -88,6 +89,16 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nd
             j = min(j, n)
             yield data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], batch.slice(i, j - i)
             i = j
+    release()
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: workers are used again, and what they keep adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
