@@ -53,9 +53,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that occur at other places too."""
-    docs = keyed(docs).withColumnRenamed("doc_id", "id")
-    rest = suffix_dedup.suffix_dedup(by_row(docs, "id", "lang", "source"), with_text=True, carry=["id", "lang", "source"])
-    return rest.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    rest = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), with_text=True, carry=["lang", "source"])
+    return rest.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -287,7 +287,7 @@ def join_test_counterpart(t):
     name = lambda s: line(s)[0]().alias("path")
     p = t("part")
     tests = p.filter(K() % 3 == 0)
-    files = p.select(name("d{p_partkey % 9}/M{p_partkey}.ts")).union(tests.select(name("d{p_partkey % 9}/m{p_partkey}.test.ts"))).union(tests.select(name("d{p_partkey % 9}/__tests__/m{p_partkey}.ts")))
+    files = p.select(name("d⟨p_partkey % 9⟩/M⟨p_partkey⟩.ts")).union(tests.select(name("d⟨p_partkey % 9⟩/m⟨p_partkey⟩.test.ts"))).union(tests.select(name("d⟨p_partkey % 9⟩/__tests__/m⟨p_partkey⟩.ts")))
     return P.test_counterparts(files)
 
 
