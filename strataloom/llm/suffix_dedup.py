@@ -344,7 +344,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     by_run = S.materialise(cand.groupBy("m", "h").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "place")).alias("one")))
     whole = cand.join(by_run.filter("times > 1").select("m", "h"), ["m", "h"]).select(*KEY, *unpacked("place"))
     whole = whole.select(*KEY, F.col("lo").alias("s"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("e"))
-    kinds = by_run.groupBy("m").agg(F.sum(1 + F.shiftright("one.place", 15).bitwiseAND(1)).alias("kinds")).filter("kinds > 1")
+    # a table of its own, so that the join with it deals by_run out by itself and a hot minimum can be split or the table broadcast
+    kinds = S.materialise(by_run.groupBy("m").agg(F.sum(1 + F.shiftright("one.place", 15).bitwiseAND(1)).alias("kinds")).filter("kinds > 1"))
     want = by_run.join(kinds, "m").select("m", "one.*", F.ceil(F.col("kinds") / hot).cast("int").alias("deals"))
     per_row = want.select("m", *KEY, *unpacked("place"), "deals").groupBy(*KEY).agg(F.collect_list(F.struct("m", "lo", "n", "deals")).alias("want"))
     pieces = S.materialise(keyed.join(per_row, KEY).select(*KEY, "text", "want").mapInArrow(cut_bytes(length), "m long, doc_id long, v long, lo int, n int, deals int, bytes binary"))
