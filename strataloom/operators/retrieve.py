@@ -180,3 +180,25 @@ def by_tier(ranked: DataFrame, tier: str, rank: str) -> DataFrame:
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(tier).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a tier
     w = Window.partitionBy(tier).orderBy(rank)
     return ranked.join(F.broadcast(before), tier).withColumn("place", F.row_number().over(w) + F.col("_before")).drop("_n", "_before")
+
+
+def variants_of(term: Column) -> Column:
+    """A term and its stems, for a column of terms; the same rules as for one query's."""
+    low = F.lower(term)
+    n = F.length(low)
+    cut = lambda k, by="": F.concat(F.substr(low, F.lit(1), n - k), F.lit(by))
+    ing, double = low.endswith("ing") & (n > 5), F.substr(low, n - 3, F.lit(1)) == F.substr(low, n - 4, F.lit(1))
+    found = F.array(term, F.when(ing, cut(3)), F.when(ing & double & (n > 5), cut(4)), F.when(low.endswith("er") & (n > 5), cut(2)), F.when(low.endswith("ies") & (n > 5), cut(3, "y")), F.when(low.endswith("s") & (n > 4), cut(1)))
+    return F.when(low.rlike("^[a-z]+$"), F.array_distinct(F.filter(F.array_compact(found), lambda x: F.length(x) >= 2))).otherwise(F.array(term))
+
+
+def compounds_of(a: Column, b: Column) -> Column:
+    """kebab, snake, camel and Pascal forms of two terms."""
+    a, b = F.lower(a), F.lower(b)
+    capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
+    return F.array(F.concat_ws("-", a, b), F.concat_ws("_", a, b), F.concat(a, capital(b)), F.concat(capital(a), capital(b)))
+
+
+def query_terms_of(query: Column, most: int = MOST_TERMS) -> Column:
+    """The terms of each query of a column, by the rules of query_terms (a small helper on Arrow batches)."""
+    return F.pandas_udf(lambda s: s.map(lambda x: query_terms(x or "")[:most]), "array<string>")(query)

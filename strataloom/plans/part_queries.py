@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import evidence as E
 from strataloom.operators import raster as X
+from strataloom.operators import retrieve as R
 from strataloom.operators import stats as S
 from strataloom.operators import vision as V
 
@@ -103,3 +104,30 @@ TRACE, _ = tool_queries.line('{"type":"console","messageType":"error","text":"bo
 def prepare_trace(t):
     raw = F.when(K() % 2 == 0, TRACE()).otherwise(F.substring_index(TRACE(), "\n", -2))
     return E.prepare(tool_queries.made(t, raw, "raw"), "run_id")
+
+
+WORDS = ("running", "Queries", "users", "builder", "x1s", "sing", "classes", "planning")
+STEMS = """CASE WHEN NOT regexp_matches(lower(w), '^[a-z]+$') THEN [w] ELSE list_filter([w, CASE WHEN ends_with(lower(w), 'ing') AND length(w) > 5 THEN lower(w)[:-4] END, CASE WHEN ends_with(lower(w), 'ing') AND length(w) > 5 AND lower(w)[-4] = lower(w)[-5] THEN lower(w)[:-5] END,
+ CASE WHEN ends_with(lower(w), 'er') AND length(w) > 5 THEN lower(w)[:-3] END, CASE WHEN ends_with(lower(w), 'ies') AND length(w) > 5 THEN lower(w)[:-4] || 'y' END, CASE WHEN ends_with(lower(w), 's') AND length(w) > 4 THEN lower(w)[:-2] END], lambda x: x IS NOT NULL) END"""
+
+
+@query("fn_variants", f"SELECT p_partkey, array_to_string({STEMS}, ',') AS value FROM (SELECT p_partkey, {list(WORDS)}[p_partkey % {len(WORDS)} + 1] AS w FROM part)")
+def fn_variants(t):
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (K() % len(WORDS) + 1).cast("int"))
+    return t("part").select("p_partkey", F.array_join(R.variants_of(word), ",").alias("value"))
+
+
+@query("fn_compound_variants", "SELECT p_partkey, a || '-' || b || ',' || a || '_' || b || ',' || a || upper(b[1]) || b[2:] || ',' || upper(a[1]) || a[2:] || upper(b[1]) || b[2:] AS value FROM (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS a, lower(p_brand) AS b FROM part)")
+def fn_compound_variants(t):
+    return t("part").select("p_partkey", F.array_join(R.compounds_of(F.substring_index("p_name", " ", 1), F.col("p_brand")), ",").alias("value"))
+
+
+@query("fn_query_terms")  # stems, parts and order are beyond SQL: against the rules in Python in the tests
+def fn_query_terms(t):
+    return t("conversations").select("conv_id", "turn", R.query_terms_of(F.col("text")).alias("terms"))
+
+
+@query("fn_query_plans")  # as fn_query_terms
+def fn_query_plans(t):
+    plan = F.pandas_udf(lambda s: s.map(lambda x: [f"{n}:{b}:{'|'.join(own)}" for n, b, own in R.plans(R.query_terms(x or ""))]), "array<string>")
+    return t("part").select("p_partkey", plan(F.col("p_name")).alias("plans"))

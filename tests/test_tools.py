@@ -197,6 +197,14 @@ def test_retrieval_extras(spark):
     assert value(spark, R.domain_expansion(F.array(F.lit("Screenshots")), "test")) == ["prepare_screenshot", "vision-mcp", "image_urls_for_model", ".test.", ".spec.", "describe(", "it("]
 
 
+def test_terms_of_a_column_are_those_of_one_query(spark):
+    words = ["running", "queries", "Users", "planning", "x1", "classes", "sing", "builder", "ring", "dies"]
+    frame = spark.createDataFrame([(w,) for w in words], "x string")
+    got = frame.select("x", R.variants_of(F.col("x")).alias("v"), R.query_terms_of(F.col("x")).alias("q")).collect()
+    assert all(r.v == R.variants(r.x) and r.q == R.query_terms(r.x) for r in got)
+    assert value(spark, R.compounds_of(F.lit("push"), F.lit("Token"))) == R.compounds("push", "Token")
+
+
 def test_coverage_gates(spark):
     rows = [("a", "production_like", True, None), ("b", "production_like", False, "boom"), ("c", "proof", False, "boom"), ("d", "other", False, "url is not allowed")]
     services = K.coverage(spark.createDataFrame(rows, "service string, traffic string, ok boolean, error string"), (), ("a", "d"))
