@@ -36,3 +36,15 @@ def test_nulls_repeats_and_empty(spark):
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100)], "a long, b long")
     assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(31)} | {(100, 100), (101, 100)}
+
+
+def test_a_pair_between_four_and_five_words(spark):
+    """Five of 200 words differ: similar by four-word shingles (0.82), not by the default of five (0.77)."""
+    words = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" if i % 40 == 20 else w for i, w in enumerate(words)]
+    docs = [(1, " ".join(words)), (2, " ".join(other))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for shingle, kept in ((4, [True, False]), (5, [True, True])):
+        assert [r.kept for r in near_dedup(frame, shingle=shingle).orderBy("doc_id").collect()] == kept
+        assert [x[3] for x in brute_force(docs, shingle)] == kept
+    assert near_dedup(frame).filter("kept").count() == 2
