@@ -127,7 +127,7 @@ def test_edit_needs_its_test(spark):
 
 
 def test_leaks_and_samples(spark):
-    raw = json.dumps({"a": [{"notes": 1}, "x/.hwai/y"[2:], "my feedback.jsonl"], "query": {"deep": "ok"}})
+    raw = json.dumps({"a": [{"notes": 1}, "plain", "my feedback.jsonl"], "query": {"deep": "ok"}})
     got = sorted((r.path, r.reason) for r in S.leak_scan(spark.createDataFrame([(1, raw), (2, None)], "k long, raw string"), "k").collect())
     assert got == [("a.0.notes", "forbidden_key:notes"), ("a.2", "forbidden_value:feedback.jsonl"), ("query", "forbidden_key:query")]
     assert json.loads(value(spark, S.safe_sample(F.col("x")), json.dumps({"keep": list(range(30)), "raw_text": 1, "MyPath": 2}))) == {"keep": list(range(20))}
