@@ -131,11 +131,16 @@ def bootstrap(rows: DataFrame, group: str, cluster: str, value: str, resamples:
     resample is one row a group. Weights are reproducible, but not those of drawing with replacement by a seeded generator.
     """
     small = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(cluster).cast("string").alias("c")).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-    each = small.select("g", "c", "n", "s", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "c", "r"), F.lit(2**52)) / float(2**52)
-    weight = F.lit(0)
-    for p in POISSON:
-        weight = weight + F.when(u >= p, 1).otherwise(0)
+    # a fixed number of parts, which are not joined for being small before the resamples make them large
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = small.select("g", "n", "s", F.xxhash64(F.lit(seed), "c").alias("h")).repartition(parts, "h")
+    each = each.select("g", "n", "s", "h", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
+    u = F.pmod(F.xxhash64("h", "r"), F.lit(2**52)) / float(2**52)
+    weight = F.when(u < POISSON[0], 0)
+    for k, p in enumerate(POISSON[1:], 1):
+        weight = weight.when(u < p, k)
+    weight = weight.otherwise(len(POISSON))
     drawn = each.withColumn("w", weight).filter("w > 0").groupBy("g", "r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n")).filter("n > 0")
     draws = drawn.groupBy("g").agg(F.sort_array(F.collect_list(F.col("s") / F.col("n"))).alias("d"))  # `resamples` numbers a group
     point = small.groupBy("g").agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("n")).alias("point"))
