@@ -181,6 +181,18 @@ def prefix_hash(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
     return out
 
 
+def prefix_of(values: np.ndarray) -> np.ndarray:
+    """prefix_hash of a sequence of 64-bit hashes, so that span_hash tells spans of it (runs of words, say) apart."""
+    n = len(values)
+    power, out, before = powers(n)[0], np.zeros(n + 1, np.uint64), U64(0)
+    for i in range(0, n, PART):
+        x = product(reduced(values[i : i + PART] >> U64(2)), power[i : i + PART])
+        high, low = np.cumsum(x >> U64(32)), np.cumsum(x & U64(2**32 - 1))
+        out[i + 1 : i + 1 + len(x)] = reduced((high >> U64(29)) + ((high & LOW29) << U64(32)) + low + before)
+        before = out[i + len(x)]
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(product(reduced(prefix[end] + (PRIME - prefix[start])), powers(len(prefix))[1][start]))
 

@@ -66,15 +66,14 @@ def window_minima(prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarra
     return least, np.clip(np.minimum(i[near], j[near] - width + 1), 0, len(least) - 1)
 
 
-def runs_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, m, h, lo, n, own) of the runs of windows with one minimum.
+def runs_of(prefix: np.ndarray, offs: np.ndarray, length: int, gram: int, most: int = MOST_WINDOWS) -> tuple[np.ndarray, ...]:
+    """(document, m, h, lo, n, own) of the runs of windows with one minimum, from prefix hashes of bytes or words.
 
     lo counts from the document's start; own: the minimum is met twice, so the run may repeat itself.
     """
     empty = np.zeros(0, np.int64)
-    if len(data) < length:
+    if len(prefix) <= length:
         return empty, empty, empty, empty, empty, empty
-    prefix = S.prefix_hash(data)
     least, twice = window_minima(prefix, length, gram)
     last = np.maximum(offs[1:] - length + 1, offs[:-1])  # one past the last window of each document
     edge = np.ones(len(least) + 1, bool)
@@ -83,10 +82,10 @@ def runs_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     edge[bounds[bounds <= len(least)]] = True
     cuts = np.flatnonzero(edge)
     lo, hi = cuts[:-1], cuts[1:]
-    if (hi - lo).max(initial=0) > MOST_WINDOWS:
-        parts = -(-(hi - lo) // MOST_WINDOWS)
-        lo = np.repeat(lo, parts) + MOST_WINDOWS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        hi = np.minimum(lo + MOST_WINDOWS, np.repeat(hi, parts))
+    if (hi - lo).max(initial=0) > most:
+        parts = -(-(hi - lo) // most)
+        lo = np.repeat(lo, parts) + most * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        hi = np.minimum(lo + most, np.repeat(hi, parts))
     doc = np.searchsorted(offs, lo, "right") - 1
     own = np.zeros(len(lo), np.int64)
     own[np.searchsorted(lo, twice, "right") - 1] = 1
@@ -101,7 +100,7 @@ def cut_runs(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offs, rows in S.chunks(batches, CHUNK):
-            doc, m, h, lo, n, own = runs_of(data, offs, length, gram)
+            doc, m, h, lo, n, own = runs_of(S.prefix_hash(data), offs, length, gram)
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), *(rows.column(k).take(take) for k in KEY), pa.array((lo << 16) | (own << 15) | n)], names=["m", "h", *KEY, "place"])
 
