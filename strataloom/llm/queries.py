@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, html_mincut, langid, minhash, packing, quality_bt, quality_rules, substring_dedup, suffix_dedup, token_align, url_filter, warc_revisit
+from . import decontam, hard_negatives, html_mincut, langid, minhash, packing, quality_bt, quality_rules, substring_dedup, suffix_dedup, token_align, url_filter, warc_revisit
 from .shared import table
 
 
@@ -56,6 +57,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -69,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_mincut, op2_language_id, op3_url_filter, op4_suffix_dedup, op5_warc_revisit, op6_quality_classifier, op7_packing, op8_decontamination,
-        op9_quality_rules, op10_minhash, op12_substring_dedup, op13_token_align,
+        op9_quality_rules, op10_minhash, op11_hard_negatives, op12_substring_dedup, op13_token_align,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.op3_sql(), "op5_warc_revisit": warc_revisit.ORACLE_SQL}
