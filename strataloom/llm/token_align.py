@@ -41,6 +41,7 @@ CHUNK = 4 << 20
 SLOTS = 1 << 20  # of a worker's table of segments: some 100 MB with what it refers to
 MOST_KEYS = 1 << 21  # partial counts that are held before they are summed
 SHIFT = 32
+BEST = pa.list_(pa.struct([("b", pa.int64()), ("most", pa.int64())]))
 #: The pattern of byte-level vocabularies (a fixed value), used where a file says that it splits so.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: 1 letter, 2 digit, 3 sign, 0 space and control characters, 4 anything else.
@@ -334,9 +335,9 @@ def run_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(key, n): how many links of the whole table hold each id pair; a = key >> 32, b = the low half. Files are sorted by key."""
+    """(key, n): how many links of the whole table hold each id pair; a = key >> 32, b = the low half. Partitions are ranges of keys, in order."""
     part = S.materialise(S.plain(docs).select("text").mapInArrow(partial_counts(path_a, path_b), "key long, n long"))
-    return S.materialise(part.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run_sums, "key long, n long"))
+    return part.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run_sums, "key long, n long")
 
 
 # --- shards -----------------------------------------------------------------------------------
@@ -346,22 +347,36 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def shard_writer(folder: str):
-    """Each run of sorted (key, n) rows as two int64 arrays behind one another in a file; a row for each file.
+def shard_writer(folder: str, most: int = 1 << 20):
+    """Sorted (key, n) rows as shards of at most about `most` keys: two int64 arrays behind one another in a file.
 
-    Only files of tasks that succeeded are named in the result, so an attempt that was lost leaves nothing in use.
+    A row for each file, with the highest count of each id of the second tokenizer in it. Only files of tasks that
+    succeeded are named in the result, so an attempt that was lost leaves nothing in use.
     """
 
+    def filed(held: list[pa.RecordBatch], store: fs.FileSystem, top: str) -> pa.RecordBatch:
+        keys, counts = (np.concatenate([x.column(k).to_numpy() for x in held]).astype("<i8") for k in (0, 1))
+        name = uuid.uuid4().hex
+        with store.open_output_stream(f"{top}/{name}") as out:
+            out.write(keys.tobytes())
+            out.write(counts.tobytes())
+        low = keys & ((1 << SHIFT) - 1)
+        order = np.lexsort((counts, low))
+        last = np.flatnonzero(np.concatenate([low[order][1:] != low[order][:-1], [True]]))
+        best = pa.array([[{"b": int(b), "most": int(n)} for b, n in zip(low[order][last], counts[order][last])]], BEST)
+        return pa.RecordBatch.from_arrays([pa.array([int(keys[0])]), pa.array([name]), pa.array([len(keys)]), best], names=["low", "name", "n", "best"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = opened(folder)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows:
-                name = uuid.uuid4().hex
-                with store.open_output_stream(f"{top}/{name}") as out:
-                    for column in batch.columns:
-                        out.write(np.ascontiguousarray(column.to_numpy(), "<i8").tobytes())
-                own = [pa.array([x]) for x in (batch.column(0)[0].as_py(), name, batch.num_rows)]
-                yield pa.RecordBatch.from_arrays(own, names=["low", "name", "n"])
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= most:
+                yield filed(held, store, top)
+                held = []
+        if held:
+            yield filed(held, store, top)
 
     return run
 
@@ -403,14 +418,20 @@ class Shards:
         return out
 
 
-def write_shards(counts: DataFrame) -> tuple[str, list[tuple[int, str, int]]]:
-    """(folder, [(least key, file, keys)]): the list has an entry for each batch of rows, some ten thousand keys."""
+def write_shards(counts: DataFrame) -> tuple[str, list[tuple[int, str, int]], np.ndarray]:
+    """(folder, [(least key, file, keys)], highest count of each id of the second tokenizer). counts is sorted within ranges.
+
+    The driver gets a row for each file, some million keys, and one for each id of the second vocabulary.
+    """
     spark = counts.sparkSession
     folder = f"{S.own_dir(spark)}/{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    rows = S.materialise(counts.mapInArrow(shard_writer(folder), "low long, name string, n long"))
-    return folder, sorted(map(tuple, rows.collect()))
+    rows = S.materialise(counts.mapInArrow(shard_writer(folder), "low long, name string, n long, best array<struct<b: long, most: long>>"))
+    most = rows.select(F.inline("best")).groupBy("b").agg(F.max("most").alias("most")).collect()
+    best = np.zeros(max([0, *(r["b"] for r in most)]) + 1, np.int64)
+    best[[r["b"] for r in most]] = [r["most"] for r in most]
+    return folder, sorted(map(tuple, rows.select("low", "name", "n").collect())), best
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -458,10 +479,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = True) -
     A link is a token of each tokenizer with a byte in common; its count is how many links of the table hold this id
     pair; n_best are the links whose count is the highest of their id of the second tokenizer.
     """
-    counts = pair_counts(docs, path_a, path_b)
-    folder, index = write_shards(counts)
-    most = counts.groupBy(F.col("key").bitwiseAND((1 << SHIFT) - 1).alias("b")).agg(F.max("n").alias("most")).collect()  # a row for each id of b at most
-    best = np.zeros(max([0, *(r["b"] for r in most)]) + 1, np.int64)
-    best[[r["b"] for r in most]] = [r["most"] for r in most]
+    folder, index, best = write_shards(pair_counts(docs, path_a, path_b))
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in FIELDS) + ", groups_sha256 string" + ", groups string" * with_groups
     return S.plain(docs).mapInArrow(aligned(path_a, path_b, folder, index, best, with_groups), schema)
