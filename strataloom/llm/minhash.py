@@ -15,8 +15,9 @@
 4. A pair is confirmed when 100 * intersection >= 80 * union of the full shingle sets.
 
 Null and empty texts have an empty set and are linked with nothing; a text of fewer words than a shingle is
-one shingle; rows that share a doc_id are one node; a null doc_id has a null component. An empty table
-gives an empty result; further columns are ignored.
+one shingle; rows that share a doc_id are one node, so what one of its texts is linked with, all are; a null
+doc_id has a null component and links nothing. Repeated rows are repeated in the result, with the same values. An
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,8 +73,8 @@ def signatures(size: int, coordinates: int):
             own = np.zeros(len(n) + 1, np.int32)
             own[1:] = np.cumsum(np.where(n > 0, coordinates, 0))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(own), pa.array(sig.ravel()))],
-                names=["doc_id", "n", "h1", "h2", "sig"],
+                [rows.column("doc_id"), rows.column("v"), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(own), pa.array(sig.ravel()))],
+                names=["doc_id", "v", "n", "h1", "h2", "sig"],
             )
 
     return run
@@ -83,7 +84,7 @@ def full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offs, rows in S.chunks(batches, CHUNK):
             found, first = shingle_sets(data, offs, size)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.view(np.int64)))], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.view(np.int64)))], names=["rep", "shingles"])
 
     return run
 
@@ -150,18 +151,41 @@ def link(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, simil
     return merged(labels, S.materialise(confirmed(S.materialise(pairs), sigs, sets, matches, similarity)))
 
 
+def same_document(base: DataFrame, groups: DataFrame) -> DataFrame:
+    """(own, other): links between groups that hold texts of one doc_id; own is the least."""
+    kind = F.struct("h1", "h2", "n")
+    several = base.groupBy("doc_id").agg(F.min(kind).alias("x"), F.max(kind).alias("y")).filter("x <> y").select("doc_id")
+    member = base.join(several, "doc_id").join(groups.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("doc_id", "rep").distinct()
+    member = S.materialise(member)
+    least = member.groupBy("doc_id").agg(F.min("rep").alias("own"))
+    return member.join(least, "doc_id").filter("rep <> own").select("own", F.col("rep").alias("other"))
+
+
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES, hubs: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
-    rows = S.plain(docs)
-    base = S.materialise(rows.mapInArrow(signatures(shingle, coordinates), "doc_id long, n long, h1 long, h2 long, sig array<long>"))
-    groups = S.materialise(base.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
+    rows = S.plain(docs).withColumn("v", F.xxhash64("text"))
+    base = S.materialise(rows.mapInArrow(signatures(shingle, coordinates), "doc_id long, v long, n long, h1 long, h2 long, sig array<long>"))
+    full = base.filter("n > 0 and doc_id is not null")
+    # a group of equal sets has a number of its own: a doc_id can be the smallest of several groups
+    one = F.struct("doc_id", "v")
+    groups = full.groupBy("h1", "h2", "n").agg(F.min(one).alias("one"), F.min_by("sig", one).alias("sig"))
+    groups = S.materialise(groups.withColumn("rep", F.monotonically_increasing_id()))
     lists = S.materialise(prefixes(groups, coordinates, matches))
     ids = S.materialise(lists.select("rep").distinct())
-    sigs = S.materialise(groups.join(ids, "rep", "left_semi").select("rep", "sig"))
-    sets = S.materialise(rows.join(ids, rows.doc_id == ids.rep, "left_semi").mapInArrow(full_sets(shingle), "rep long, shingles array<long>"))
+    sigs = S.materialise(groups.join(ids, "rep", "left_semi").select("rep", "sig", "one"))
+    sets = rows.join(sigs.select("rep", "one.*"), ["doc_id", "v"]).mapInArrow(full_sets(shingle), "rep long, shingles array<long>")
+    sets = S.materialise(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")))  # repeated rows give a set twice
     comp = link(lists, sigs, sets, matches, similarity, hubs)
-    final = groups.join(comp, "rep", "left").select("h1", "h2", "n", F.coalesce("own", "rep").alias("component"))
-    out = base.drop("sig").join(final, ["h1", "h2", "n"], "left")
+    labels = S.materialise(groups.select("rep", "one").join(comp, "rep", "left").select("rep", F.coalesce("own", "rep").alias("own"), F.col("one.doc_id").alias("least")))
+    shared = same_document(full.drop("sig"), groups)
+    own = labels.select("rep", F.col("own").alias("label"))
+    shared = S.materialise(shared.join(own, shared.own == own.rep).select(F.col("label").alias("own"), "other"))
+    shared = S.materialise(shared.join(own, shared.other == own.rep).select("own", F.col("label").alias("other")).filter("own <> other"))
+    if not shared.isEmpty():
+        labels = merged(labels.select("rep", "own"), shared).join(labels.select("rep", "least"), "rep")
+    smallest = labels.groupBy("own").agg(F.min("least").alias("component"))
+    final = groups.select("h1", "h2", "n", "rep").join(labels.select("rep", "own"), "rep").join(smallest, "own").select("h1", "h2", "n", "component")
+    out = base.drop("sig", "v").join(final, ["h1", "h2", "n"], "left")
     smallest = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), F.col("doc_id").eqNullSafe(smallest).alias("kept"))
 
@@ -184,7 +208,7 @@ def brute_force(docs: list[tuple], shingle: int = SHINGLE, similarity: int = SIM
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= similarity * len(a | sets[j]):
+            if a and sets[j] and (docs[i][0] == docs[j][0] or 100 * len(a & sets[j]) >= similarity * len(a | sets[j])):
                 parent[root(i)] = root(j)
     least: dict[int, int] = {}
     for i, (d, _) in enumerate(docs):

@@ -48,3 +48,15 @@ def test_a_pair_between_four_and_five_words(spark):
         assert [r.kept for r in near_dedup(frame, shingle=shingle).orderBy("doc_id").collect()] == kept
         assert [x[3] for x in brute_force(docs, shingle)] == kept
     assert near_dedup(frame).filter("kept").count() == 2
+
+
+def test_several_texts_under_one_doc_id(spark):
+    """Each text has near copies elsewhere: no row is multiplied, and what either is linked with is one component."""
+    first, second, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    docs = [(9, first), (9, second), (4, first + " end"), (12, second + " end"), (12, third), (20, third + " x"), (30, "alone with four words"), (9, first), (9, None)]
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        docs += [(rng.randint(100 * seed, 100 * seed + 25), t) for _, t in made(seed)[5:60]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for shingle in (4, 5):
+        assert sorted(map(tuple, near_dedup(frame, shingle=shingle).collect())) == sorted(brute_force(docs, shingle))
