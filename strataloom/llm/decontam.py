@@ -19,7 +19,7 @@ several runs of one length the first in the document counts, of several items wi
 
 Null and empty texts have no words and are never contaminated; repeated rows are judged each for itself;
 an empty benchmark leaves all clean; an empty table gives an empty result; an item_id that several rows
-share counts once; further columns are ignored.
+share counts once, and items without an id are one item with the empty name; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ class Tests:
 
     @staticmethod
     def build(rows: list[tuple], window: int) -> "Tests":
-        ids, texts = [str(r[0]) for r in rows], pa.array([r[1] or "" for r in rows], pa.string())
+        ids, texts = ["" if r[0] is None else str(r[0]) for r in rows], pa.array([r[1] or "" for r in rows], pa.string())
         data, offs = S.text_bytes(texts)
         hashes, first = hashed_words(data[offs[0] : offs[-1]], offs - offs[0])
         counts = np.diff(first)
@@ -367,7 +367,7 @@ def brute_force(docs: list[tuple], benchmark: list[tuple], window: int = WINDOW)
     for i, t in benchmark:
         w = split(t)
         for s in range(max(1, len(w) - window + 1) if w else 0):
-            where.setdefault(tuple(w[s : s + window]), set()).add(str(i))
+            where.setdefault(tuple(w[s : s + window]), set()).add("" if i is None else str(i))
     sizes = {len(k) for k in where}
     out = []
     for i, t in docs:

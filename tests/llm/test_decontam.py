@@ -75,3 +75,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:3] for r in digest(decontaminate(d, none)).collect()] == [(1, 2, 0)]
     assert decontaminate(d.limit(0), none).count() == 0
+
+
+def test_items_without_an_id(spark):
+    docs = [(1, "a b c d e f"), (2, "u v w x y z"), (3, "clean")]
+    items = [(None, "a b c d e"), (7, "c d e f"), (None, "u v w x y z")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate(d, b, window=4)
+    assert {r.doc_id: r["items"] for r in got.collect()} == {1: ["", "7"], 2: [""], 3: []}
+    want = sorted(brute_force(docs, items, 4))
+    assert sorted(tuple(r)[:6] for r in digest(got).collect()) == want
