@@ -10,8 +10,8 @@ shuffled, never the suffixes:
 4. for minima with several different runs, one representative a run is cut from its text, and the
    suffixes at its windows are ordered: multikey quicksort to a shallow depth, then blind tries for the
    groups that still share their prefix. Neighbours that agree in `length` bytes are repeats;
-5. the runs of a minimum with more than `hot` different ones (a passage in very many documents) stay in the
-   batches in which they were cut. Each batch orders its own suffixes in the same way; what it finds repeated
+5. the runs of a minimum with more than `hot` different ones (a passage in very many documents), or with more than
+   `GROUP_WINDOWS` windows, stay in the batches in which they were cut. Each batch orders its own suffixes in the same way; what it finds repeated
    is final, and of equal windows only one goes on, by its hash, to a partially aggregated count over all
    batches. So no task gets an unbounded group, and a shared window is one row a batch.
 
@@ -33,10 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import shared as S
 
 LENGTH, GRAM, HOT = 200, 64, 4096
+GROUP_WINDOWS = 300_000  # of one minimum in one task
 CHUNK = 1 << 18
 SHALLOW_WORDS = 4  # multikey quicksort goes this many 8-byte keys deep
 MOST_WINDOWS = (1 << 15) - 1  # a longer run (periodic text) is cut; its parts meet again in their minimum
@@ -308,8 +310,8 @@ def cut_bytes(length: int):
     return run
 
 
-def keep_rest(with_text: bool, carry: list[str]):
-    """Rows (id, text, spans and carried columns): digest columns of what is left, and on demand the text."""
+def keep_rest(with_text: bool):
+    """Rows (id, text, spans and a struct of carried columns): digest columns of what is left, and on demand the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offs, rows in S.chunks(batches, 1 << 22):
@@ -329,7 +331,7 @@ def keep_rest(with_text: bool, carry: list[str]):
                 for column, value in zip(out, (len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)):
                     column.append(value)
             arrays = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([rows.column("key"), *arrays, *(rows.column(c) for c in carry)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry])
+            yield pa.RecordBatch.from_arrays([rows.column("key"), *arrays, rows.column("more")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "more"])
 
     return run
 
@@ -344,8 +346,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     whole = cand.join(by_run.filter("times > 1").select("m", "h"), ["m", "h"]).select(*KEY, *unpacked("place"))
     whole = whole.select(*KEY, F.col("lo").alias("s"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("e"))
     # a table of its own, so that the join with it deals by_run out by itself and a hot minimum can be split or the table broadcast
-    kinds = S.materialise(by_run.groupBy("m").agg(F.sum(1 + F.shiftright("one.place", 15).bitwiseAND(1)).alias("kinds")).filter("kinds > 1"))
-    want = by_run.join(kinds, "m").select("m", "one.*", F.ceil(F.col("kinds") / hot).cast("int").alias("deals"))
+    place = F.col("one.place")
+    kinds = by_run.groupBy("m").agg(F.sum(1 + F.shiftright(place, 15).bitwiseAND(1)).alias("kinds"), F.sum(place.bitwiseAND(0x7FFF)).alias("windows"))
+    kinds = S.materialise(kinds.filter("kinds > 1").select("m", F.ceil(F.greatest(F.col("kinds") / hot, F.col("windows") / GROUP_WINDOWS)).cast("int").alias("deals")))
+    want = by_run.join(kinds, "m").select("m", "one.*", "deals")
     per_row = want.select("m", *KEY, *unpacked("place"), "deals").groupBy(*KEY).agg(F.collect_list(F.struct("m", "lo", "n", "deals")).alias("want"))
     pieces = S.materialise(keyed.join(per_row, KEY).select(*KEY, "text", "want").mapInArrow(cut_bytes(length), "m long, doc_id long, v long, lo int, n int, deals int, bytes binary"))
     usual = pieces.filter("deals = 1").repartition("m").sortWithinPartitions("m").mapInArrow(sort_groups(length), SPANS)
@@ -358,14 +362,18 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each row, then the columns to carry along.
 
-    kept_text is what is left as UTF-8; a character of which a repeat cut away only a part is dropped.
+    kept_text is what is left as UTF-8; a character of which a repeat cut away only a part is dropped. A carried column
+    may have any name; one that is called like a column of the result stands beside it under the same name.
     """
     carry = carry or []
     nowhere = -(2**63)  # stands for a null doc_id in joins
     key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     v = F.xxhash64(text)
-    keyed = docs.select(key.alias("key"), F.coalesce(key, F.lit(nowhere)).alias("doc_id"), v.alias("v"), text.alias("text"), *carry)
+    # carried columns travel in a struct, so that their names clash with none that are made here
+    more = F.struct(F.lit(None).cast("int").alias("none"), *(F.col(f"`{c}`") for c in carry))
+    keyed = docs.select(key.alias("key"), F.coalesce(key, F.lit(nowhere)).alias("doc_id"), v.alias("v"), text.alias("text"), more.alias("more"))
     spans = repeated_spans(keyed.select(*KEY, "text"), length, gram, hot).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    schema = ["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)]
-    done = keyed.join(spans, KEY, "left").select("key", "text", "spans", *carry).mapInArrow(keep_rest(with_text, carry), ", ".join(schema))
-    return done if with_text else done.drop("kept_text")
+    own = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").add("more", keyed.schema["more"].dataType)
+    done = keyed.join(spans, KEY, "left").select("key", "text", "spans", "more").mapInArrow(keep_rest(with_text), schema)
+    return done.select(*own, *(F.col(f"more.`{c}`").alias(c) for c in carry))

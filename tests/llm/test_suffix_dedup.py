@@ -51,3 +51,11 @@ def test_same_as_brute_force(spark, seed, hot):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_carried_columns_with_clashing_names(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(300))
+    docs = spark.createDataFrame([(1, text, 10, 20, "a", "b", 1.5), (2, "x" + text, 11, 21, "c", None, None)], "doc_id long, text string, v int, key int, spans string, more string, `a.b` double")
+    got = suffix_dedup(docs, length=60, gram=16, carry=["v", "key", "spans", "more", "a.b"]).orderBy("doc_id").collect()
+    assert [tuple(r)[6:] for r in got] == [(10, 20, "a", "b", 1.5), (11, 21, "c", None, None)]
+    assert [r.kept_text for r in got] == ["", "x"]
