@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
+from strataloom.operators.html_tree import elements, main_parts
 
 # Patterns, in the order in which they are tried.
 FACT = r"(?iu)\d{2,}|[$€£₽%]|pricing|price|deadline|date|api|token|limit|latency|cost|стоим|цена|лимит|дата"
 SHELL = "(?i)__NEXT_DATA__|data-reactroot|vite|webpackJsonp|enable javascript|cf-chl|cloudflare|datadome|turnstile|captcha"
-SHELL_CHARS, LEAST_TEXT = 50_000, 800
+SHELL_CHARS, LEAST_TEXT, LOW_TEXT = 50_000, 800, 400
 BEFORE_STATUS = [
     ("key missing|key is not configured|not configured", "scraper_core_key_missing"),
     ("fallback is disabled|fallback_disabled", "scraper_core_disabled"),
@@ -57,21 +58,25 @@ def url_uncertainty(warnings: Column, fallback: Column) -> Column:
     return F.when(weak, 0.05).when(F.coalesce(fallback, F.lit(False)), 0.025).otherwise(0.02)
 
 
-def prepared_pages(pages: DataFrame, key: str = "page_id", html: str = "html", most_chars: int = 8000) -> DataFrame:
-    """key, title, headings, links, facts, text, body, script_shell, uncertainty of web pages, by plain markup rules.
+def prepared_pages(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", purpose: str = "", most_chars: int = 8000) -> DataFrame:
+    """key, title, description, canonical, headings, links, facts, text, body, markdown, warnings, uncertainty of web pages.
 
-    Scripts, styles and tags go, block elements end lines; the first `BODY_SHARE` of the budget is body.
+    The text is that of the page's main element without navigation, headers, footers, forms and hidden parts; the
+    first `BODY_SHARE` of the budget is body. A null page has no text and two warnings.
     """
-    raw = F.coalesce(F.col(html), F.lit(""))
-    bare = F.regexp_replace(raw, r"(?is)<(script|style|noscript|template|head)\b[^>]*>(?:(?!</\1).)*+</\1\s*>|<!--(?:(?!-->).)*+-->", " ")
-    text = F.regexp_replace(F.regexp_replace(bare, r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|aside)\b[^>]*>", "\n"), "<[^>]*>", "")
-    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(by))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: T.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    inner = lambda pattern: F.transform(F.regexp_extract_all(raw, F.lit(pattern), 1), lambda x: T.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"\s+", " ")))
-    out = pages.select(
-        key, F.coalesce(F.get(inner(r"(?is)<title[^>]*>([^<]*)"), F.lit(0)), F.lit("")).alias("title"), T.unique_ci(inner(r"(?i)<h[1-3]\b[^>]*>([^\n]*?)</h[1-3]>"), 24).alias("headings"),
-        T.unique_ci(F.regexp_extract_all(raw, F.lit(r"(?i)href=[\"'](https?://[^\"'\s]+)"), 1), 30).alias("links"), F.array_join(lines, "\n").alias("text"), is_script_shell(raw, F.array_join(lines, "\n")).alias("script_shell"),
+    raw = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    shell = F.coalesce(F.substring("html", 1, SHELL_CHARS), F.lit("")).rlike(SHELL)
+    found = main_parts(elements(raw.withColumn("key", F.struct("key", shell.alias("marks"))), "key"))
+    text = F.col("text")
+    found = found.withColumn("facts", extract_facts(text)).withColumn("body", T.clamp_head_tail(text, int(most_chars * BODY_SHARE)))
+    low, script = F.length(text) < LOW_TEXT, F.col("key.marks") & (F.length(text) < LEAST_TEXT)
+    warnings = F.filter(F.array(F.when(low, F.lit("low_text_extraction_volume")), F.when(script, F.lit("likely_js_or_challenge_shell"))), lambda x: x.isNotNull())
+    listed = lambda name, items: F.when(F.size(items) > 0, F.concat(F.lit(f"{name}:\n"), F.array_join(items, "\n")))
+    dashed = lambda column: F.transform(column, lambda x: F.concat(F.lit("- "), x))
+    links = F.transform(F.slice("links", 1, 20), lambda x: F.concat(F.lit("- ["), x["text"], F.lit("]("), x["url"], F.lit(")")))
+    sections = (
+        F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("Source: "), F.col("url")), F.lit(f"Purpose: {purpose}") if purpose else F.lit(None).cast("string"), F.concat(F.lit("Description: "), F.col("description")),
+        listed("Headings", dashed(F.col("headings"))), listed("Key facts", dashed(F.col("facts"))), F.concat(F.lit("Main content:\n"), F.col("body")), listed("Key links", links),
     )
-    warnings = F.when(F.col("script_shell"), F.array(F.lit("likely_js_or_challenge_shell"))).otherwise(F.array().cast("array<string>"))
-    return out.withColumns({"facts": extract_facts(F.col("text")), "body": T.clamp_head_tail(F.col("text"), int(most_chars * BODY_SHARE)), "uncertainty": url_uncertainty(warnings, F.lit(False))})
+    found = found.withColumns({"warnings": warnings, "markdown": F.concat_ws("\n\n", *sections)}).withColumn("uncertainty", url_uncertainty(F.col("warnings"), F.lit(False)))
+    return found.select(F.col("key.key").alias(key), "url", "title", "description", "canonical", "headings", "links", "facts", "text", "body", "markdown", "warnings", "uncertainty")

@@ -14,6 +14,7 @@ from strataloom.operators import contracts as N
 from strataloom.operators import diagnostics as D
 from strataloom.operators import diffs
 from strataloom.operators import evidence as E
+from strataloom.operators import html_tree as H
 from strataloom.operators import modules as M
 from strataloom.operators import paths as P
 from strataloom.operators import retrieve as R
@@ -242,18 +243,16 @@ def fn_extract_facts(t):
 
 scalar("pred_js_shell", "pages", "page_id", lambda: W.is_script_shell(F.col("html"), F.substring("html", 1, F.col("page_id").cast("int") % 1200)), f"length(substr(html, 1, page_id % 1200)) < 800 AND regexp_matches(substr(html, 1, 50000), '{W.SHELL}')")
 scalar("fn_url_uncertainty", *PART, lambda: W.url_uncertainty(F.when(K() % 3 == 0, F.array(F.lit("weak_extraction"))), K() % 3 == 1), "CAST(CASE p_partkey % 3 WHEN 0 THEN 0.05 WHEN 1 THEN 0.025 ELSE 0.02 END AS DOUBLE)")
-PAGE, _ = line("<html><head><title>T⟨p_partkey⟩</title><style>p{}</style></head><body><h1>Head  ⟨p_size⟩</h1><p>Costs ⟨p_size * 10⟩ &amp; more</p><script>var x = '<p>no</p>';</script><a href=\"https://x.org/⟨p_size⟩\">link</a></body></html>")
-
-
-@query("prep_url", "SELECT p_partkey AS run_id, 'T' || p_partkey AS title, 'Head ' || p_size AS headings, 'https://x.org/' || p_size AS links, 'Head ' || p_size || chr(10) || 'Costs ' || p_size * 10 || ' & more' || chr(10) || 'link' AS text, array_to_string(list_filter(['Head ' || p_size, 'Costs ' || p_size * 10 || ' & more'], lambda x: regexp_matches(x, '\\d{2,}|[Cc]ost')), ',') AS facts, 0.02::DOUBLE AS uncertainty FROM part")
+@query("prep_url")
 def prep_url(t):
-    out = W.prepared_pages(made(t, PAGE, "html"), "run_id")
-    return out.select("run_id", "title", F.array_join("headings", ",").alias("headings"), F.array_join("links", ",").alias("links"), "text", F.array_join("facts", ",").alias("facts"), "uncertainty")
+    out = W.prepared_pages(t("pages"))
+    links = F.transform("links", lambda x: F.concat(x["text"], F.lit("␟"), x["url"]))
+    return out.withColumns({"links": links}).withColumns({c: F.array_join(c, "␞") for c in ("headings", "links", "facts", "warnings")})
 
 
-@query("fn_html_main", "SELECT p_partkey, 'Head ' || p_size || chr(10) || 'Costs ' || p_size * 10 || ' & more' || chr(10) || 'link' AS value FROM part")
+@query("fn_html_main")
 def fn_html_main(t):
-    return W.prepared_pages(made(t, PAGE, "html"), "run_id").select(F.col("run_id").alias("p_partkey"), F.col("text").alias("value"))
+    return H.main_parts(H.elements(t("pages"))).select(F.col("key").alias("page_id"), "title", "text")
 
 
 # --- paths --------------------------------------------------------------------------------------
