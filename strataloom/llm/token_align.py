@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from . import shared as S
 from .packing import Words, appended, equal_spans
 
-CHUNK = 4 << 20
-SLOTS = 1 << 20  # of a worker's table of segments: some 100 MB with what it refers to
+CHUNK = 1_900_000  # with a space before each document under 2^21, a size of the tables of powers
+SLOTS = 1 << 19  # of a worker's table of segments: some 50 MB with what it refers to
 MOST_KEYS = 1 << 21  # partial counts that are held before they are summed
 SHIFT = 32
 BEST = pa.list_(pa.struct([("b", pa.int64()), ("most", pa.int64())]))
@@ -452,22 +452,26 @@ def aligned(path_a: str, path_b: str, folder: str, index: list[tuple[int, str, i
             count = shards.counts(names)
             top = count == best[names & ((1 << SHIFT) - 1)]
             of = np.repeat(np.arange(len(segment)), np.diff(before))
-            own = [pair.facts[0, segment].astype(np.int64), (pair.start[segment + 1] - pair.start[segment]) - pair.facts[0, segment], pair.facts[1, segment].astype(np.int64), np.diff(before)]
+            sides = [pair.facts[0, segment].astype(np.int64), (pair.start[segment + 1] - pair.start[segment]) - pair.facts[0, segment], pair.facts[1, segment].astype(np.int64), np.diff(before)]
             for values in (top.astype(np.int64), count):
                 total = np.zeros(len(segment), np.int64)
                 np.add.at(total, of, values[where])
-                own.append(total)
+                sides.append(total)
             sums = np.zeros((len(FIELDS), n), np.int64)
-            for k, values in enumerate(own):
+            for k, values in enumerate(sides):
                 np.add.at(sums[k], doc, values[back])
             raw, cuts = pair.written(segment)
             text = [raw[s:e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            first, order = np.searchsorted(doc, np.arange(n + 1)).tolist(), back.tolist()
-            whole = [b"".join([text[k] for k in order[s:e]])[:-1] for s, e in zip(first[:-1], first[1:])]
-            digest = [hashlib.sha256(x).hexdigest() if x else "" for x in whole]
+            first = np.searchsorted(doc, np.arange(n + 1)).tolist()
+            digest, whole = [], []
+            for s, e in zip(first[:-1], first[1:]):
+                own = b"".join([text[k] for k in back[s:e].tolist()])[:-1]
+                digest.append(hashlib.sha256(own).hexdigest() if own else "")
+                if with_groups:
+                    whole.append(own.decode())
             columns = [rows.column("doc_id"), *(pa.array(x) for x in sums), pa.array(digest, pa.string())]
             if with_groups:
-                columns.append(pa.array([x.decode() for x in whole], pa.string()))
+                columns.append(pa.array(whole, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FIELDS, "groups_sha256", *["groups"] * with_groups])
 
     return run
