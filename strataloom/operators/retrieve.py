@@ -63,25 +63,34 @@ def path_score(path: Column, terms: list[str], intent: str = "code") -> Column:
     return score
 
 
-def content_matches(files: DataFrame, query_plans: list[tuple[str, int, list[str]]]) -> DataFrame:
-    """Per file: matched lines (each plan counts its first 12), the plans that matched, and the content score.
+def content_matches(files: DataFrame, query_plans: list[tuple[str, int, list[str]]], most_lines: int | None = MOST_LINES) -> DataFrame:
+    """Per file: matched lines (each plan counts its first `most_lines`, all for None), and the content score.
 
     One pass over the lines serves all plans.
     """
     l = F.transform(lines_of(F.col("text")), F.lower)
     rows = files.select("path", l.alias("l"))
-    rows = rows.select("path", *(_first_lines_with(own).alias(f"at_{name}") for name, _, own in query_plans))
+    rows = rows.select("path", *(_first_lines_with(own, most_lines).alias(f"at_{name}") for name, _, own in query_plans))
     every = F.array_sort(F.array_distinct(F.concat(*(F.col(f"at_{n}") for n, _, _ in query_plans))))
     boost = sum(F.when(F.size(f"at_{n}") > 0, b).otherwise(0) for n, b, _ in query_plans)
-    rows = rows.select("path", every.alias("lines"), boost.alias("boost")).filter(F.size("lines") > 0)
-    return rows.withColumn("content_score", F.least(F.lit(80), F.size("lines") * 10) + F.least(F.lit(24), F.col("boost")))
+    return content_score(rows.select("path", every.alias("lines"), boost.alias("boost")).filter(F.size("lines") > 0))
 
 
-def _first_lines_with(own: list[str]) -> Column:
+def capped(lines: Column, boost: Column) -> Column:
+    """Ten a line and the plans' boosts, each up to its limit."""
+    return F.least(F.lit(80), lines * 10) + F.least(F.lit(24), boost)
+
+
+def content_score(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("content_score", capped(F.size("lines"), F.col("boost")))
+
+
+def _first_lines_with(own: list[str], most: int | None) -> Column:
     """Numbers of the first lines that hold one of the terms."""
     if not own:
         return F.array().cast("array<int>")
-    return F.slice(F.filter(F.transform("l", lambda x, i: F.when(_any(x, own), i + 1)), lambda i: i.isNotNull()), 1, MOST_LINES)
+    found = F.filter(F.transform("l", lambda x, i: F.when(_any(x, own), i + 1)), lambda i: i.isNotNull())
+    return found if most is None else F.slice(found, 1, most)
 
 
 def _any(x: Column, own: list[str]) -> Column:
@@ -97,22 +106,31 @@ def hint_scores(hints: DataFrame) -> DataFrame:
     return hints.distinct().groupBy("path").agg(F.least(F.lit(120), F.sum(F.coalesce(F.try_element_at(weight, F.col("kind")), F.lit(0)))).alias("hint_score"))
 
 
-def rank_files(files: DataFrame, query: str, hints: DataFrame | None = None, changed: DataFrame | None = None, intent: str = "code", top: int = 12) -> DataFrame:
-    """The best files: path, score, its parts, matched lines; ties by path."""
-    terms = query_terms(query)
-    out = files.filter(P.filter_reason(F.col("path")).isNull()).select("path", path_score(F.col("path"), terms, intent).alias("path_score"), F.length("text").alias("chars"))
-    out = out.join(content_matches(files, plans(terms)), "path", "left")
-    if hints is not None:
-        out = out.join(hint_scores(hints), "path", "left")
-    if changed is not None:
-        out = out.join(changed.select("path").distinct().withColumn("is_changed", F.lit(8)), "path", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0)
-    total = F.col("path_score") + zero("content_score") + zero("hint_score") + zero("is_changed")
+def with_parts(files: DataFrame, hints: DataFrame | None, changed: DataFrame | None) -> DataFrame:
+    """files (path, chars, path_score and more) with hint_score, changed_score and the score without content."""
+    for column, other in (("hint_score", None if hints is None else hint_scores(hints)), ("changed_score", None if changed is None else changed.select("path").distinct().withColumn("changed_score", F.lit(8)))):
+        files = files.withColumn(column, F.lit(0)) if other is None else files.join(other, "path", "left").withColumn(column, F.coalesce(column, F.lit(0)))
     # a size penalty for what would otherwise come first, by a deterministic order
-    scored = out.select("path", "path_score", zero("content_score").alias("content_score"), zero("hint_score").alias("hint_score"), zero("is_changed").alias("changed_score"), F.coalesce("lines", F.array().cast("array<int>")).alias("lines"), (total - F.when(F.col("chars") > 120_000, 20).when(F.col("chars") > 40_000, 6).otherwise(0)).alias("score"))
+    penalty = F.when(F.col("chars") > 120_000, 20).when(F.col("chars") > 40_000, 6).otherwise(0)
+    return files.withColumn("score", F.col("path_score") + F.col("hint_score") + F.col("changed_score") - penalty)
+
+
+def best(files: DataFrame, content: DataFrame, top: int) -> DataFrame:
+    """The best of files with_parts and their content matches; ties by path."""
+    out = files.join(content, "path", "left").withColumns({"content_score": F.coalesce("content_score", F.lit(0)), "lines": F.coalesce("lines", F.array().cast("array<int>"))})
+    scored = out.select("path", "path_score", "content_score", "hint_score", "changed_score", "lines", (F.col("score") + F.col("content_score")).alias("score"))
     return scored.filter("score > 0").orderBy(F.desc("score"), "path").limit(top)
 
 
+def rank_files(
+    files: DataFrame, query: str, hints: DataFrame | None = None, changed: DataFrame | None = None, intent: str = "code", top: int = 12, most_lines: int | None = MOST_LINES
+) -> DataFrame:
+    """The best files: path, score, its parts, matched lines; ties by path. It reads all texts: text_index does not."""
+    terms = query_terms(query)
+    rows = files.filter(P.filter_reason(F.col("path")).isNull()).select("path", path_score(F.col("path"), terms, intent).alias("path_score"), F.length("text").alias("chars"))
+    return best(with_parts(rows, hints, changed), content_matches(files, plans(terms), most_lines), top)
+
+
 def confidence(ranked: DataFrame, snippets: Column | None = None) -> DataFrame:
     """One row: uncertainty of the ranked files (few rows), from the top score, the gap behind it, and coverage."""
     w = Window.orderBy(F.desc("score"), "path")

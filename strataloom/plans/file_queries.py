@@ -111,13 +111,6 @@ def sink_link_registry(t):
     return OUT.link_registry(links.filter(K() % 2 == 0), links)
 
 
-@query("sink_index", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
-def sink_index(t):
-    path, spark = scratch(t("part").sparkSession), t("part").sparkSession
-    t("part").select("p_brand", "p_partkey").write.partitionBy("p_brand").parquet(path)
-    return spark.read.parquet(path).groupBy("p_brand").agg(F.count("*").alias("n"))
-
-
 MARKDOWN, _ = line("# Top ⟨p_size⟩\ntext\n### Sub ##")
 YAML, _ = line("name: ⟨p_name⟩\n  inner: 1\nk.⟨p_size⟩: 2")
 JSON, _ = line('{\n  "ab⟨p_size⟩": 1,\n  "x": 2,\n  "cd": {}\n}')

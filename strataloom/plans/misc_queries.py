@@ -9,6 +9,8 @@ from strataloom.functions import predicates as P
 from strataloom.functions import text as T
 from strataloom.operators import retrieve as R
 from strataloom.operators import route as O
+from strataloom.operators import text_index as X
+from strataloom.session import scratch
 from strataloom.sources import readers as IN
 
 from .registry import query
@@ -44,16 +46,38 @@ s AS (SELECT f.path, {PATH.replace('path', 'f.path').replace('contains(f.path',
 k AS (SELECT * EXCLUDE (chars), path_score + content_score + hint_score + changed_score - CASE WHEN chars > 120000 THEN 20 WHEN chars > 40000 THEN 6 ELSE 0 END AS score FROM s ORDER BY score DESC, path LIMIT 12)"""
 
 
-def ranked(t):
-    f = files(t)
+def hinted(f):
+    """(hints, changed files)."""
     i = F.col("doc_id")
     hints = f.filter(i % 20 == 3).select("path", F.lit("explicit").alias("kind")).unionByName(f.filter(i % 40 == 3).select("path", F.lit("symbol").alias("kind")))
-    return R.rank_files(f, QUERY, hints, f.filter(i % 9 == 1))
+    return hints, f.filter(i % 9 == 1)
+
+
+def ranked(t):
+    f = files(t)
+    return R.rank_files(f, QUERY, *hinted(f))
 
 
-@query("retrieve_context", f"WITH {FILES}, {CONTENT} SELECT path, path_score, content_score, hint_score, changed_score, array_to_string(lines, ',') AS lines, score FROM k")
-def retrieve_context(t):
-    return ranked(t).withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
+def searched(t, top: int):
+    """The ranks by a written index, which is made here of the whole table."""
+    f = files(t)
+    folder = scratch(f.sparkSession)
+    X.write_index(f, folder)
+    out = X.search(f.sparkSession, folder, QUERY, *hinted(f), top=top)
+    return out.withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
+
+
+RANKED_SQL = f"WITH {FILES}, {CONTENT} SELECT path, path_score, content_score, hint_score, changed_score, array_to_string(lines, ',') AS lines, score FROM k"
+query("retrieve_context", RANKED_SQL)(lambda t: searched(t, 12))
+query("find_files", RANKED_SQL.replace("LIMIT 12", "LIMIT 30"))(lambda t: searched(t, 30))
+
+
+@query("sink_index", f"WITH {FILES}, l AS (SELECT path, unnest(string_split_regex(lower(text), '\r?\n')) AS x, generate_subscripts(string_split_regex(lower(text), '\r?\n'), 1) AS line FROM f), w AS (SELECT path, line, unnest(regexp_extract_all(x, '[^ \t\n\x0b\f\r]+')) AS token FROM l), p AS (SELECT token, path, count(*) AS n, count(DISTINCT line) AS lines FROM w GROUP BY 1, 2) SELECT token, count(*) AS files, max(lines)::INT AS most_lines, sum(n)::BIGINT AS occurrences FROM p GROUP BY 1")
+def sink_index(t):
+    f = files(t)
+    folder = scratch(f.sparkSession)
+    X.write_index(f, folder)
+    return f.sparkSession.read.parquet(f"{folder}/blocks").groupBy("token").agg(F.sum("files").alias("files"), F.max("most_lines").alias("most_lines"), F.sum("occurrences").alias("occurrences"))
 
 
 @query("fn_confidence", f"""WITH {FILES}, {CONTENT}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS r, lead(score, 1, 0) OVER (ORDER BY score DESC, path) AS second FROM k),

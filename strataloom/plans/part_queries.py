@@ -19,6 +19,18 @@ from .stats_queries import ERF
 K = lambda: F.col("p_partkey")
 
 
+def part_of_ranks(name: str, *columns: str):
+    """Some columns of the ranked files, by a scan of the texts."""
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) if c == "lines" else F.col(c)
+    query(name, f"SELECT {', '.join(columns)} FROM ({SQL['retrieve_context']})")(lambda t: misc_queries.ranked(t).select(*map(listed, columns)))
+
+
+part_of_ranks("fn_content_score", "path", "content_score", "lines")
+part_of_ranks("fn_hint_boost", "path", "hint_score", "changed_score")
+part_of_ranks("set_union_hints", "path", "hint_score")
+part_of_ranks("topk_files", "path", "score")
+
+
 def view(name: str, of: str, *columns: str):
     """Some columns of another query; what they do not need is pruned from its plan."""
     build = QUERIES[of]
@@ -32,11 +44,6 @@ view("fn_next_checks", "prep_logs", "doc_id", "checks")
 view("fn_prep_uncertainty", "prep_logs", "doc_id", "uncertainty")
 view("fn_attach_stats", "prep_text", "doc_id", "raw_tokens", "compact_tokens", "saved_tokens", "savings_pct")
 view("topk_units_budget", "compress_context", "doc_id", "units_total", "units_kept", "critical_kept")
-view("fn_content_score", "retrieve_context", "path", "content_score", "lines")
-view("fn_hint_boost", "retrieve_context", "path", "hint_score", "changed_score")
-view("set_union_hints", "retrieve_context", "path", "hint_score")
-view("topk_files", "retrieve_context", "path", "score")
-view("find_files", "retrieve_context", "path", "path_score", "score")
 view("fn_graph_symbol_score", "graph_find_symbol", "symbol", "kind", "path", "line", "score")
 view("topk_symbols", "graph_find_symbol", "symbol", "path", "line", "score")
 view("fn_group_name", "topk_per_group", "path", "group")
