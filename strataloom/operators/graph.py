@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.session import saved
 
 
+LOCAL_EDGES = 1 << 20  # of a graph or component in one task
+EDGES_A_PART = 500  # of a component, for each task that lists its cycles
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct sorted targets of each source; edges (src, dst)."""
     return edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
@@ -66,12 +71,10 @@ def core(edges: DataFrame) -> DataFrame:
     return e
 
 
-def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
-    """Simple cycles, each once, starting at its smallest node; of any length, or of at most `longest` edges.
+def grown_cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """cycles() for a component of any size: paths grow edge by edge over all tasks, only through nodes above their start.
 
-    Only the core of the graph is walked. Paths grow only through nodes above their start, so each cycle is made once
-    instead of at every rotation; a round ends when no path can grow. In a dense graph the number of cycles itself is
-    exponential: there `longest` bounds the listing, and strong_components tells exactly who lies on a cycle at all.
+    Paths that cannot close are grown too, so `longest` should be given.
     """
     e = core(edges)
     paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
@@ -87,6 +90,89 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     return found
 
 
+def cycles_from(start, targets: dict, most: int):
+    """Simple cycles of at most `most` edges whose smallest node is `start`, in a component's adjacency.
+
+    A node that was left without a cycle is locked with the length of the path that failed, and is not entered again
+    by a path as long; when a later search finds a way from it, it and those that wait for it are let in again. So no
+    dead path is grown twice.
+    """
+    lock: dict = {}
+    waits: dict = {}
+    path, on_path = [start], {start}
+    frames = [[start, iter(targets.get(start, ())), None]]  # node, targets left, edges to the start on the best way found
+
+    def let_in(node, back: int) -> None:
+        todo = [(node, back)]
+        while todo:
+            v, n = todo.pop()
+            if lock.get(v, most + 1) < most - n + 1:
+                lock[v] = most - n + 1
+                todo += [(u, n + 1) for u in waits.get(v, ()) if u not in on_path]
+
+    while frames:
+        frame = frames[-1]
+        node = frame[0]
+        for target in frame[1]:
+            if target == start:
+                yield list(path)
+                frame[2] = 1
+            elif target > start and target not in on_path and len(path) < min(most, lock.get(target, most + 1)):
+                lock[target] = len(path)
+                path.append(target)
+                on_path.add(target)
+                frames.append([target, iter(targets.get(target, ())), None])
+                break
+        else:
+            frames.pop()
+            path.pop()
+            on_path.discard(node)
+            if frame[2] is None:
+                for target in targets.get(node, ()):
+                    waits.setdefault(target, set()).add(node)
+            else:
+                let_in(node, frame[2])
+                if frames and (frames[-1][2] is None or frames[-1][2] > frame[2] + 1):
+                    frames[-1][2] = frame[2] + 1
+
+
+def cycles(edges: DataFrame, longest: int | None = None, most_edges: int = LOCAL_EDGES) -> DataFrame:
+    """Simple cycles, each once, starting at its smallest node; of any length, or of at most `longest` edges.
+
+    Cycles lie inside strong components. A component goes to several tasks, each with its edges and a part of its
+    nodes as starts; one of more than `most_edges` edges is walked by paths that grow over all tasks. In a dense graph the
+    number of cycles itself is exponential: there `longest` bounds the listing, and strong_components tells exactly
+    who lies on a cycle at all.
+    """
+    e = saved(edges.select("src", "dst").distinct())
+    of = saved(strong_components(e))
+    a, b = of.select(F.col("node").alias("src"), "component"), of.select(F.col("node").alias("dst"), F.col("component").alias("other"))
+    inside = saved(e.filter("src <> dst").join(a, "src").join(b, "dst").filter("component = other").select("component", "src", "dst"))
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    sizes = saved(inside.groupBy("component").agg(F.count("*").alias("n")))
+    small = sizes.filter(F.col("n") <= most_edges).withColumn("parts", F.least(F.lit(cores), F.ceil(F.col("n") / EDGES_A_PART)).cast("int"))
+    dealt = inside.join(small, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", "src", "dst")
+    kind = e.schema["src"].dataType.simpleString()
+
+    def solve(table: pa.Table) -> pa.Table:
+        part, parts = table.column("part")[0].as_py(), table.column("parts")[0].as_py()
+        targets: dict = {}
+        for x, y in zip(table.column("src").to_pylist(), table.column("dst").to_pylist()):
+            targets.setdefault(x, []).append(y)
+        nodes = sorted(targets)
+        most = len(nodes) if longest is None else min(longest, len(nodes))
+        found = [c for s in nodes[part::parts] for c in cycles_from(s, targets, most)]
+        return pa.table({"cycle": pa.array(found, pa.list_(table.schema.field("src").type))})
+
+    found = dealt.groupBy("component", "part").applyInArrow(solve, f"cycle array<{kind}>")
+    loops = e.filter("src = dst").select(F.array("src").alias("cycle"))
+    found = found.unionByName(loops)
+    large = sizes.filter(F.col("n") > most_edges).select("component")
+    if not large.isEmpty():
+        found = found.unionByName(grown_cycles(inside.join(large, "component").select("src", "dst"), longest))
+    return found
+
+
 def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, value) after the largest value has gone along all edges until nothing changes."""
     while True:
@@ -97,14 +183,62 @@ def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
         values = grown
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def components_of(targets: dict) -> dict:
+    """node -> the largest node of its strong component, for nodes on cycles; one pass with an explicit stack."""
+    order, low, out, stack, on_stack = {}, {}, {}, [], set()
+    for root in targets:
+        if root in order:
+            continue
+        frames = [(root, iter(targets[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        on_stack.add(root)
+        while frames:
+            node, rest = frames[-1]
+            for x in rest:
+                if x not in order:
+                    order[x] = low[x] = len(order)
+                    stack.append(x)
+                    on_stack.add(x)
+                    frames.append((x, iter(targets.get(x, ()))))
+                    break
+                if x in on_stack:
+                    low[node] = min(low[node], order[x])
+            else:
+                frames.pop()
+                if frames:
+                    low[frames[-1][0]] = min(low[frames[-1][0]], low[node])
+                if low[node] == order[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(stack.pop())
+                        on_stack.discard(own[-1])
+                    if len(own) > 1 or node in targets.get(node, ()):
+                        out.update(dict.fromkeys(own, max(own)))
+    return out
+
+
+def strong_components(edges: DataFrame, most_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) of the nodes that lie on cycles; the component is its largest node.
 
-    Colours go forward from the largest node that reaches each; the nodes that go back to their colour's root inside the
-    colour are its component. What is left is trimmed and coloured again.
+    A graph of at most `most_edges` edges (16 MB of numbers) is one task's work. A larger one is coloured over all tasks:
+    colours go forward from the largest node that reaches each; the nodes that go back to their colour's root inside the
+    colour are its component. What is left is trimmed and coloured again, until it is small.
     """
-    e, out = core(edges), None
-    while not e.isEmpty():
+    e, out = saved(edges.select("src", "dst").distinct()), None
+    kind = e.schema["src"].dataType.simpleString()
+
+    def solve(table: pa.Table) -> pa.Table:
+        targets: dict = {}
+        for x, y in zip(table.column("src").to_pylist(), table.column("dst").to_pylist()):
+            targets.setdefault(x, []).append(y)
+        found = components_of(targets)
+        return pa.table({"node": pa.array(list(found), table.schema.field("src").type), "component": pa.array(list(found.values()), table.schema.field("src").type)})
+
+    while e.count() > most_edges:
+        e = core(e)
+        if e.count() <= most_edges:
+            break
         colours = _spread(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("value", F.col("node")), e)
         a, b = colours.select(F.col("node").alias("src"), F.col("value").alias("va")), colours.select(F.col("node").alias("dst"), F.col("value").alias("vb"))
         inside = saved(e.join(a, "src").join(b, "dst").filter("va = vb").select("src", "dst"))
@@ -115,8 +249,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done = saved(done.join(inside.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
         out = done if out is None else out.unionByName(done)
         gone = reached.filter("value is not null").select("node")
-        e = core(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+        e = saved(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    rest = e.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(solve, f"node {kind}, component {kind}")
+    return rest if out is None else out.unionByName(rest)
 
 
 def references(tokens: DataFrame, symbols: DataFrame, per_symbol: int = 80) -> DataFrame:

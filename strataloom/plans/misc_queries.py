@@ -156,7 +156,6 @@ def src_git_numstat(t):
 SLUGS = "WITH h AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), s AS (SELECT doc_id, line, regexp_replace(regexp_replace(lower(trim(x)), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g') AS slug FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line) - 1 AS n FROM s) SELECT doc_id, line, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS slug FROM r"
 
 
-@query("win_slug_dedup_whole", SLUGS)
 @query("win_slug_dedup", SLUGS)
 def win_slug_dedup(t):
     h = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("line"), T.github_slug(F.trim("x")).alias("slug"))
@@ -167,7 +166,6 @@ def win_slug_dedup(t):
 LOCKS = "SELECT p_partkey AS report, 'a' AS name, '1.' || (p_partkey % 3) AS version, p_partkey % 2 = 0 AS dev FROM part UNION ALL SELECT p_partkey, 'b', '2.0', FALSE FROM part"
 
 
-@query("src_lockfile_whole", LOCKS)
 @query("src_lockfile", LOCKS)
 def src_lockfile(t):
     k = F.col("p_partkey")

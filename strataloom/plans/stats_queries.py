@@ -87,59 +87,55 @@ def fn_pareto(t):
 # --- graphs -----------------------------------------------------------------------------------
 
 
-def edges(t):
-    """Each part refers to 5k mod 11, each supplier to 7k mod 13 + 20: trees that end in rings of one to twelve nodes."""
-    l = t("lineitem")
-    a = l.select(F.col("l_partkey").alias("src"), (F.col("l_partkey") * 5 % 11).alias("dst"))
-    return a.union(l.select("l_suppkey", F.col("l_suppkey") * 7 % 13 + 20)).distinct()
+def followed(t, by: int = 1, returned: bool = False):
+    """Edges from each part to the one that stands so many lines further in an order; on demand, if both were returned."""
+    l = t("lineitem").filter("l_returnflag = 'R'") if returned else t("lineitem")
+    a = l.select("l_orderkey", (F.col("l_linenumber") + by).alias("line"), F.col("l_partkey").alias("src"))
+    return a.join(l.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("dst")), ["l_orderkey", "line"]).select("src", "dst").distinct()
 
 
-EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_partkey * 5 % 11 AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey, l_suppkey * 7 % 13 + 20 FROM lineitem)"
+FOLLOWED = lambda name, by, where="": f"{name} AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + {by} {where})"
+EDGES = FOLLOWED("e", 1)
+RETURNED = FOLLOWED("e", 1, "WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R'")
+LONGEST = 9
 
 
 @query("graph_import_graph", f"WITH {EDGES} SELECT src, array_to_string(list_sort(list(dst)), ',') AS targets FROM e GROUP BY src")
 def graph_import_graph(t):
-    return G.adjacency(edges(t)).select("src", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
+    return G.adjacency(followed(t)).select("src", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
 
 
 @query("graph_neighbors", f"WITH {EDGES}, n AS (SELECT dst AS node, 'out' AS direction FROM e WHERE src = 5 UNION SELECT src, 'in' FROM e WHERE dst = 5), r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY node) AS rank FROM n) SELECT * FROM r WHERE rank <= 40")
 def graph_neighbors(t):
-    return G.neighbours(edges(t), 5)
+    return G.neighbours(followed(t), 5)
 
 
-@query("join_blast_radius", f"WITH {EDGES}, b AS (SELECT src AS path, 'imports' AS reason FROM e WHERE dst = 5 UNION SELECT src, 'references' FROM e WHERE dst = 5 AND src % 2 = 0) SELECT path, string_agg(reason, ',' ORDER BY reason) AS reasons FROM b WHERE path <> 5 GROUP BY path")
+@query("join_blast_radius", f"WITH {EDGES}, {FOLLOWED('f', 2)}, b AS (SELECT src AS path, 'imports' AS reason FROM e WHERE dst = 5 UNION SELECT src, 'references' FROM f WHERE dst = 5) SELECT path, string_agg(reason, ',' ORDER BY reason) AS reasons FROM b WHERE path <> 5 GROUP BY path")
 def join_blast_radius(t):
-    e = edges(t)
-    return G.blast_radius(e, e.filter("src % 2 = 0"), 5)
+    return G.blast_radius(followed(t), followed(t, 2), 5)
 
 
-
-RING = f"""WITH RECURSIVE {EDGES}, p(start, cur, path) AS (SELECT src, dst, [src] FROM e WHERE dst >= src AND src <= 100 UNION ALL SELECT start, e.dst, list_append(path, cur) FROM p JOIN e ON e.src = p.cur WHERE cur > start AND NOT list_contains(path, cur) AND e.dst >= start)"""
-
-
-@query("graph_cycles", f"{RING} SELECT array_to_string(path, ',') AS cycle FROM p WHERE cur = start")
+@query("graph_cycles", f"""WITH RECURSIVE {RETURNED}, p(start, cur, path) AS (SELECT src, dst, [src] FROM e WHERE dst >= src UNION ALL SELECT start, e.dst, list_append(path, cur) FROM p JOIN e ON e.src = p.cur
+WHERE cur > start AND NOT list_contains(path, cur) AND e.dst >= start AND len(path) < {LONGEST}) SELECT array_to_string(path, ',') AS cycle FROM p WHERE cur = start""")
 def graph_cycles(t):
-    return G.cycles(edges(t)).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+    return G.cycles(followed(t, returned=True), LONGEST).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
 
 
-@query("graph_components", f"WITH RECURSIVE {EDGES}, n AS (SELECT DISTINCT src AS a FROM e WHERE src IN (SELECT dst FROM e)), r(a, b) AS (SELECT src, dst FROM e WHERE src IN (SELECT a FROM n) UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT x.a AS node, max(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1")
+@query("graph_components", f"WITH RECURSIVE {RETURNED}, n AS (SELECT DISTINCT src AS a FROM e WHERE src IN (SELECT dst FROM e)), r(a, b) AS (SELECT src, dst FROM e WHERE src IN (SELECT a FROM n) UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT x.a AS node, max(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1")
 def graph_components(t):
-    return G.strong_components(edges(t))
+    return G.strong_components(followed(t, returned=True))
 
 
-@query("join_orphans", f"WITH {EDGES} SELECT DISTINCT src AS path FROM e WHERE src NOT IN (SELECT dst FROM e WHERE src <> dst)")
+@query("join_orphans", f"WITH {RETURNED} SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT dst FROM e WHERE src <> dst)")
 def join_orphans(t):
-    e = edges(t)
-    files = e.select(F.col("src").cast("string").alias("path")).distinct()
-    found = G.orphans(files, e.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("target")))
+    name = lambda c, to: F.col(c).cast("string").alias(to)
+    found = G.orphans(t("part").select(name("p_partkey", "path")), followed(t, returned=True).select(name("src", "src"), name("dst", "target")))
     return found.select(F.col("path").cast("bigint").alias("path"))
 
 
-
 LINKS = "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"/]+)\"', 1)) AS target FROM pages), f AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS path FROM documents) SELECT page_id, target, count(*) AS n FROM l WHERE target NOT IN (SELECT path FROM f) GROUP BY ALL"
 
 
-@query("join_doc_links_whole", LINKS)
 @query("join_doc_links", LINKS)
 def join_doc_links(t):
     links = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), 1)).alias("target"))
@@ -151,7 +147,6 @@ TOKENS = """WITH k AS (SELECT doc_id AS path, generate_subscripts(w, 1) AS line,
 u AS (SELECT DISTINCT k.* FROM k WHERE token IN (SELECT token FROM s) AND line > 1), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY path, line) AS rank FROM u) SELECT token, path, line, rank FROM r WHERE rank <= 80"""
 
 
-@query("join_refs_tokens_whole", TOKENS)
 @query("join_refs_tokens", TOKENS)
 def join_refs_tokens(t):
     """The first token of every document is a symbol; its uses in all texts."""

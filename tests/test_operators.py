@@ -154,3 +154,47 @@ def test_routes(spark):
     rows = O.route(spark.createDataFrame(list(texts.items()), "k string, text string"), "k").collect()
     got = {r.k: (r.decision, r.tools) for r in rows}
     assert got == {"a": ("ask", ""), "b": ("call", "checks"), "c": ("skip", ""), "d": ("call", "url"), "e": ("call", "screenshot"), "f": ("call", "retrieval")}
+
+
+def brute_cycles(edges, longest):
+    targets, out = {}, set()
+    for a, b in edges:
+        targets.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for x in targets.get(path[-1], ()):
+            if x == path[0]:
+                out.add(tuple(path))
+            elif x > path[0] and x not in path and len(path) < longest:
+                walk([*path, x])
+
+    for node in targets:
+        walk([node])
+    return sorted(out)
+
+
+def test_cycles_and_components_of_random_graphs(spark):
+    import random
+
+    for seed, nodes, n in ((1, 12, 30), (2, 60, 90), (3, 25, 40)):
+        r = random.Random(seed)
+        edges = {(r.randrange(nodes), r.randrange(nodes)) for _ in range(n)}
+        frame = spark.createDataFrame(sorted(edges), "src int, dst int")
+        for longest in (3, 6, None):
+            got = sorted(tuple(x[0]) for x in G.cycles(frame, longest).collect())
+            assert got == brute_cycles(edges, longest or nodes)
+        reach = {a: {a} for a, _ in edges} | {b: {b} for _, b in edges}
+        for _ in range(nodes):
+            for a, b in edges:
+                reach[a] |= reach[b]
+        want = {(a, max(x for x in reach[a] if a in reach[x])) for a in reach if any((a, b) in edges and a in reach[b] for b in reach)}
+        assert {tuple(x) for x in G.strong_components(frame).collect()} == want
+        if seed == 3:  # the way beyond what one task takes
+            assert {tuple(x) for x in G.strong_components(frame, most_edges=3).collect()} == want
+            assert sorted(tuple(x[0]) for x in G.cycles(frame, 4, most_edges=3).collect()) == brute_cycles(edges, 4)
+
+
+def test_no_dead_path_is_walked_twice():
+    """A ladder of 2^20 dead paths in front of a node without a way back."""
+    targets = {0: [1, 2]} | {i: [i + 2 - i % 2 + 1, i + 2 - i % 2 + 2] for i in range(1, 41)} | {0: [1, 2, 100], 100: [0]}
+    assert list(G.cycles_from(0, targets, 200)) == [[0, 100]]
