@@ -183,6 +183,23 @@ def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
         values = grown
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that links (a, b) lead to, in either direction; for nodes with a link.
+
+    Each round takes the least label of the neighbours and then that label's own, so chains shrink by half or better.
+    """
+    both = saved(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    while True:
+        low = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
+        new = labels.join(low, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        new = saved(new.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
+        labels = new.select("node", "component")
+        if new.filter("old <> component").isEmpty():
+            return labels
+
+
 def components_of(targets: dict) -> dict:
     """node -> the largest node of its strong component, for nodes on cycles; one pass with an explicit stack."""
     order, low, out, stack, on_stack = {}, {}, {}, [], set()

@@ -13,7 +13,38 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054  # fixed: the normal quantile at 0.975
 
 
-def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, Column]:
+# Coefficients of Acklam's rational approximation of the normal quantile, in the middle and in the tails.
+MIDDLE_UP = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+MIDDLE_DOWN = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+TAIL_UP = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+TAIL_DOWN = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+TAIL = 0.02425
+
+
+def polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+    """The highest power first."""
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The z below which a share p of the normal distribution lies; null where p is not between 0 and 1."""
+    p = p.cast("double")
+    near = F.least(p, 1 - p)  # the two tails mirror each other
+    q, m = F.sqrt(-2 * F.log(near)), p - 0.5
+    tail = polynomial(q, TAIL_UP) / polynomial(q, TAIL_DOWN)
+    middle = polynomial(m * m, MIDDLE_UP) * m / polynomial(m * m, MIDDLE_DOWN)
+    return F.when((p > 0) & (p < 1), F.when(near >= TAIL, middle).when(p < 0.5, tail).otherwise(-tail))
+
+
+def wilson_at(successes: Column, trials: Column, confidence: Column) -> tuple[Column, Column]:
+    """wilson() at any confidence, one for each row."""
+    return wilson(successes, trials, normal_quantile((1 + confidence) / 2))
+
+
+def wilson(successes: Column, trials: Column, z: float | Column = Z95) -> tuple[Column, Column]:
     """Score interval of a share; (0, 1) of no trials."""
     n = trials.cast("double")
     p = successes / n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,27 +118,57 @@ def profile_of(name: Column, table: dict) -> Column:
     return out.otherwise(row(table["generic"]))
 
 
+def swept(boxes: list[tuple], gap: int) -> list[tuple]:
+    """Boxes (x0, y0, x1, y1, pixels) after one sweep from left to right: those at most `gap` apart are one.
+
+    The boxes that the sweep line may still meet lie in bands of y; what it has passed is dropped where it is met.
+    """
+    boxes = sorted(boxes)
+    heights = sorted(b[3] - b[1] for b in boxes)
+    band = max(1, heights[len(heights) // 2] + gap)
+    parent, active = list(range(len(boxes))), {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, (x0, y0, x1, y1, _) in enumerate(boxes):
+        for k in range((y0 - gap) // band, (y1 + gap) // band + 1):
+            live = [j for j in active.get(k, ()) if boxes[j][2] >= x0 - gap]
+            for j in live:
+                if boxes[j][1] - gap <= y1 and y0 - gap <= boxes[j][3]:
+                    parent[root(j)] = root(i)
+            active[k] = live
+        for k in range(y0 // band, y1 // band + 1):
+            active.setdefault(k, []).append(i)
+    out: dict[int, tuple] = {}
+    for i, b in enumerate(boxes):
+        o = out.get(root(i))
+        out[root(i)] = b if o is None else (min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3]), o[4] + b[4])
+    return list(out.values())
+
+
 def merge_boxes(boxes: DataFrame, gap: int = NEAR_GAP) -> DataFrame:
     """Boxes (image, x0, y0, x1, y1, pixels), of which those at most `gap` apart become one, again and again.
 
-    The united box reaches further than its parts, so this is no plain connected component; it goes image by image,
-    on the few boxes that an image's components make.
+    A united box reaches further than its parts and may meet others, so sweeps go on until nothing unites. Boxes only
+    grow, so what could unite can unite later too: the outcome does not depend on the order. Image by image.
     """
+    columns = ("x0", "y0", "x1", "y1", "pixels")
 
-    def unite(frame: pd.DataFrame) -> pd.DataFrame:
-        done: list[tuple] = []
-        for x0, y0, x1, y1, n in frame.sort_values(["y0", "x0", "y1", "x1", "pixels"])[["x0", "y0", "x1", "y1", "pixels"]].itertuples(index=False):
-            touching = True
-            while touching:
-                touching = [b for b in done if x0 - gap <= b[2] and b[0] - gap <= x1 and y0 - gap <= b[3] and b[1] - gap <= y1]
-                done = [b for b in done if b not in touching]
-                for b in touching:
-                    x0, y0, x1, y1, n = min(x0, b[0]), min(y0, b[1]), max(x1, b[2]), max(y1, b[3]), n + b[4]
-            done.append((x0, y0, x1, y1, n))
-        return pd.DataFrame([(frame["image"].iloc[0], *b) for b in done], columns=["image", "x0", "y0", "x1", "y1", "pixels"])
+    def unite(table: pa.Table) -> pa.Table:
+        done = list(zip(*(table.column(c).to_pylist() for c in columns)))
+        n = 0
+        while len(done) != n:
+            n = len(done)
+            done = swept(done, gap)
+        image = table.column("image").combine_chunks().take(pa.array([0] * n))
+        return pa.table({"image": image, **{c: pa.array(list(v), pa.int64()) for c, v in zip(columns, zip(*done))}})
 
     kind = boxes.schema["image"].dataType.simpleString()
-    return boxes.select("image", *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1", "pixels"))).groupBy("image").applyInPandas(unite, f"image {kind}, x0 long, y0 long, x1 long, y1 long, pixels long")
+    return boxes.select("image", *(F.col(c).cast("long").alias(c) for c in columns)).groupBy("image").applyInArrow(unite, f"image {kind}, x0 long, y0 long, x1 long, y1 long, pixels long")
 
 
 def artifact_profiles(regions: DataFrame, profiles: dict[str, int | None]) -> DataFrame:

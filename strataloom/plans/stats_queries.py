@@ -14,6 +14,14 @@ from strataloom.operators import trace as W
 from .registry import query
 from .text_queries import RUNS
 
+def HORNER(x: str, coefficients: tuple[float, ...]) -> str:
+    """A polynomial in SQL, the highest power first."""
+    out = f"({coefficients[0]!r})::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * ({x}) + ({c!r})::DOUBLE)"
+    return out
+
+
 Z = S.Z95
 
 
@@ -78,6 +86,18 @@ def fn_cost_factor(t):
 PARETO = "p AS (SELECT p_partkey AS k, p_size::DOUBLE AS a, floor(p_retailprice / 10) AS b, (p_partkey % 17)::DOUBLE AS c FROM part)"
 
 
+QUANTILE = lambda p: f"CASE WHEN least({p}, 1 - {p}) >= {S.TAIL} THEN {HORNER(f'(({p}) - 0.5) * (({p}) - 0.5)', S.MIDDLE_UP)} * (({p}) - 0.5) / {HORNER(f'(({p}) - 0.5) * (({p}) - 0.5)', S.MIDDLE_DOWN)} ELSE (CASE WHEN {p} < 0.5 THEN 1 ELSE -1 END) * {HORNER(f'sqrt(-2 * ln(least({p}, 1 - {p})))', S.TAIL_UP)} / {HORNER(f'sqrt(-2 * ln(least({p}, 1 - {p})))', S.TAIL_DOWN)} END"
+SHARE = "((p_partkey % 9999 + 1) / 10000.0::DOUBLE)"
+
+
+@query("fn_normal_quantile", f"WITH z AS (SELECT p_partkey, round({QUANTILE(SHARE)}, 9) AS z, {QUANTILE(f'((1 + {SHARE}) / 2)')} AS w, least(p_size, 40)::DOUBLE / 60 AS s FROM part) SELECT p_partkey, z, round(greatest(0.0, (s + w * w / 120) / (1 + w * w / 60) - w / (1 + w * w / 60) * sqrt(s * (1 - s) / 60 + w * w / 14400)), 9) AS low, round(least(1.0, (s + w * w / 120) / (1 + w * w / 60) + w / (1 + w * w / 60) * sqrt(s * (1 - s) / 60 + w * w / 14400)), 9) AS high FROM z")
+def fn_normal_quantile(t):
+    """Quantiles of shares, and the interval of each part's share of 60 at that confidence."""
+    p = (F.col("p_partkey") % 9999 + 1) / F.lit(10000.0)
+    low, high = S.wilson_at(F.least("p_size", F.lit(40)), F.lit(60), p)
+    return t("part").select("p_partkey", F.round(S.normal_quantile(p), 9).alias("z"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
 @query("fn_pareto", f"WITH {PARETO} SELECT * FROM p x WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.a >= x.a AND o.b >= x.b AND o.c >= x.c AND (o.a > x.a OR o.b > x.b OR o.c > x.c))")
 def fn_pareto(t):
     p = t("part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("a"), F.floor(F.col("p_retailprice") / 10).cast("double").alias("b"), (F.col("p_partkey") % 17).cast("double").alias("c"))
@@ -238,9 +258,19 @@ def raster_changed_mask(t):
     return X.changed_mask(pixels(t, False), pixels(t, True))
 
 
-@query("raster_components", "SELECT r_name AS image, 10 AS x0, 10 AS y0, 21 AS x1, 21 AS y1, 144 AS pixels, 144 AS area, 1 AS rank FROM region")
+SHIPPED = "m AS (SELECT DISTINCT l_returnflag AS image, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))::INT AS x, l_quantity::INT AS y FROM lineitem)"
+
+
+def shipped(t):
+    """A raster for each flag: days across, quantities down, a pixel where something was shipped."""
+    return t("lineitem").select(F.col("l_returnflag").alias("image"), F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).alias("x"), F.col("l_quantity").cast("int").alias("y"))
+
+
+@query("raster_components", f"""WITH RECURSIVE {SHIPPED}, d(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), r(image, x, y, c) AS (SELECT image, x, y, x * 1000 + y FROM m UNION
+SELECT m.image, m.x, m.y, r.c FROM r, d, m WHERE m.image = r.image AND m.x = r.x + dx AND m.y = r.y + dy), k AS (SELECT image, x, y, min(c) AS c FROM r GROUP BY ALL)
+SELECT image, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS pixels FROM k GROUP BY image, c HAVING count(*) >= 4""")
 def raster_components(t):
-    return X.region_rank(X.components(X.changed_mask(pixels(t, False), pixels(t, True))))
+    return X.components(shipped(t), 4, tile=64)
 
 
 # --- receipts ---------------------------------------------------------------------------------
