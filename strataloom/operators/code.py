@@ -74,13 +74,6 @@ def package_name(target: Column) -> Column:
     return F.when(local, "").when(target.startswith("@"), F.concat_ws("/", F.slice(parts, 1, 2))).otherwise(parts[0])
 
 
-def unused_dependencies(declared: DataFrame, imported: DataFrame) -> DataFrame:
-    """Declared packages without an import of themselves or of their types."""
-    used = imported.select(package_name(F.col("target")).alias("package")).filter("package <> ''").distinct()
-    typed = F.when(F.col("package").startswith("@types/"), F.substring("package", 8, 200))
-    return declared.join(used, "package", "left_anti").withColumn("typed", typed).join(used.select(F.col("package").alias("typed")), "typed", "left_anti").drop("typed")
-
-
 def exported_names(files: DataFrame) -> DataFrame:
     direct = F.regexp_extract_all("text", F.lit(EXPORTED), 1)
     return files.select("path", F.explode(F.array_distinct(direct)).alias("name")).filter(F.length("name") >= 3)

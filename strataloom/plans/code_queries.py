@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.operators import code as C
+from strataloom.operators import dependencies as DEP
 from strataloom.operators import graph as G
 
 from .registry import query
@@ -52,14 +53,30 @@ def graph_find_symbol(t):
     return G.find_symbol(C.symbols(source(t)).withColumnRenamed("name", "symbol"), "Box1").limit(20)
 
 
-DECLARED = "d AS (SELECT unnest(['@scope/pkg1', '@scope/pkg9', 'lib2', 'lib8', '@types/lib3', '@types/lib9']) AS package)"
+def packages(t):
+    """A package a brand: its sizes are the declared packages, its parts the code, and scripts, lock and settings beside."""
+    brand, size, k = F.regexp_replace("p_brand", "#", ""), F.col("p_size").cast("string"), F.col("p_partkey")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    quoted = lambda prefix, where: F.array_join(F.array_sort(F.collect_set(F.when(where, text('"', prefix, size, '": "1"')))), ", ")
+    s = F.col("p_size")
+    own = t("part").withColumn("brand", brand).groupBy("brand").agg(
+        text('{"scripts": {"a": "tool7 --x; bin3"}, "dependencies": {', quoted("lib", s > 0), '}, "devDependencies": {', quoted("@types/lib", s % 3 == 0), "}}").alias("package.json"),
+        text('{"packages": {', F.array_join(F.array_sort(F.collect_set(F.when(s % 5 == 3, text('"node_modules/lib', size, '": {"bin": {"bin', size, '": "x"}, "peerDependencies": {"lib', (s + 1).cast("string"), '": "1"}}')))), ", "), "}}").alias("package-lock.json"),
+        text("// uses @types/lib6@2 and lib", F.min("p_size").cast("string"), ".").alias("vite.config.ts"),
+    )
+    files = own.select(F.explode(F.array(*(F.struct(text("pkg/", F.col("brand"), "/", n).alias("path"), F.col(f"`{n}`").alias("text")) for n in ("package.json", "package-lock.json", "vite.config.ts")))).alias("f")).select("f.*")
+    code = text("import {\n  a,\n  b\n} from 'lib", (k % 30).cast("string"), "/sub';\n@import url('lib", (k % 7 + 30).cast("string"), ".css');\nconst x = require(\n 'lib", (k % 3 + 40).cast("string"), "');")
+    return files.unionByName(t("part").select(text("pkg/", brand, "/src/m", k.cast("string"), ".ts").alias("path"), code.alias("text")))
 
 
-@query("join_dep_imports", f"WITH {SOURCE}, i AS ({found(C.IMPORTS, 'target')}), u AS (SELECT DISTINCT CASE WHEN starts_with(target, '@') THEN split_part(target, '/', 1) || '/' || split_part(target, '/', 2) ELSE split_part(target, '/', 1) END AS p FROM i WHERE NOT starts_with(target, '.')), {DECLARED} SELECT package FROM d WHERE package NOT IN (SELECT p FROM u) AND replace(package, '@types/', '') NOT IN (SELECT p FROM u)")
+# lib<n> is imported, asked for by the package whose program bin3 a script calls, or has its types' runtime declared; a full stop behind a name makes it another one
+@query("join_dep_imports", """WITH p AS (SELECT replace(p_brand, '#', '') AS brand, p_size AS n, p_partkey AS k FROM part), d AS (SELECT DISTINCT brand, n, 'lib' || n AS name, 'dependencies' AS type FROM p UNION SELECT DISTINCT brand, n, '@types/lib' || n, 'devDependencies' FROM p WHERE n % 3 = 0),
+u AS (SELECT brand, 'lib' || k % 30 AS name FROM p UNION SELECT brand, 'lib' || (k % 3 + 40) FROM p UNION SELECT brand, 'lib' || (k % 7 + 30) || '.css' FROM p), used AS (SELECT * FROM u UNION SELECT brand, 'lib3' FROM p WHERE n = 3 UNION SELECT brand, '@types/lib6' FROM p),
+prov AS (SELECT brand, name FROM used), peers AS (SELECT DISTINCT p.brand, 'lib' || (n + 1) AS name FROM p JOIN prov ON prov.brand = p.brand AND prov.name = 'lib' || n WHERE n % 5 = 3), known AS (SELECT brand, name FROM u UNION SELECT brand, name FROM d)
+SELECT 'pkg/' || brand || '/package.json' AS package_file, name AS dependency_name, type AS dependency_type, CASE WHEN type = 'dependencies' THEN 0.65 ELSE 0.5 END::DOUBLE AS confidence FROM d
+WHERE NOT EXISTS (SELECT 1 FROM used x WHERE x.brand = d.brand AND x.name = d.name) AND NOT EXISTS (SELECT 1 FROM peers x WHERE x.brand = d.brand AND x.name = d.name) AND NOT (type = 'devDependencies' AND EXISTS (SELECT 1 FROM known x WHERE x.brand = d.brand AND x.name = replace(d.name, '@types/', '')))""")
 def join_dep_imports(t):
-    files = source(t)
-    declared = t("region").sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("@scope/pkg1", "@scope/pkg9", "lib2", "lib8", "@types/lib3", "@types/lib9")))).alias("package"))
-    return C.unused_dependencies(declared, C.imports(files))
+    return DEP.unused_dependencies(packages(t))
 
 
 @query("agg_unused_exports", f"WITH {SOURCE}, e AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '{Q(C.EXPORTED)}', 1)) AS name FROM s), w AS (SELECT name, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_$]+')) AS name FROM s) GROUP BY name) SELECT path, name FROM e WHERE length(name) >= 3 AND name NOT IN (SELECT name FROM w WHERE n > 1)")

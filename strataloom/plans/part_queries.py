@@ -70,7 +70,7 @@ def merged(name: str, **parts: tuple[str, str]):
     SQL[name] = " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST({item} AS VARCHAR) AS item FROM ({SQL[of]})" for kind, (of, item) in parts.items())
 
 
-merged("cleanup_plan", unused_export=("agg_unused_exports", "path || ':' || name"), duplicate_block=("agg_duplicate_blocks", "hash"), unused_dependency=("join_dep_imports", "package"), import_cycle=("graph_cycles", "cycle"))
+merged("cleanup_plan", unused_export=("agg_unused_exports", "path || ':' || name"), duplicate_block=("agg_duplicate_blocks", "hash"), unused_dependency=("join_dep_imports", "package_file || ' ' || dependency_name"), import_cycle=("graph_cycles", "cycle"))
 merged("doc_plan", stale_link=("join_stale_refs", "src || ':' || line || ' ' || target"), missing_anchor=("join_doc_anchors", "src || ':' || line || '#' || anchor"), orphan=("join_orphans", "path"), duplicate_section=("agg_duplicate_sections", "hash"))
 merged("quality_gate_plan", over_budget=("agg_budget", "metric"), pressure=("agg_context_pressure", "pressure"), grown=("agg_snapshot_delta", "metric"))
 merged("graph_build", symbol=("fn_parse_symbols", "path || ':' || line || ' ' || name"), imports=("fn_parse_imports", "path || ':' || line || ' ' || target"))
