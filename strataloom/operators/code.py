@@ -30,6 +30,7 @@ HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 LINK = r"!?\[[^\]]*\]\(([^)]+)\)"
 MARKER = r"\b(?:TODO|FIXME)\b|-\s+\[\s\]|^\s*(?:[-*]\s*)?Action\s*:"
 CONFLICT = r"\b(?:notion|confluence|google docs|gdrive)\b.{0,80}\b(?:ssot|source of truth|canonical)\b|\b(?:ssot|source of truth|canonical)\b.{0,80}\b(?:notion|confluence|google docs|gdrive)\b"
+PER_FILE = 160
 MIRROR = "mirror|not ssot|repo.*ssot|markdown.*ssot"
 
 
@@ -37,23 +38,26 @@ def numbered(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(T.lines_of(F.coalesce("text", F.lit("")))).alias("pos", "x")).select("path", (F.col("pos") + 1).alias("line"), T.trim(F.col("x")).alias("x"))
 
 
-def _found(rows: DataFrame, patterns: tuple, name: str, most: int, per_file: int) -> DataFrame:
+def _found(rows: DataFrame, patterns: tuple, name: str, most: int | None, per_file: int | None) -> DataFrame:
+    fits = lambda e: (e[name] != "") & (F.lit(True) if most is None else F.length(e[name]) <= most)
     each = F.array(*(F.struct(F.lit(kind).alias("kind"), F.regexp_extract("x", p, 1).alias(name), F.lit(i).alias("i")) for i, (kind, p) in enumerate(patterns)))
-    out = rows.select("path", "line", F.explode(F.filter(each, lambda e: (e[name] != "") & (F.length(e[name]) <= most))).alias("e")).select("path", "line", "e.*")
+    out = rows.select("path", "line", F.explode(F.filter(each, fits)).alias("e")).select("path", "line", "e.*")
+    if per_file is None:
+        return out.drop("i")
     w = Window.partitionBy("path").orderBy("line", "i")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_file).drop("rank", "i")
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """(path, line, kind, name), the first 160 of each file."""
-    return _found(numbered(files), SYMBOLS, "name", 140, 160)
+def symbols(files: DataFrame, per_file: int | None = PER_FILE, longest: int | None = 140) -> DataFrame:
+    """(path, line, kind, name), the first `per_file` of each file with names of at most `longest` characters; None takes all."""
+    return _found(numbered(files), SYMBOLS, "name", longest, per_file)
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(path, line, kind, target), the first 160 of each file; Python files have their own statements."""
+def imports(files: DataFrame, per_file: int | None = PER_FILE, longest: int | None = 220) -> DataFrame:
+    """(path, line, kind, target), likewise; Python files have their own statements."""
     python = F.col("path").rlike(r"\.pyi?$")
     rows = numbered(files)
-    return _found(rows.filter(~python), IMPORTS, "target", 220, 160).unionByName(_found(rows.filter(python), PYTHON_IMPORTS, "target", 220, 160))
+    return _found(rows.filter(~python), IMPORTS, "target", longest, per_file).unionByName(_found(rows.filter(python), PYTHON_IMPORTS, "target", longest, per_file))
 
 
 def outline(files: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from strataloom.operators import code as C
 from strataloom.operators import dependencies as DEP
 from strataloom.operators import graph as G
+from strataloom.operators import graph_index as GI
+from strataloom.session import scratch
 
 from .registry import query
 from .text_queries import has
@@ -43,6 +45,27 @@ def fn_parse_imports(t):
     return C.imports(source(t))
 
 
+TOKENS = "[A-Za-z_$][A-Za-z0-9_$-]{2,79}"
+
+
+@query("graph_build", f"""WITH {SOURCE}, y AS ({found(C.SYMBOLS, 'name')}), i AS ({found(C.IMPORTS, 'target')}), k AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(x, '{TOKENS}')) AS token FROM l),
+u AS (SELECT k.* FROM k WHERE token IN (SELECT name FROM y) AND NOT EXISTS (SELECT 1 FROM y WHERE y.name = k.token AND y.path = k.path AND y.line = k.line)), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY path, line) AS rank FROM u)
+SELECT 'symbol' AS kind, path, line::INT AS line, name, NULL AS resolved FROM y UNION ALL SELECT 'import', path, line, target, CASE WHEN starts_with(target, './') AND 'src/' || substr(target, 3) || '.ts' IN (SELECT path FROM s) THEN 'src/' || substr(target, 3) || '.ts' END FROM i UNION ALL SELECT 'reference', path, line, token, NULL FROM r WHERE rank <= 80""")
+def graph_build(t):
+    """An index of an older state of the tree, brought up to date: some files were shorter, some lacked, some are gone."""
+    k, now = F.regexp_extract("path", "([0-9]+)", 1).cast("int"), source(t)
+    now = now.withColumns({"size_bytes": F.octet_length("text"), "mtime_ms": F.when(k % 5 == 0, 2).otherwise(1)})
+    was = now.filter(k % 11 != 0).withColumn("text", F.when(k % 5 == 0, F.substring_index("text", "\n", 3)).otherwise(F.col("text"))).withColumns({"size_bytes": F.octet_length("text"), "mtime_ms": F.lit(1)})
+    was = was.unionByName(was.filter(k % 7 == 0).withColumn("path", F.concat(F.lit("old/"), "path")))
+    spark = now.sparkSession
+    folder = scratch(spark)
+    GI.build(was, folder)
+    GI.update(now, folder)
+    none = F.lit(None).cast("string")
+    rows = lambda name, kind, item, resolved: GI.read(spark, folder, name).select(F.lit(kind).alias("kind"), "path", "line", F.col(item).alias("name"), resolved.alias("resolved"))
+    return rows("symbols", "symbol", "name", none).unionByName(rows("resolved", "import", "target", F.col("resolved_path"))).unionByName(rows("references", "reference", "symbol", none))
+
+
 @query("graph_index_summary", f"WITH {SOURCE}, y AS ({found(C.SYMBOLS, 'name')}) SELECT kind, count(*) AS symbols, count(DISTINCT path) AS files FROM y GROUP BY kind")
 def graph_index_summary(t):
     return C.symbols(source(t)).groupBy("kind").agg(F.count("*").alias("symbols"), F.count_distinct("path").alias("files"))

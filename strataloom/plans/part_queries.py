@@ -73,7 +73,6 @@ def merged(name: str, **parts: tuple[str, str]):
 merged("cleanup_plan", unused_export=("agg_unused_exports", "path || ':' || name"), duplicate_block=("agg_duplicate_blocks", "hash"), unused_dependency=("join_dep_imports", "package_file || ' ' || dependency_name"), import_cycle=("graph_cycles", "cycle"))
 merged("doc_plan", stale_link=("join_stale_refs", "src || ':' || line || ' ' || target"), missing_anchor=("join_doc_anchors", "src || ':' || line || '#' || anchor"), orphan=("join_orphans", "path"), duplicate_section=("agg_duplicate_sections", "hash"))
 merged("quality_gate_plan", over_budget=("agg_budget", "metric"), pressure=("agg_context_pressure", "pressure"), grown=("agg_snapshot_delta", "metric"))
-merged("graph_build", symbol=("fn_parse_symbols", "path || ':' || line || ' ' || name"), imports=("fn_parse_imports", "path || ':' || line || ' ' || target"))
 merged("repo_map", file=("topk_per_group", "path"), symbol=("graph_find_symbol", "path || ':' || symbol"))
 merged("agg_daily_weekly", day=("agg_daily", "calls"), week=("agg_weekly", "calls"))
 merged("agg_doc_fact", heading=("fn_headings", "path || ':' || title"), marker=("pred_action_marker", "path || ':' || line"))
