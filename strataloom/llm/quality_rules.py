@@ -1,17 +1,18 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
 One map over the texts measures each document. The measures of documents that pass the base rule feed KLL
-sketches, one a (lang, source) group and measure: partially aggregated, so a group that holds a third of all
-rows is one sketch per task before the shuffle. From a group's quantiles come its limits: `reach` times the
-distance between its quartiles around the median, so that odd rows do not move the limits before they are a
-quarter of their group, and never closer to the median than a margin (a parameter): most measures are 0 for most
-documents, and a limit of 0 would reject each clean one that repeats a line.
-The limits, a row a group, are joined back. Documents without a limit (group without usable rows) are kept if
-the base rule keeps them.
+sketches and sums, one a (lang, source) group and measure: partially aggregated, so a group that holds a third of all
+rows is one sketch per task before the shuffle. They give a group's middle (median), its spread (distance between its
+quartiles, so that odd rows do not move it before they are a quarter of their group) and its rate (mean). The limits, a
+row a group, are joined back. A measure may be `reach` spreads off the middle. Most shares are 0 for most documents,
+so the quartiles of many groups coincide; the spread is then that which a document of its size has by chance at its
+group's rate: sqrt(unit * rate / n) for a share of n words or lines that comes in units (a symbol, a line, the six words
+of a repeated window), with one unit as the least rate; sqrt(middle / n) for the mean length of n words. No limit
+is a fixed number. Documents without a limit (group without usable rows) are kept if the base rule keeps them.
 
 Groups of up to SKETCH_K rows get exact quantiles; of larger ones the sketch, which is randomised, is off by
-some 0.1 per cent of the ranks, so two runs can judge a document on a limit differently. Where that matters, write
-limits(sketches(measure(docs))) down once and pass it as `bounds`.
+some 0.1 per cent of the ranks. The limits are rounded to four places and written down once a run, so all rows of a run,
+retried tasks too, are judged by the same ones; for the same limits in several runs pass them as `bounds`.
 
 Null and empty texts have no words and fail the base rule; null lang and source are groups of their own;
 repeated rows count and are judged each for itself; an empty table gives an empty result; further columns
@@ -32,9 +33,9 @@ from . import shared as S
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; per cent of the words in repeated 3-word windows
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 CHUNK = 1 << 21
-#: measure -> (has a lower limit, smallest margin). line_share: repeated lines of the lines with a word; the other shares are of words.
-MEASURES = {"word_length": (True, 1.5), "symbol_share": (False, 0.2), "line_share": (False, 0.3), "repeat_share": (False, 0.3)}
-REACH, SKETCH_K = 3.0, 4096
+#: measure -> (has a lower limit, what it is a share of, what a unit of it is); word_length is no share.
+MEASURES = {"word_length": (True, "n_words", 0), "symbol_share": (False, "n_words", 1), "line_share": (False, "n_lines", 1), "repeat_share": (False, "n_words", 6)}
+REACH, SKETCH_K = 5.0, 4096
 SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
@@ -113,41 +114,49 @@ def shares() -> dict:
 
 
 def sketches(measures: DataFrame) -> DataFrame:
-    """One row a (lang, source): a KLL sketch for each measure. Sketches of parts can be merged (merge_sketches)."""
-    return measures.filter("not base_failed").groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(x, SKETCH_K).alias(name) for name, x in shares().items()))
+    """One row a (lang, source): its rows, and for each measure a KLL sketch and a sum. Those of parts can be merged (merge_sketches)."""
+    own = shares().items()
+    each = [*(F.kll_sketch_agg_double(x, SKETCH_K).alias(name) for name, x in own), *(F.sum(x).alias(f"{name}_sum") for name, x in own)]
+    return measures.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("rows"), *each)
 
 
 def merge_sketches(parts: DataFrame) -> DataFrame:
     """Sketches of several tables or days, merged by group."""
-    return parts.groupBy("lang", "source").agg(*(F.kll_merge_agg_double(F.col(name), SKETCH_K).alias(name) for name in MEASURES))
+    sums = [F.sum(c).alias(c) for c in ("rows", *(f"{name}_sum" for name in MEASURES))]
+    return parts.groupBy("lang", "source").agg(*(F.kll_merge_agg_double(F.col(name), SKETCH_K).alias(name) for name in MEASURES), *sums)
 
 
-def limits(sketched: DataFrame, reach: float = REACH, margins: dict[str, float] | None = None) -> DataFrame:
-    """lang, source and the low and high limit of each measure. margins: of measures for which they differ from MEASURES."""
+def limits(sketched: DataFrame, reach: float = REACH) -> DataFrame:
+    """lang, source and for each measure the middle, the spread and the rate of the group, and its own high limit."""
     out = []
     at = lambda name, q: F.kll_sketch_get_quantile_double(F.col(name), F.lit(q))
-    for name, (both, margin) in MEASURES.items():
-        margin = (margins or {}).get(name, margin)
-        middle, width = at(name, 0.5), F.greatest(F.lit(margin), reach * (at(name, 0.75) - at(name, 0.25)))
-        out.append((middle + width).alias(f"{name}_high"))
-        out.append((middle - width if both else F.lit(None).cast("double")).alias(f"{name}_low"))
+    places = lambda x: F.floor(x * 10_000 + 0.5) / F.lit(10_000.0)
+    for name in MEASURES:
+        middle, spread = places(at(name, 0.5)), places(at(name, 0.75) - at(name, 0.25))
+        out += [middle.alias(f"{name}_middle"), spread.alias(f"{name}_spread"), places(F.col(f"{name}_sum") / F.col("rows")).alias(f"{name}_rate"), (middle + reach * spread).alias(f"{name}_high")]
     return sketched.select("lang", "source", *out)
 
 
-def judge(measures: DataFrame, bounds: DataFrame) -> DataFrame:
+def judge(measures: DataFrame, bounds: DataFrame, reach: float = REACH) -> DataFrame:
     """measures with kept."""
     right = bounds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(c for c in bounds.columns if c not in ("lang", "source")))
     both = measures.join(right, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     odd = F.lit(False)
     for name, x in shares().items():
-        odd = odd | F.coalesce((x > F.col(f"{name}_high")) | (x < F.col(f"{name}_low")), x > F.col(f"{name}_high"), F.lit(False))
+        lower, of, unit = MEASURES[name]
+        n = F.greatest(F.col(of), F.lit(1)).cast("double")
+        middle = F.col(f"{name}_middle")
+        by_chance = F.sqrt(unit * F.greatest(F.col(f"{name}_rate"), unit / n) / n) if unit else F.sqrt(middle / n)
+        width = reach * F.greatest(F.col(f"{name}_spread"), by_chance)
+        beyond = (x > middle + width) | (x < middle - width) if lower else x > middle + width
+        odd = odd | F.coalesce(beyond, F.lit(False))
     return both.withColumn("kept", ~F.col("base_failed") & ~odd)
 
 
-def quality_rules(docs: DataFrame, reach: float = REACH, margins: dict[str, float] | None = None, bounds: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept."""
+def quality_rules(docs: DataFrame, reach: float = REACH, bounds: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept. bounds: given limits()."""
     measures = S.materialise(measure(docs))
-    out = judge(measures, limits(S.materialise(sketches(measures)), reach, margins) if bounds is None else bounds)
+    out = judge(measures, S.materialise(limits(sketches(measures), reach)) if bounds is None else bounds, reach)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -158,6 +167,7 @@ def brute_kept(rows: list[tuple], reach: float = REACH) -> dict:
     base = {r[0]: b for r, b in zip(rows, brute_force([(r[0], r[3]) for r in rows]))}
     lines = {r[0]: max(1, sum(1 for x in (r[3] or "").split("\n") if x.strip(" \t\n\v\f\r"))) for r in rows}
     own = lambda k: {"word_length": base[k][2] / max(1, base[k][1]), "symbol_share": base[k][3] / max(1, base[k][1]), "line_share": base[k][4] / lines[k], "repeat_share": base[k][5] / max(1, base[k][1])}
+    places = lambda x: math.floor(x * 10_000 + 0.5) / 10_000.0
     groups: dict[tuple, list] = {}
     for r in rows:
         if not base[r[0]][6]:
@@ -165,12 +175,14 @@ def brute_kept(rows: list[tuple], reach: float = REACH) -> dict:
     out = {}
     for k, lang, source, _ in rows:
         kept, x = not base[k][6], own(k)
-        for name, (both, margin) in MEASURES.items():
+        for name, (lower, of, unit) in MEASURES.items():
             values = sorted(g[name] for g in groups.get((lang, source), []))
             if values:
                 at = lambda q: values[max(0, math.ceil(q * len(values)) - 1)]  # noqa: B023, E731
-                width = max(margin, reach * (at(0.75) - at(0.25)))
-                kept &= x[name] <= at(0.5) + width and not (both and x[name] < at(0.5) - width)
+                n = float(max(1, base[k][1] if of == "n_words" else lines[k]))
+                middle, rate = places(at(0.5)), places(sum(values) / len(values))
+                width = reach * max(places(at(0.75) - at(0.25)), math.sqrt(unit * max(rate, unit / n) / n) if unit else math.sqrt(middle / n))
+                kept &= x[name] <= middle + width and not (lower and x[name] < middle - width)
         out[k] = kept
     return out
 
