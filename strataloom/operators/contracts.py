@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
+from strataloom.functions.yaml import as_json
 
 # Patterns of names and declarations.
 NAME = "[A-Z][A-Z0-9_]{1,}"
@@ -100,8 +101,8 @@ def _first_ref(contents: Column) -> Column:
 
 
 def api_operations(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, method, path_template, operation_id, required_params, request_schema, response_schema) of JSON API descriptions."""
-    rows = files.select(path, F.from_json(text, "openapi string, swagger string, paths map<string,map<string,string>>").alias("d")).filter("coalesce(d.openapi, d.swagger) is not null")
+    """(path, method, path_template, operation_id, required_params, request_schema, response_schema) of API descriptions in JSON or YAML."""
+    rows = files.select(path, F.from_json(as_json(F.col(text)), "openapi string, swagger string, paths map<string,map<string,string>>").alias("d")).filter("coalesce(d.openapi, d.swagger) is not null")
     rows = rows.select(path, F.explode("d.paths").alias("path_template", "item")).select(path, "path_template", F.explode("item").alias("method", "raw"))
     rows = rows.filter(F.lower("method").isin(*METHODS) & F.ltrim("raw").startswith("{")).withColumn("op", F.from_json("raw", OPERATION))
     known = lambda x: F.filter(x, lambda c: c.isNotNull())
@@ -114,15 +115,16 @@ def api_operations(files: DataFrame, path: str = "path", text: str = "text") ->
 
 
 def api_schemas(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, schema_name, type, properties, required) of the named schemas of JSON API descriptions."""
+    """(path, schema_name, type, properties, required) of the named schemas of API descriptions in JSON or YAML."""
     shape = "openapi string, swagger string, components struct<schemas:map<string,struct<type:string,required:array<string>,properties:map<string,string>>>>"
-    rows = files.select(path, F.from_json(text, shape).alias("d")).filter("coalesce(d.openapi, d.swagger) is not null").select(path, F.explode("d.components.schemas").alias("schema_name", "s"))
+    rows = files.select(path, F.from_json(as_json(F.col(text)), shape).alias("d")).filter("coalesce(d.openapi, d.swagger) is not null").select(path, F.explode("d.components.schemas").alias("schema_name", "s"))
     return rows.select(path, "schema_name", F.col("s.type").alias("type"), F.coalesce(F.size("s.properties"), F.lit(0)).alias("properties"), F.array_sort(F.coalesce("s.required", F.array().cast("array<string>"))).alias("required"))
 
 
 def structured(text: Column, path: Column) -> Column:
-    """A JSON file as a variant; null for what is no JSON or has another ending."""
-    return F.when(F.lower(path).endswith(".json"), F.try_parse_json(text))
+    """A JSON or YAML file as a variant; null for what is neither or has another ending."""
+    name = F.lower(path)
+    return F.when(name.endswith(".json"), F.try_parse_json(text)).when(name.rlike(r"\.ya?ml$"), F.try_parse_json(as_json(text)))
 
 
 # --- payloads -----------------------------------------------------------------------------------

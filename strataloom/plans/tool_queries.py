@@ -165,19 +165,48 @@ def fn_zod(t):
 API, _ = line('{"openapi":"3.0","paths":{"/a/⟨p_partkey⟩":{"get":{"operationId":"get⟨p_size⟩","parameters":[{"required":true},{"required":false}],"responses":{"200":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/R⟨p_size⟩"}}}}}},"summary":"x"},"/b":{"post":{"requestBody":{"content":{"application/json":{"schema":{"$ref":"#/c/Q"}}}}}}},"components":{"schemas":{"R⟨p_size⟩":{"type":"object","required":["b","a"],"properties":{"a":{},"b":{},"c":{}}}}}}')
 
 
+API_YAML, _ = line("""# the same in YAML
+openapi: "3.0"
+paths:
+  /a/⟨p_partkey⟩:
+    summary: x
+    get:
+      operationId: get⟨p_size⟩
+      parameters:
+      - required: true
+      - {required: false}
+      responses:
+        200:
+          content:
+            application/json: &media
+              schema:
+                $ref: '#/components/schemas/R⟨p_size⟩'
+  /b: {post: {requestBody: {content: {application/json: {schema: {$ref: "#/c/Q"}}}}}}
+components:
+  schemas:
+    R⟨p_size⟩:
+      type: object
+      required:
+        - b
+        - a
+      properties: {a: {}, b: {}, c: {}}
+""")
+either = lambda: F.when(K() % 2 == 0, API()).otherwise(API_YAML())
+
+
 @query("fn_openapi", "SELECT p_partkey AS run_id, unnest(['GET', 'POST']) AS method, unnest(['/a/' || p_partkey, '/b']) AS path_template, unnest(['get' || p_size, NULL]) AS operation_id, unnest([1, 0]) AS required_params, unnest([NULL, 'Q']) AS request_schema, unnest(['R' || p_size, NULL]) AS response_schema FROM part")
 def fn_openapi(t):
-    return N.api_operations(made(t, API, "text"), "run_id")
+    return N.api_operations(made(t, either, "text"), "run_id")
 
 
 @query("fn_openapi_schemas", "SELECT p_partkey AS run_id, 'R' || p_size AS schema_name, 'object' AS type, 3 AS properties, 'a,b' AS required FROM part")
 def fn_openapi_schemas(t):
-    return N.api_schemas(made(t, API, "text"), "run_id").withColumn("required", F.array_join("required", ","))
+    return N.api_schemas(made(t, either, "text"), "run_id").withColumn("required", F.array_join("required", ","))
 
 
 scalar("fn_schema_ref", *PART, lambda: N.schema_ref(F.concat(F.lit("#/components/schemas/S"), K().cast("string"))), "regexp_extract('#/components/schemas/S' || p_partkey, '[^/]*$')")
 STRUCTURED, STRUCTURED_SQL = line('{"n":⟨p_size⟩}')
-scalar("src_structured", *PART, lambda: F.try_variant_get(N.structured(F.when(K() % 3 == 0, "n: 1").otherwise(STRUCTURED()), F.when(K() % 2 == 0, "a.JSON").otherwise("a.yaml")), "$.n", "int"), "CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN p_size::INT END")
+scalar("src_structured", *PART, lambda: F.try_variant_get(N.structured(F.when(K() % 3 == 0, "n: 1").otherwise(STRUCTURED()), F.when(K() % 2 == 0, "a.JSON").otherwise("a.yaml")), "$.n", "int"), "CASE WHEN p_partkey % 3 <> 0 THEN p_size::INT WHEN p_partkey % 2 = 1 THEN 1 END")
 SCHEMA = {"type": "object", "required": ["id", "tags"], "properties": {"id": {"type": "integer", "minimum": 3}, "kind": {"enum": ["a", "b"]}, "tags": {"type": "array", "items": {"type": "string"}}}}
 PAYLOAD, _ = line('{"id":⟨p_size⟩,"kind":"⟨p_partkey % 2⟩","tags":["x",⟨p_partkey⟩]}')
 scalar("fn_validate_payload", *PART, lambda: F.array_join(N.payload_problems(F.when(K() % 5 == 0, "{}").when(K() % 7 == 0, "{").otherwise(PAYLOAD()), SCHEMA), "; "), "CASE WHEN p_partkey % 5 = 0 THEN '$.id: is required; $.tags: is required' WHEN p_partkey % 7 = 0 THEN '$: no JSON' ELSE array_to_string(list_filter([CASE WHEN p_size < 3 THEN '$.id: is beyond the minimum' END, '$.kind: is none of the allowed values', '$.tags[]: is not string'], lambda x: x IS NOT NULL), '; ') END")
