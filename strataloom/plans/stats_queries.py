@@ -10,6 +10,8 @@ from strataloom.operators import raster as X
 from strataloom.operators import receipts as A
 from strataloom.operators import stats as S
 from strataloom.operators import trace as W
+from strataloom.session import scratch
+from strataloom.sources import images as IM
 
 from .registry import query
 from .text_queries import RUNS
@@ -258,6 +260,22 @@ def raster_changed_mask(t):
     return X.changed_mask(pixels(t, False), pixels(t, True))
 
 
+PICTURES = "SELECT n_nationkey AS k, x, y, (x * 9 + n_nationkey) % 256 AS r, (y * 7 + n_nationkey * 3) % 256 AS g, n_regionkey * 50 AS b FROM nation, (SELECT unnest(range(0, 32)) AS x) a, (SELECT unnest(range(0, 20)) AS y) c"
+
+
+@query("src_image", f"SELECT 'n' || k AS image, x::INT AS x, y::INT AS y, r::INT AS r, g::INT AS g, b::INT AS b FROM ({PICTURES})")
+def src_image(t):
+    """A picture for each nation, written as files and read again."""
+    k = F.col("n_nationkey")
+    place = t("nation").select(F.concat(F.lit("n"), k.cast("string")).alias("image"), k, "n_regionkey", F.explode(F.sequence(F.lit(0), F.lit(639))).alias("i")).withColumns({"x": F.col("i") % 32, "y": F.floor(F.col("i") / 32).cast("int")})
+    pixels = place.select("image", "x", "y", ((F.col("x") * 9 + k) % 256).cast("int").alias("r"), ((F.col("y") * 7 + k * 3) % 256).cast("int").alias("g"), (F.col("n_regionkey") * 50).cast("int").alias("b"))
+    spark = place.sparkSession
+    folder = scratch(spark)
+    if IM.write_images(pixels, folder).filter("bytes > 0").isEmpty():
+        return pixels.limit(0)
+    return IM.read_pixels(spark, folder)
+
+
 SHIPPED = "m AS (SELECT DISTINCT l_returnflag AS image, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))::INT AS x, l_quantity::INT AS y FROM lineitem)"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataloom.operators import raster as X
 from strataloom.operators import stats as S
 from strataloom.operators import vision as V
+from strataloom.sources.images import png_of, read_pixels, write_images
 
 
 def brute_components(mask, least):
@@ -81,3 +82,26 @@ def test_normal_quantile(spark):
     a, b = S.wilson(F.lit(8), F.lit(10))
     r = spark.range(1).select(low, high, a, b).first()
     assert abs(r[0] - r[2]) < 1e-6 and abs(r[1] - r[3]) < 1e-6
+
+
+def test_pixel_difference_of_image_files(spark, tmp_path):
+    old = bytes((7 * x + y + c) % 256 for y in range(40) for x in range(50) for c in range(3))
+    new = bytearray(old)
+    for y in range(10, 14):
+        for x in range(20, 30):
+            new[3 * (50 * y + x)] ^= 128
+    for side, data in (("old", old), ("new", bytes(new))):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "shot.png").write_bytes(png_of(50, 40, data))
+        (tmp_path / side / "broken.png").write_bytes(b"no image")
+    rows = {side: read_pixels(spark, str(tmp_path / side)) for side in ("old", "new")}
+    assert sorted(tuple(r)[1:] for r in rows["old"].collect()) == sorted((x, y, *old[3 * (50 * y + x) : 3 * (50 * y + x) + 3]) for y in range(40) for x in range(50))
+    r = X.pixel_diff(rows["old"], rows["new"]).first()
+    assert (r.image, r.pixels, r.changed, r.changed_pct, r.passed) == ("shot", 2000, 40, 2.0, False)
+
+
+def test_written_images_come_back(spark, tmp_path):
+    rows = [(f"i{k}", x, y, k * 10, x, y) for k in range(3) for x in range(9) for y in range(7)]
+    pixels = spark.createDataFrame(rows, "image string, x int, y int, r int, g int, b int")
+    assert write_images(pixels, str(tmp_path / "out")).count() == 3
+    assert sorted(map(tuple, read_pixels(spark, str(tmp_path / "out")).collect())) == sorted(rows)
