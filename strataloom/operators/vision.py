@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import clamp01, round_to, trim
+from strataloom.functions.text import clamp01, estimate_image_tokens, round_to, trim
 
 # Named rectangles as shares of an image (x, y, width, height), and the profiles that use them.
 PRESETS = {
@@ -186,3 +186,109 @@ def artifact_profiles(regions: DataFrame, profiles: dict[str, int | None]) -> Da
     each = ranked.withColumn("rank", rank).select("*", F.explode(names).alias("p")).select("image", "rank", "tokens", "p.*")
     takes = F.col("most").isNull() | (F.col("rank") <= F.col("most"))
     return each.groupBy("image", "profile").agg(F.count_if(takes).alias("regions"), F.coalesce(F.sum(F.when(takes, F.col("tokens"))), F.lit(0)).alias("tokens"))
+
+
+# --- prepared screenshots -----------------------------------------------------------------------
+
+# Fixed values: (padding, least width, least height) of crops; the wider one pads by a part of the region, at least so much.
+ANNOTATION_CROP, ANNOTATION_CONTEXT = (24, 24, 220, 140), (90, 70, 420, 260)
+CHANGE_CROP, CHANGE_CONTEXT = (24, 24, 220, 160), (96, 72, 420, 280)
+ANNOTATION_PAD, CHANGE_PAD = 1.25, 1.15
+ANNOTATION_DEFAULT, CHANGE_DEFAULT = 0.62, 0.58
+CELL = 128
+
+
+def nearest(x: Column) -> Column:
+    """Rounded, halves up."""
+    return F.floor(x + F.lit(0.5))
+
+
+def clamp_box(x: Column, y: Column, width: Column, height: Column, image_width: Column, image_height: Column) -> Column:
+    """A box inside the image, of one pixel at least, as a struct of longs."""
+    left, top = F.greatest(F.lit(0), F.least(image_width - 1, nearest(x))), F.greatest(F.lit(0), F.least(image_height - 1, nearest(y)))
+    right, bottom = F.greatest(left + 1, F.least(image_width, nearest(x + width))), F.greatest(top + 1, F.least(image_height, nearest(y + height)))
+    return F.struct(*(v.cast("long").alias(k) for k, v in (("x", left), ("y", top), ("width", right - left), ("height", bottom - top))))
+
+
+def expand_box(crop: tuple[Column | int, ...], image_width: Column, image_height: Column) -> Column:
+    """The row's box with (padding x, padding y, least width, least height) around its middle, clamped to the image."""
+    pad_x, pad_y, least_width, least_height = crop
+    width, height = F.greatest(F.lit(least_width), F.col("width") + pad_x * 2), F.greatest(F.lit(least_height), F.col("height") + pad_y * 2)
+    return clamp_box(F.col("x") + F.col("width") / 2 - width / 2, F.col("y") + F.col("height") / 2 - height / 2, width, height, image_width, image_height)
+
+
+def wide(crop: tuple[int, ...], part: float) -> tuple:
+    """A crop whose padding is a part of the region."""
+    return (F.greatest(F.lit(crop[0]), nearest(F.col("width") * part)), F.greatest(F.lit(crop[1]), nearest(F.col("height") * part)), *crop[2:])
+
+
+def words_in_regions(words: DataFrame, regions: DataFrame, cell: int = CELL) -> DataFrame:
+    """(image, region_id, text, confidence, words): what was read in each region, top down and left to right.
+
+    words: image, word_id, x, y, width, height, text, confidence; regions: image, region_id, x, y, width, height. A word is
+    of the smallest region that holds its middle. Words and regions meet by the grid cells that a region covers.
+    """
+    covered = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size), F.lit(1)) - 1) / cell))
+    cells = regions.select("image", "region_id", "x", "y", "width", "height", F.explode(covered("x", "width")).alias("cx")).withColumn("cy", F.explode(covered("y", "height")))
+    middle = words.select("image", "word_id", "text", "confidence", F.col("x").alias("wx"), F.col("y").alias("wy"), F.floor(F.col("x") + F.col("width") / 2).alias("mx"), F.floor(F.col("y") + F.col("height") / 2).alias("my"))
+    middle = middle.withColumns({"cx": F.floor(F.col("mx") / cell), "cy": F.floor(F.col("my") / cell)})
+    held = middle.join(cells, ["image", "cx", "cy"])
+    held = held.filter((F.col("mx") >= F.col("x")) & (F.col("mx") < F.col("x") + F.col("width")) & (F.col("my") >= F.col("y")) & (F.col("my") < F.col("y") + F.col("height")))
+    smallest = F.min(F.struct((F.col("width") * F.col("height")).alias("area"), "region_id"))
+    own = held.groupBy("image", "word_id").agg(smallest.alias("r"), F.first("text").alias("text"), F.first("confidence").alias("confidence"), F.first("wx").alias("wx"), F.first("wy").alias("wy"))
+    read = F.array_sort(F.collect_list(F.struct("wy", "wx", "word_id", "text")))
+    return own.groupBy("image", F.col("r.region_id").alias("region_id")).agg(
+        F.array_join(F.transform(read, lambda w: w["text"]), " ").alias("text"), round_to(F.avg("confidence"), 3).alias("confidence"), F.count("*").alias("words")
+    )
+
+
+def in_reading_order(regions: DataFrame) -> DataFrame:
+    """regions with region_id: their place from top to bottom, then from left to right."""
+    return regions.withColumn("region_id", F.row_number().over(Window.partitionBy("image").orderBy("y", "x", "height", "width")))
+
+
+def ranked(rows: DataFrame, least: float) -> DataFrame:
+    """rows with nav_rank, by priority and then reading order, and whether they are included without asking."""
+    place = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("priority"), "region_id"))
+    return rows.withColumns({"nav_rank": place, "include_by_default": F.col("priority") >= least})
+
+
+def annotated_regions(regions: DataFrame, words: DataFrame, images: DataFrame) -> DataFrame:
+    """What a review of marked screenshots needs of each region: order, kind, priority, text, crops and what they cost.
+
+    regions: image, x, y, width, height, red_ratio, coverage; images: image, width, height; words as in words_in_regions.
+    """
+    rows = in_reading_order(regions)
+    rows = rows.join(words_in_regions(words, rows), ["image", "region_id"], "left").join(images.select("image", F.col("width").alias("iw"), F.col("height").alias("ih")), "image")
+    w, h = F.col("width"), F.col("height")
+    kind, _ = region_type(w, h, F.col("red_ratio"))
+    rows = rows.withColumn("kind", kind).withColumn("priority", region_priority(F.col("kind"), w, h, F.col("coverage"), F.col("red_ratio"), F.col("confidence")))
+    rows = rows.withColumns({"crop": expand_box(ANNOTATION_CROP, F.col("iw"), F.col("ih")), "context": expand_box(wide(ANNOTATION_CONTEXT, ANNOTATION_PAD), F.col("iw"), F.col("ih"))})
+    hint = F.when(ocr_hint_ok(F.col("text"), F.col("confidence")), F.col("text"))
+    tokens = estimate_image_tokens(F.col("crop.width"), F.col("crop.height"))[0]
+    rows = rows.withColumns({"ocr_hint": hint, "tokens": tokens})
+    return ranked(rows, ANNOTATION_DEFAULT).select("image", "region_id", "nav_rank", "kind", "priority", "include_by_default", "x", "y", "width", "height", "crop", "context", "ocr_hint", "words", "tokens")
+
+
+def changed_regions(regions: DataFrame, images: DataFrame) -> DataFrame:
+    """The same for what changed between two screenshots.
+
+    regions: image, x, y, width, height, coverage, density, strength.
+    """
+    rows = in_reading_order(regions).join(images.select("image", F.col("width").alias("iw"), F.col("height").alias("ih")), "image")
+    facts = (F.col("width"), F.col("height"), F.col("coverage"), F.col("density"), F.col("strength"))
+    rows = rows.withColumns({"priority": change_priority(*facts), "impact": diff_impact(*facts)})
+    rows = rows.withColumns({"crop": expand_box(CHANGE_CROP, F.col("iw"), F.col("ih")), "context": expand_box(wide(CHANGE_CONTEXT, CHANGE_PAD), F.col("iw"), F.col("ih"))})
+    rows = rows.withColumn("tokens", 2 * estimate_image_tokens(F.col("crop.width"), F.col("crop.height"))[0])  # before and after
+    return ranked(rows, CHANGE_DEFAULT).select("image", "region_id", "nav_rank", "impact", "priority", "include_by_default", "x", "y", "width", "height", "crop", "context", "tokens")
+
+
+def within_budget(rows: DataFrame, most_tokens: int, most_regions: int | None = None) -> DataFrame:
+    """The regions to send: those included by default, or all where none is, in the order of nav_rank while their tokens
+    fit; a region that does not fit ends the list. With `spent`."""
+    some = F.max(F.col("include_by_default").cast("int")).over(Window.partitionBy("image")) == 1
+    use = rows.withColumn("some", some).filter(~F.col("some") | F.col("include_by_default")).drop("some")
+    order = Window.partitionBy("image").orderBy("nav_rank")
+    out = use.withColumns({"spent": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(order)})
+    fits = F.col("spent") <= most_tokens
+    return out.filter(fits if most_regions is None else fits & (F.col("place") <= most_regions)).drop("place")

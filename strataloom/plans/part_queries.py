@@ -12,7 +12,7 @@ from strataloom.operators import retrieve as R
 from strataloom.operators import stats as S
 from strataloom.operators import vision as V
 
-from . import code_queries, diff_queries, log_queries, misc_queries, scalar_queries, stats_queries, text_queries, tool_queries  # noqa: F401
+from . import code_queries, diff_queries, log_queries, misc_queries, scalar_queries, screen_queries, stats_queries, text_queries, tool_queries  # noqa: F401
 from .registry import QUERIES, SQL, query
 from .stats_queries import ERF
 

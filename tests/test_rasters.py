@@ -105,3 +105,26 @@ def test_written_images_come_back(spark, tmp_path):
     pixels = spark.createDataFrame(rows, "image string, x int, y int, r int, g int, b int")
     assert write_images(pixels, str(tmp_path / "out")).count() == 3
     assert sorted(map(tuple, read_pixels(spark, str(tmp_path / "out")).collect())) == sorted(rows)
+
+
+def test_words_meet_regions(spark):
+    r = random.Random(2)
+    regions = [(i, k, r.randint(0, 900), r.randint(0, 600), r.randint(1, 400), r.randint(1, 300)) for i in range(2) for k in range(30)]
+    words = [(i, k, r.randint(-20, 950), r.randint(-10, 650), r.randint(0, 60), r.randint(1, 20), f"w{k}", r.randint(0, 100) / 100) for i in range(3) for k in range(200)]
+    got = V.words_in_regions(spark.createDataFrame(words, "image int, word_id int, x int, y int, width int, height int, text string, confidence double"), spark.createDataFrame(regions, "image int, region_id int, x int, y int, width int, height int"), 64)
+    want = {}
+    for i, k, x, y, w, h, text, c in words:
+        mx, my = (2 * x + w) // 2, (2 * y + h) // 2
+        own = [(b[4] * b[5], b[1]) for b in regions if b[0] == i and b[2] <= mx < b[2] + b[4] and b[3] <= my < b[3] + b[5]]
+        if own:
+            want.setdefault((i, min(own)[1]), []).append((y, x, k, text, c))
+    assert {(r.image, r.region_id): (r.text, r.words) for r in got.collect()} == {k: (" ".join(x[3] for x in sorted(v)), len(v)) for k, v in want.items()}
+
+
+def test_boxes_and_budget(spark):
+    rows = spark.createDataFrame([(1, 10, 10, 20, 20), (2, 1900, 1070, 60, 60), (3, -50, -50, 10, 10), (4, 500, 500, 1, 1)], "image int, x int, y int, width int, height int")
+    got = {r.image: tuple(r.b) for r in rows.select("image", V.expand_box((24, 24, 220, 140), F.lit(1920), F.lit(1080)).alias("b")).collect()}
+    assert got == {1: (0, 0, 130, 90), 2: (1820, 1030, 100, 50), 3: (0, 0, 65, 25), 4: (391, 431, 220, 140)}
+    nav = spark.createDataFrame([(1, 1, 1, True, 400), (1, 2, 2, True, 700), (1, 3, 3, True, 100), (1, 4, 4, False, 1), (2, 1, 1, False, 5), (2, 2, 2, False, 5)], "image int, region_id int, nav_rank int, include_by_default boolean, tokens long")
+    assert sorted((r.image, r.region_id, r.spent) for r in V.within_budget(nav, 1000).collect()) == [(1, 1, 400), (2, 1, 5), (2, 2, 10)]
+    assert sorted((r.image, r.region_id) for r in V.within_budget(nav, 5000, 1).collect()) == [(1, 1), (2, 1)]
