@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataloom.operators import evidence as E
 from strataloom.operators import raster as X
 from strataloom.operators import retrieve as R
+from strataloom.operators import review_plans as L
 from strataloom.operators import stats as S
 from strataloom.operators import vision as V
 
@@ -62,6 +63,34 @@ view("graph_find_refs", "join_refs_tokens", "token", "path", "line", "rank")
 view("graph_outline", "graph_import_graph", "src", "targets")
 
 
+def planned(name: str, steps: dict[str, L.Step], **kinds: tuple[str, str, str]):
+    """A review plan over the findings of other queries: for each step the query, its target and its order, as SQL that both sides read."""
+    builds = {kind: (QUERIES[of], target, order) for kind, (of, target, order) in kinds.items()}
+
+    def build(spark, sf_dir):
+        ordered = lambda order: [F.desc(x.split()[0]) if x.endswith(" DESC") else F.asc(x) for x in order.split(", ")]
+        found = {kind: (f(spark, sf_dir), F.expr(target), ordered(order)) for kind, (f, target, order) in builds.items()}
+        return L.plan(steps, found).select("place", "action", "target", F.array_join("proof", "; ").alias("proof"))
+
+    QUERIES[name] = build
+    parts = []
+    for at, (kind, step) in enumerate((k, v) for k, v in steps.items() if k in kinds):
+        of, target, order = kinds[kind]
+        proof = "; ".join(step.proof)
+        parts.append(f"SELECT {at} AS step, row_number() OVER (ORDER BY {order}) AS nth, '{step.action}' AS action, CAST({target} AS VARCHAR) AS target, '{proof}' AS proof FROM ({SQL[of]}) QUALIFY nth <= {step.most}")
+    SQL[name] = f"SELECT row_number() OVER (ORDER BY step, nth) AS place, action, target, proof FROM ({' UNION ALL '.join(parts)})"
+
+
+planned(
+    "cleanup_plan", L.CLEANUP, dependencies=("join_dep_imports", "dependency_name", "package_file, dependency_type, dependency_name"), exports=("agg_unused_exports", "path || ':' || name", "path, name"),
+    duplicates=("agg_duplicate_blocks", "hash", "occurrences DESC, hash"), cycles=("graph_cycles", "cycle", "cycle"), hotspots=("agg_complexity", "path", "score DESC, lines DESC, path"),
+)
+planned(
+    "doc_plan", L.DOCUMENTS, links=("join_doc_links", "page_id || ' ' || target", "page_id, target"), anchors=("join_doc_anchors", "src || ':' || line || '#' || anchor", "src, line, anchor"), orphans=("join_orphans", "path", "path"),
+    sections=("agg_duplicate_sections", "hash", "files DESC, hash"), references=("join_stale_refs", "src || ':' || line || ' ' || target", "src, line, target"),
+)
+
+
 def merged(name: str, **parts: tuple[str, str]):
     """One table (kind, item) of the findings of several queries; of each the SQL expression that names an item."""
     builds = {kind: (QUERIES[of], item) for kind, (of, item) in parts.items()}
@@ -70,8 +99,6 @@ def merged(name: str, **parts: tuple[str, str]):
     SQL[name] = " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST({item} AS VARCHAR) AS item FROM ({SQL[of]})" for kind, (of, item) in parts.items())
 
 
-merged("cleanup_plan", unused_export=("agg_unused_exports", "path || ':' || name"), duplicate_block=("agg_duplicate_blocks", "hash"), unused_dependency=("join_dep_imports", "package_file || ' ' || dependency_name"), import_cycle=("graph_cycles", "cycle"))
-merged("doc_plan", stale_link=("join_stale_refs", "src || ':' || line || ' ' || target"), missing_anchor=("join_doc_anchors", "src || ':' || line || '#' || anchor"), orphan=("join_orphans", "path"), duplicate_section=("agg_duplicate_sections", "hash"))
 merged("quality_gate_plan", over_budget=("agg_budget", "metric"), pressure=("agg_context_pressure", "pressure"), grown=("agg_snapshot_delta", "metric"))
 merged("repo_map", file=("topk_per_group", "path"), symbol=("graph_find_symbol", "path || ':' || symbol"))
 merged("agg_daily_weekly", day=("agg_daily", "calls"), week=("agg_weekly", "calls"))
