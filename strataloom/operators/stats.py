@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,25 +155,60 @@ def pareto(rows: DataFrame, key: str, axes: list[str]) -> DataFrame:
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, so that neighbouring numbers give unrelated ones."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def resampled(resamples: int):
+    """Rows (g, n, s, h): of each group the weighted sums of every resample over this task's clusters."""
+    each = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = max(1, (1 << 21) // resamples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+
+        def handed_on() -> pa.RecordBatch:
+            names, values = list(sums), [x for pair in sums.values() for x in pair]
+            lists = [pa.array(values[k::2], pa.list_(pa.float64())) for k in (0, 1)]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *lists], names=["g", "s", "n"])
+
+        for batch in batches:
+            g, n, s, h = (batch.column(c) for c in range(4))
+            codes = g.dictionary_encode()
+            names, code = codes.dictionary.to_pylist(), codes.indices.fill_null(-1).to_numpy()
+            facts = np.stack([s.fill_null(0).to_numpy(), n.to_numpy()]).astype(float)
+            keys = h.to_numpy().view(np.uint64)
+            for k in np.unique(code):
+                own = np.flatnonzero(code == k)
+                name = names[k] if k >= 0 else None
+                total = sums.setdefault(name, np.zeros((2, resamples)))
+                for i in range(0, len(own), rows):
+                    part = own[i : i + rows]
+                    u = (mixed(keys[part][:, None] + each[None, :]) >> np.uint64(12)).astype(float) / 2.0**52
+                    total += facts[:, part] @ np.searchsorted(POISSON, u.ravel(), "right").reshape(u.shape).astype(float)
+                if len(sums) * resamples > 1 << 22:
+                    yield handed_on()
+        if sums:
+            yield handed_on()
+
+    return run
+
+
 def bootstrap(rows: DataFrame, group: str, cluster: str, value: str, resamples: int = 2000, seed: int = 42, conf: float = 0.95) -> DataFrame:
     """Cluster bootstrap interval of the mean: g, clusters, point, low, high.
 
-    Every cluster gets a Poisson weight of mean 1 in each resample, drawn by a hash of seed, cluster and resample; the
-    weighted sums are partially aggregated, so a group of any number of clusters is spread over all tasks, and a
-    resample is one row a group. Weights are reproducible, but not those of drawing with replacement by a seeded generator.
+    Every cluster gets a Poisson weight of mean 1 in each resample, drawn by a hash of seed, cluster and resample. A task
+    keeps the weighted sums of its clusters, `resamples` numbers a group, so clusters are never multiplied and a group of
+    any number of them is spread over all tasks. Weights are reproducible, but not those of drawing with replacement
+    by a seeded generator.
     """
-    small = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(cluster).cast("string").alias("c")).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-    # a fixed number of parts, which are not joined for being small before the resamples make them large
-    spark = rows.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    each = small.select("g", "n", "s", F.xxhash64(F.lit(seed), "c").alias("h")).repartition(parts, "h")
-    each = each.select("g", "n", "s", "h", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    u = F.pmod(F.xxhash64("h", "r"), F.lit(2**52)) / float(2**52)
-    weight = F.when(u < POISSON[0], 0)
-    for k, p in enumerate(POISSON[1:], 1):
-        weight = weight.when(u < p, k)
-    weight = weight.otherwise(len(POISSON))
-    drawn = each.withColumn("w", weight).filter("w > 0").groupBy("g", "r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n")).filter("n > 0")
+    small = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(cluster).cast("string").alias("c")).agg(F.count(value).alias("n"), F.sum(F.col(value).cast("double")).alias("s"))
+    drawn = small.select("g", "n", "s", F.xxhash64(F.lit(seed), "c").alias("h")).mapInArrow(resampled(resamples), "g string, s array<double>, n array<double>")
+    drawn = drawn.select("g", F.posexplode(F.arrays_zip("s", "n")).alias("r", "x")).groupBy("g", "r").agg(F.sum("x.s").alias("s"), F.sum("x.n").alias("n")).filter("n > 0")
     draws = drawn.groupBy("g").agg(F.sort_array(F.collect_list(F.col("s") / F.col("n"))).alias("d"))  # `resamples` numbers a group
     point = small.groupBy("g").agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("n")).alias("point"))
     alpha = (1 - conf) / 2
