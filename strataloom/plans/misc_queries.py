@@ -68,10 +68,16 @@ def searched(t, top: int):
 
 
 RANKED_SQL = f"WITH {FILES}, {CONTENT} SELECT path, path_score, content_score, hint_score, changed_score, array_to_string(lines, ',') AS lines, score FROM k"
-query("retrieve_context", RANKED_SQL)(lambda t: searched(t, 12))
+query("retrieve_indexed", RANKED_SQL)(lambda t: searched(t, 12))
 query("find_files", RANKED_SQL.replace("LIMIT 12", "LIMIT 30"))(lambda t: searched(t, 30))
 
 
+@query("retrieve_context", RANKED_SQL)
+def retrieve_context(t):
+    """By a scan of the texts: for one query it costs less than making an index."""
+    return ranked(t).withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
+
+
 @query("sink_index", f"WITH {FILES}, l AS (SELECT path, unnest(string_split_regex(lower(text), '\r?\n')) AS x, generate_subscripts(string_split_regex(lower(text), '\r?\n'), 1) AS line FROM f), w AS (SELECT path, line, unnest(regexp_extract_all(x, '[^ \t\n\x0b\f\r]+')) AS token FROM l), p AS (SELECT token, path, count(*) AS n, count(DISTINCT line) AS lines FROM w GROUP BY 1, 2) SELECT token, count(*) AS files, max(lines)::INT AS most_lines, sum(n)::BIGINT AS occurrences FROM p GROUP BY 1")
 def sink_index(t):
     f = files(t)

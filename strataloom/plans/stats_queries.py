@@ -13,7 +13,7 @@ from strataloom.operators import trace as W
 from strataloom.session import scratch
 from strataloom.sources import images as IM
 
-from .registry import query
+from .registry import SQL, query
 from .text_queries import RUNS
 
 def HORNER(x: str, coefficients: tuple[float, ...]) -> str:
@@ -291,6 +291,11 @@ def raster_components(t):
     return X.components(shipped(t), 4, tile=64)
 
 
+@query("topk_regions", f"SELECT *, (x1 - x0 + 1) * (y1 - y0 + 1) AS area, row_number() OVER (PARTITION BY image ORDER BY (x1 - x0 + 1) * (y1 - y0 + 1) DESC, pixels DESC, y0, x0) AS rank FROM ({SQL['raster_components']}) QUALIFY rank <= 8")
+def topk_regions(t):
+    return X.region_rank(X.components(shipped(t), 4, tile=64))
+
+
 # --- receipts ---------------------------------------------------------------------------------
 
 

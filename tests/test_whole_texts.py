@@ -28,12 +28,12 @@ def test_references(spark, folder):
     symbols = {w for w, _, i in tokens if i == 1}
     uses = sorted(x for x in tokens if x[0] in symbols and x[2] > 1)
     ranks = [sum(u[0] == x[0] and u <= x for u in uses) for x in uses]
-    assert rows(spark, "join_refs_tokens_whole", folder) == [(*x, n) for x, n in zip(uses, ranks) if n <= 80]
-    assert ("beta", 1, 302, 1) in rows(spark, "join_refs_tokens_whole", folder)
+    assert rows(spark, "join_refs_tokens", folder) == [(*x, n) for x, n in zip(uses, ranks) if n <= 80]
+    assert ("beta", 1, 302, 1) in rows(spark, "join_refs_tokens", folder)
 
 
 def test_doc_links(spark, folder):
-    assert rows(spark, "join_doc_links_whole", folder) == [(7, "nowhere", 2)]
+    assert rows(spark, "join_doc_links", folder) == [(7, "nowhere", 2)]
 
 
 def test_slugs(spark, folder):
@@ -44,9 +44,9 @@ def test_slugs(spark, folder):
             slug = re.sub(r"\s", "-", re.sub(r"[^\w\s-]", "", x.strip().lower()))
             n = seen[slug] = seen.get(slug, -1) + 1
             want.append((d, i + 1, f"{slug}-{n}" if n else slug))
-    assert rows(spark, "win_slug_dedup_whole", folder) == sorted(want)
+    assert rows(spark, "win_slug_dedup", folder) == sorted(want)
 
 
 def test_lockfile(spark, folder):
     want = [(k, "a", f"1.{k % 3}", k % 2 == 0) for k in range(1, 121)] + [(k, "b", "2.0", False) for k in range(1, 121)]
-    assert rows(spark, "src_lockfile_whole", folder) == sorted(want)
+    assert rows(spark, "src_lockfile", folder) == sorted(want)
