@@ -64,6 +64,7 @@ def log_summary(docs: DataFrame, key: str = "doc_id", most_chars: int = 8000, co
     ).select(key, "norm", "marked.*", "files", "tail")
     quiet = F.filter("errors", lambda x: ~P.matches(x, "(warning|deprecated|notice)"))
     out = out.withColumn("root_cause", F.coalesce(F.get(quiet, F.lit(0)), F.get("errors", F.lit(0)), F.lit("No clear error line detected. Use raw_log_url if the failure is hidden in omitted output.")))
+    # fixed values: the sentences, in their order
     checks = F.array_compact(
         F.array(
             F.lit("Re-run the smallest failing command, not the whole pipeline."), F.lit("Inspect the first real error before later cascading failures."),

@@ -154,24 +154,24 @@ def top_per_group(files: DataFrame, group: Column, order: list, top: int = 18) -
     return files.withColumn("group", group).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-#: Fixed: what else to search for when a query speaks of a subject; several words of one set stand for each other.
+#: What else to search for when a query speaks of a subject; several words of one set stand for each other. A default: give your own subjects.
 EXPANSIONS = [
     ((("mcp",),), ("tools/list", "CallToolRequestSchema")),
     ((("api", "route", "endpoint"),), ("/api/", "route", "endpoint")),
-    ((("screenshot", "screenshots"),), ("prepare_screenshot", "vision-mcp", "image_urls_for_model")),
+    ((("screenshot", "screenshots"),), ("prepare_screenshot", "image_urls_for_model")),
     ((("retrieval", "retrieve"),), ("retrieve_context", "find_files", "raw_search")),
-    ((("context",), ("prep", "prepare")), ("prep_logs", "prep_url", "prep_text", "context-prep-mcp")),
+    ((("context",), ("prep", "prepare")), ("prep_logs", "prep_url", "prep_text")),
 ]
 TEST_EXPANSION = (".test.", ".spec.", "describe(", "it(")
 MOST_SYMBOL_SCORE = 60
 
 
-def domain_expansion(terms: Column, intent: str = "code", most: int = 18) -> Column:
-    """Further terms of the subjects that a query's terms name."""
+def domain_expansion(terms: Column, intent: str = "code", most: int = 18, expansions: list = EXPANSIONS) -> Column:
+    """Further terms of the subjects that a query's terms name; expansions: (sets of words, terms to add) of each subject."""
     low = F.transform(terms, F.lower)
     none = F.array().cast("array<string>")
     parts = []
-    for needs, adds in EXPANSIONS:
+    for needs, adds in expansions:
         fits = F.lit(True)
         for words in needs:
             fits = fits & F.arrays_overlap(low, F.array(*map(F.lit, words)))

@@ -27,9 +27,9 @@ CLEANUP = {
     "hotspots": Step("contain_complexity_hotspot", 3, ("read exact file", "avoid cosmetic churn", "add tests before risky refactor")),
 }
 DOCUMENTS = {
-    "links": Step("fix_or_remove_broken_link", 5, ("verify intended target", "update source doc", "run docs-hygiene smoke/benchmark if logic changes")),
+    "links": Step("fix_or_remove_broken_link", 5, ("verify intended target", "update source doc", "run the documentation checks if logic changes")),
     "anchors": Step("fix_broken_anchor", 5, ("verify target heading", "preserve external backlinks when possible")),
-    "orphans": Step("review_orphan_doc", 5, ("check external/Notion references", "choose owner or archive target", "do not delete without reviewed replacement")),
+    "orphans": Step("review_orphan_doc", 5, ("check external references", "choose owner or archive target", "do not delete without reviewed replacement")),
     "sections": Step("review_duplicate_section", 4, ("read exact sections", "pick SSOT target", "preserve backlinks")),
     "references": Step("fix_stale_code_reference", 4, ("verify renamed/deleted target", "update doc path or mark obsolete")),
     "claims": Step("review_ssot_claim", 3, ("confirm repo markdown remains canonical", "update wording or mirror registry")),

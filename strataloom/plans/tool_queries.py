@@ -426,7 +426,7 @@ def fn_symbol_score(t):
     return R.symbol_score(symbols, t("part").select(path, F.lit("./Eel").alias("target")).filter("true"), ["a", "E"])
 
 
-scalar("fn_domain_expansion", *PART, lambda: F.array_join(R.domain_expansion(F.array(F.when(K() % 3 == 0, "MCP").when(K() % 3 == 1, "route").otherwise("x"), F.lit("context"), F.lit("prep"))), ","), "CASE p_partkey % 3 WHEN 0 THEN 'tools/list,CallToolRequestSchema,' WHEN 1 THEN '/api/,route,endpoint,' ELSE '' END || 'prep_logs,prep_url,prep_text,context-prep-mcp'")
+scalar("fn_domain_expansion", *PART, lambda: F.array_join(R.domain_expansion(F.array(F.when(K() % 3 == 0, "MCP").when(K() % 3 == 1, "route").otherwise("x"), F.lit("context"), F.lit("prep"))), ","), "CASE p_partkey % 3 WHEN 0 THEN 'tools/list,CallToolRequestSchema,' WHEN 1 THEN '/api/,route,endpoint,' ELSE '' END || 'prep_logs,prep_url,prep_text'")
 
 
 @query("sort_stable_tier", "SELECT p_partkey, row_number() OVER (ORDER BY p_size % 4, p_retailprice DESC, p_partkey) AS place FROM part")

@@ -194,7 +194,7 @@ def test_retrieval_extras(spark):
     symbols = spark.createDataFrame([("a", f"getUser{i}", "function", None) for i in range(9)] + [("b", "x", "route", "user id")], "path string, name string, kind string, signature string")
     imports = spark.createDataFrame([("b", "./users")], "path string, target string")
     assert {(r.path, r.score) for r in R.symbol_score(symbols, imports, ["user"]).collect()} == {("a", 60), ("b", 7)}
-    assert value(spark, R.domain_expansion(F.array(F.lit("Screenshots")), "test")) == ["prepare_screenshot", "vision-mcp", "image_urls_for_model", ".test.", ".spec.", "describe(", "it("]
+    assert value(spark, R.domain_expansion(F.array(F.lit("Screenshots")), "test")) == ["prepare_screenshot", "image_urls_for_model", ".test.", ".spec.", "describe(", "it("]
 
 
 def test_terms_of_a_column_are_those_of_one_query(spark):
