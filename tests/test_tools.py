@@ -27,6 +27,7 @@ from strataloom.operators import stats
 from strataloom.operators import vision as V
 from strataloom.operators import web as W
 from strataloom.operators import windows as X
+from strataloom.session import spread
 
 
 def value(spark, column, x=None):
@@ -102,6 +103,22 @@ def test_zip_entries(spark):
     assert sorted((r.entry, r.kind) for r in E.zip_entries(files).collect()) == [("a/trace.trace", "trace"), ("shot.PNG", "screenshot")]
 
 
+def test_zip_entries_go_on_together(spark):
+    """A frame an entry made reading many small archives slower than anything else; and all of one row group lay in one task."""
+    import pandas as pd
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.trace", "x" * 10)
+        z.writestr("b.har", "y")
+    frames = list(E._entries(iter([pd.DataFrame({"path": [f"{i}" for i in range(200)], "content": [held.getvalue()] * 200})] * 2)))
+    assert len(frames) == 1 and len(frames[0]) == 800
+    whole = list(E._entries(iter([pd.DataFrame({"path": ["0"] * 6000, "content": [held.getvalue()] * 6000})])))
+    assert sum(map(len, whole)) == 12_000 and max(map(len, whole)) <= E.FRAME_ROWS
+    few = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism)  # as many splits as cores, which may all but one be empty
+    assert spread(few).rdd.getNumPartitions() > few.rdd.getNumPartitions()
+
+
 def test_page_operators(spark):
     x, none = F.col("x"), F.lit(None).cast("string")
     for text, want in {"HTTP 500 from scraper_core": "scraper_core_http_5xx", "request aborted": "local_timeout", "": "none", "x": "unknown", "weak_extraction": "scraper_core_weak_extraction"}.items():
