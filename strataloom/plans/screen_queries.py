@@ -56,9 +56,8 @@ s AS (SELECT *, max(include_by_default::INT) OVER (PARTITION BY image) AS chosen
 @query("prepare_screenshot", f"{SHOT} SELECT n.*, u.spent::BIGINT AS spent FROM n LEFT JOIN u ON u.image = n.image AND u.region_id = n.region_id AND u.spent <= 1500")
 def prepare_screenshot(t):
     """The regions of every marked picture, and which of them fit into 1500 tokens."""
-    rows = V.annotated_regions(regions(t), words(t), images(t))
-    sent = V.within_budget(rows, 1500).select("image", "region_id", "spent")
-    return rows.join(sent, ["image", "region_id"], "left").select("image", "region_id", "nav_rank", "kind", "priority", "include_by_default", as_text("crop"), as_text("context"), "ocr_hint", "words", "tokens", "spent")
+    rows = V.with_spent(V.annotated_regions(regions(t), words(t), images(t)), 1500)
+    return rows.select("image", "region_id", "nav_rank", "kind", "priority", "include_by_default", as_text("crop"), as_text("context"), "ocr_hint", "words", "tokens", "spent")
 
 
 @query("prepare_screenshot_diff", f"""WITH {REGIONS}, p AS (SELECT *, floor(({one('sqrt(greatest(1, w * h) / 90000)')} * 0.4::DOUBLE + {one('cover * 36')} * 0.25::DOUBLE + {one('density * 1.8::DOUBLE')} * 0.2::DOUBLE + {one('strength / 220')} * 0.15::DOUBLE) * 1000.0 + 0.5) / 1000.0 AS priority,

@@ -128,3 +128,18 @@ def test_boxes_and_budget(spark):
     nav = spark.createDataFrame([(1, 1, 1, True, 400), (1, 2, 2, True, 700), (1, 3, 3, True, 100), (1, 4, 4, False, 1), (2, 1, 1, False, 5), (2, 2, 2, False, 5)], "image int, region_id int, nav_rank int, include_by_default boolean, tokens long")
     assert sorted((r.image, r.region_id, r.spent) for r in V.within_budget(nav, 1000).collect()) == [(1, 1, 400), (2, 1, 5), (2, 2, 10)]
     assert sorted((r.image, r.region_id) for r in V.within_budget(nav, 5000, 1).collect()) == [(1, 1), (2, 1)]
+
+
+def test_words_under_many_regions(spark, capsys):
+    """Words and regions of one cell are not paired: 4,000 regions over 4,000 words made 16 million rows."""
+    boxes = spark.range(4000).select(F.lit("i").alias("image"), F.col("id").alias("region_id"), (F.col("id") % 50).alias("x"), F.lit(0).alias("y"), (F.lit(60) + F.col("id") % 7).alias("width"), F.lit(100).alias("height"))
+    words = spark.range(4000).select(F.lit("i").alias("image"), F.col("id").alias("word_id"), (F.col("id") % 90).alias("x"), (F.col("id") % 80).alias("y"), F.lit(4).alias("width"), F.lit(2).alias("height"), F.col("id").cast("string").alias("text"), F.lit(0.5).alias("confidence"))
+    spots = words.select("image", (F.col("x") + 2).alias("mx"), (F.col("y") + 1).alias("my")).distinct()
+    V.smallest_at(spots, boxes, 128).explain()
+    assert "Join" not in capsys.readouterr().out
+    want = {}
+    for k in range(4000):
+        own = [((60 + b % 7) * 100, b) for b in range(4000) if b % 50 <= k % 90 + 2 < b % 50 + 60 + b % 7]
+        if own:
+            want[min(own)[1]] = want.get(min(own)[1], 0) + 1
+    assert {r.region_id: r.words for r in V.words_in_regions(words, boxes).collect()} == want
