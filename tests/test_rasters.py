@@ -6,6 +6,7 @@ from statistics import NormalDist
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.operators import cases as K
 from strataloom.operators import raster as X
 from strataloom.operators import stats as S
 from strataloom.operators import vision as V
@@ -143,3 +144,17 @@ def test_words_under_many_regions(spark, capsys):
         if own:
             want[min(own)[1]] = want.get(min(own)[1], 0) + 1
     assert {r.region_id: r.words for r in V.words_in_regions(words, boxes).collect()} == want
+
+
+def test_near_boxes(spark, capsys):
+    r = random.Random(9)
+    rows = [(i, k, x, y, x + r.randint(0, 90), y + r.randint(0, 60)) for i in "ab" for k in range(120) for x, y in [(r.randint(-100, 700), r.randint(-80, 500))]]
+    rows += [("a", 900 + k, 5, 5, 9, 9) for k in range(4)] + [("b", 990, -300, -300, 900, 900)]
+    boxes = spark.createDataFrame(rows, "image string, box_id int, x0 int, y0 int, x1 int, y1 int")
+    near = lambda p, q: p[0] == q[0] and p[1] < q[1] and p[2] - 20 <= q[4] and q[2] - 20 <= p[4] and p[3] - 20 <= q[5] and q[3] - 20 <= p[5]
+    want = sorted((p[0], p[1], q[1]) for p in rows for q in rows if near(p, q))
+    for cell in (None, 16, 300):
+        assert sorted(map(tuple, K.near_boxes(boxes, cell=cell).collect())) == want
+    assert K.near_boxes(boxes.limit(0)).count() == 0
+    K.near_boxes(boxes).explain()
+    assert "Broadcast" not in capsys.readouterr().out  # the tasks that read a small file would make all pairs
