@@ -227,3 +227,16 @@ def test_coverage_gates(spark):
     services = K.coverage(spark.createDataFrame(rows, "service string, traffic string, ok boolean, error string"), (), ("a", "d"))
     assert {r.service: r.status for r in services.collect()} == {"a": "active", "b": "active", "c": "visible_idle", "d": "visible_idle"}
     assert {(r.profile, r.passed) for r in K.coverage_gates(services).collect()} == {("core", True), ("extended", False)}
+
+
+def test_api_texts_are_read_after_they_are_dealt_out(spark, tmp_path, capsys):
+    """A filter on what was read went in front of the dealing: one task read all texts of a small file, and all were read again."""
+    spark.createDataFrame([("a", "openapi: '3'\npaths: {/x: {get: {}}}"), ("b", "swagger: 1"), ("c", "x: 1"), ("d", None)], "path string, text string").coalesce(1).write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    rows = N.api_operations(files)
+    assert [(r.path, r.method, r.path_template) for r in rows.collect()] == [("a", "GET", "/x")]
+    for df in (rows, N.api_schemas(files)):
+        capsys.readouterr()
+        df.explain()
+        read, _, dealt = capsys.readouterr().out.partition("Exchange RoundRobin")
+        assert read.count("ArrowEvalPython") == 1 and dealt and "Python" not in dealt
