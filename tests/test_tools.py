@@ -27,6 +27,7 @@ from strataloom.operators import stats
 from strataloom.operators import vision as V
 from strataloom.operators import web as W
 from strataloom.operators import windows as X
+from strataloom.plans import part_queries
 from strataloom.session import spread
 
 
@@ -240,3 +241,13 @@ def test_api_texts_are_read_after_they_are_dealt_out(spark, tmp_path, capsys):
         df.explain()
         read, _, dealt = capsys.readouterr().out.partition("Exchange RoundRobin")
         assert read.count("ArrowEvalPython") == 1 and dealt and "Python" not in dealt
+
+
+def test_normal_cdf_is_dealt_out(spark, capsys):
+    """160 terms a row: a small file is one task's work unless its rows are dealt out."""
+    spark.range(50).selectExpr("id as p_partkey", "cast(id as int) as p_size").createOrReplaceTempView("part_sizes")
+    t = lambda name: spark.table("part_sizes").coalesce(1)
+    rows = part_queries.fn_normal_cdf(t)
+    assert {r.p_partkey: r.value for r in rows.collect()}[25] == 5e9
+    rows.explain()
+    assert "Exchange RoundRobin" in capsys.readouterr().out
