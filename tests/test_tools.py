@@ -235,12 +235,12 @@ def test_api_texts_are_read_after_they_are_dealt_out(spark, tmp_path, capsys):
     spark.createDataFrame([("a", "openapi: '3'\npaths: {/x: {get: {}}}"), ("b", "swagger: 1"), ("c", "x: 1"), ("d", None)], "path string, text string").coalesce(1).write.parquet(str(tmp_path / "f"))
     files = spark.read.parquet(str(tmp_path / "f"))
     rows = N.api_operations(files)
-    assert [(r.path, r.method, r.path_template) for r in rows.collect()] == [("a", "GET", "/x")]
     for df in (rows, N.api_schemas(files)):
         capsys.readouterr()
         df.explain()
         read, _, dealt = capsys.readouterr().out.partition("Exchange RoundRobin")
         assert read.count("ArrowEvalPython") == 1 and dealt and "Python" not in dealt
+    assert [(r.path, r.method, r.path_template) for r in rows.collect()] == [("a", "GET", "/x")]
 
 
 def test_normal_cdf_is_dealt_out(spark, capsys):
@@ -251,3 +251,14 @@ def test_normal_cdf_is_dealt_out(spark, capsys):
     assert {r.p_partkey: r.value for r in rows.collect()}[25] == 5e9
     rows.explain()
     assert "Exchange RoundRobin" in capsys.readouterr().out
+
+
+def test_traces_are_parsed_once(spark, tmp_path, capsys):
+    """Each kind of evidence parsed all texts again, in one task where they are one row group."""
+    lines = '{"type":"console","messageType":"error","text":"boom","time":3}\n{"callId":"c","apiName":"a.b","startTime":1,"endTime":2}\n{"url":"u","status":500,"duration_ms":2}'
+    traces = spark.createDataFrame([(1, lines), (2, "plain"), (3, None), (4, '[{"url":"v","status":404,"duration_ms":1}]')], "k long, raw string")
+    got = E.prepare(traces, "k")
+    assert {r.k: tuple(r)[1:5] for r in got.collect()} == {1: (1, 1, 1, "boom"), 2: (0, 0, 0, None), 3: (0, 0, 0, None), 4: (0, 1, 0, "v")}
+    for df in (got, *E.trace_evidence(traces, "k").values()):
+        df.explain()
+    assert "Python" not in capsys.readouterr().out
