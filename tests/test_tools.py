@@ -262,3 +262,17 @@ def test_traces_are_parsed_once(spark, tmp_path, capsys):
     for df in (got, *E.trace_evidence(traces, "k").values()):
         df.explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_graph_rounds_stay_off_the_driver(spark, capsys, monkeypatch):
+    """Small tables of each round were broadcast, so all of them went through the driver."""
+    real = G.saved
+
+    def shown(df):
+        df.explain()
+        return real(df)
+
+    monkeypatch.setattr(G, "saved", shown)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4)], "src long, dst long")
+    assert sorted(map(tuple, G.strong_components(edges, 2).collect())) == [(1, 3), (2, 3), (3, 3), (4, 6), (5, 6), (6, 6)]
+    assert "Broadcast" not in capsys.readouterr().out
