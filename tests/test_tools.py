@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import predicates as P
 from strataloom.functions import text as T
 from strataloom.operators import cases as K
+from strataloom.operators import code
 from strataloom.operators import compact as C
 from strataloom.operators import contracts as N
 from strataloom.operators import diagnostics as D
@@ -276,3 +277,12 @@ def test_graph_rounds_stay_off_the_driver(spark, capsys, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4)], "src long, dst long")
     assert sorted(map(tuple, G.strong_components(edges, 2).collect())) == [(1, 3), (2, 3), (3, 3), (4, 6), (5, 6), (6, 6)]
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_complexity_is_counted_after_the_dealing(spark, tmp_path, capsys):
+    spark.createDataFrame([("a.ts", "function f() {\n if (a) {}\n}"), ("b.ts", ""), ("c.ts", None)], "path string, text string").coalesce(1).write.parquet(str(tmp_path / "f"))
+    rows = code.complexity(spark.read.parquet(str(tmp_path / "f")))
+    rows.explain()
+    counted, _, dealt = capsys.readouterr().out.partition("Exchange RoundRobin")
+    assert "regexp_extract_all" in counted and dealt and "regexp_extract_all" not in dealt
+    assert [(r.path, r.lines, r.branches) for r in rows.collect()] == [("a.ts", 3, 1)]
