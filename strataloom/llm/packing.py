@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 LONGEST, END = 2048, 1
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 SLOTS = 1 << 21  # of a worker's word table, some 60 MB
 #: 0 white space, 1 letter, 2 digit, 3 other; 4 makes the word go to the tokenizer whole.
 KIND = np.full(256, 3, np.uint8)

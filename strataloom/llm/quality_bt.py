@@ -33,7 +33,7 @@ BITS = 13
 BUCKETS = 3 << BITS  # words, pairs of words, byte 4-grams
 STEPS, RATE = 40, 0.5  # of the lexical weights
 SLACK = 0.001  # of the balanced share of right labels, for the choice of the threshold
-CHUNK = 1 << 21
+CHUNK = 1 << 19  # a worker holds some 130 bytes for each byte of a chunk
 WINDOW = 20
 FEATURES = [
     "log_words", "word_bytes", "long_words", "upper_words", "marked_words", "bare_marks", "symbols", "digits", "wide", "distinct", "repeated_lines", "short_words", "stutter",
