@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
+from strataloom.session import spread
 
 # Weights, limits, and how a function or class begins.
 LONG_BODY, DEEP_LEVEL, MANY_PARAMS = 25, 3, 4
@@ -38,13 +39,25 @@ def _params(line: Column) -> Column:
     return F.size(F.filter(F.transform(F.split(inside, ","), T.trim), lambda p: ~p.isin("", "self", "cls", "*", "/")))
 
 
+def _code(text: Column, python: Column) -> Column:
+    """Structs (line, code) of the lines that are neither blank nor comments."""
+    def kept(x: Column) -> Column:
+        bare = F.trim(x["code"])
+        return (T.trim(x["code"]) != "") & F.when(python, ~bare.startswith("#")).otherwise(~(bare.startswith("//") | bare.startswith("*") | bare.startswith("/*")))
+
+    every = F.transform(T.lines_of(text), lambda x, i: F.struct((i + 1).alias("line"), F.replace(x, F.lit("\t"), F.lit("    ")).alias("code")))
+    return F.filter(every, kept)
+
+
+def _indent(code: Column) -> Column:
+    return F.length(code) - F.length(F.ltrim(code))
+
+
 def code_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, line, code, indent, function, class, params, public) of the lines that are neither blank nor comments."""
-    rows = files.select(path, F.posexplode(T.lines_of(F.col(text))).alias("line", "raw")).select(path, (F.col("line") + 1).alias("line"), F.replace("raw", F.lit("\t"), F.lit("    ")).alias("code"))
-    python, bare = is_python(F.col(path)), F.trim("code")
-    comment = F.when(python, bare.startswith("#")).otherwise(bare.startswith("//") | bare.startswith("*"))
-    rows = rows.filter((T.trim(F.col("code")) != "") & (F.when(python, ~bare.startswith("#")).otherwise(~(comment | bare.startswith("/*")))))
-    indent = F.length("code") - F.length(F.ltrim("code"))
+    python = is_python(F.col(path))
+    rows = files.select(path, F.explode(_code(F.col(text), python)).alias("l")).select(path, "l.*")
+    indent = _indent(F.col("code"))
     function = F.when(python, _name(F.col("code"), PYTHON_FUNCTION)).otherwise(_name(F.col("code"), SCRIPT_FUNCTION, SCRIPT_ARROW))
     class_ = F.when(python, _name(F.col("code"), PYTHON_CLASS)).otherwise(_name(F.col("code"), SCRIPT_CLASS))
     name = F.coalesce("function", "class")
@@ -59,7 +72,7 @@ def function_bodies(files: DataFrame, path: str = "path", text: str = "text") ->
     The end of a body is the next line with no more indent. Lines of one indent that follow a function's are found by
     a window for each indent level that occurs, so no line meets all others of its file.
     """
-    lines = code_lines(files, path, text).withColumn("n", F.row_number().over(Window.partitionBy(path).orderBy("line")))
+    lines = code_lines(files, path, text).select(path, "line", "indent", "function").withColumn("n", F.row_number().over(Window.partitionBy(path).orderBy("line")))
     heads = lines.filter("function is not null").select(path, "function", "line", "indent", "n")
     # the first later line of indent <= i, for every indent i that a function of the file has
     levels = heads.select(path, F.col("indent").alias("level")).distinct()
@@ -72,18 +85,24 @@ def function_bodies(files: DataFrame, path: str = "path", text: str = "text") ->
 
 
 def module_depth(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, interface, complexity, ratio, band, public_symbols, loc, factors) of each file."""
-    lines = code_lines(files, path, text)
-    unit = lines.filter("indent > 0").groupBy(path).agg(F.min("indent").alias("unit"))
-    rows = lines.join(unit, path, "left")
-    level = F.round(F.col("indent") / F.coalesce("unit", F.lit(4))).cast("int")
-    many = F.when(F.col("public") & (F.col("params") > MANY_PARAMS), F.struct("line", F.concat_ws(":", F.lit("many_params"), F.coalesce("function", "class"), F.col("params").cast("string")).alias("what")))
+    """(path, interface, complexity, ratio, band, public_symbols, loc, factors) of each file.
+
+    The rows of lines are summed up by their file as small numbers; only surfaces with many parameters and the lines of
+    files that are long enough for a long function are gathered.
+    """
+    files = spread(files.select(path, text))
+    many = F.when(F.col("public") & (F.col("params") > MANY_PARAMS), F.concat_ws(":", F.lit("many_params"), F.coalesce("function", "class"), F.col("params").cast("string")))
+    rows = code_lines(files, path, text).select(path, "line", "indent", F.regexp_count("code", F.lit(BRANCH)).alias("branches"), F.col("function").isNotNull().alias("is_function"), "public", "params", many.alias("what"))
     of = rows.groupBy(path).agg(
-        F.count_if(F.col("indent") > 0).alias("loc"), F.sum(F.regexp_count("code", F.lit(BRANCH))).alias("branches"), F.max(level).alias("nesting"), F.count("function").alias("functions"),
-        F.count_if("public").alias("public_symbols"), F.sum(F.when(F.col("public"), F.col("params")).otherwise(0)).alias("public_params"), F.array_sort(F.collect_list(many)).alias("many"),
+        F.count_if(F.col("indent") > 0).alias("loc"), F.sum("branches").alias("branches"), F.min(F.when(F.col("indent") > 0, F.col("indent"))).alias("unit"), F.max("indent").alias("deepest"),
+        F.count_if("is_function").alias("functions"), F.count_if("public").alias("public_symbols"), F.sum(F.when(F.col("public"), F.col("params")).otherwise(0)).alias("public_params"),
     )
+    of = of.withColumn("nesting", F.round(F.col("deepest") / F.coalesce("unit", F.lit(4))).cast("int")).drop("unit", "deepest")  # the deepest line has the highest level
+    wide = rows.filter("what is not null").groupBy(path).agg(F.array_sort(F.collect_list(F.struct("line", "what"))).alias("many"))
+    of = of.join(wide, path, "left")
     god = F.struct("line", F.concat_ws(":", F.lit("god_function"), "function", F.col("body_lines").cast("string")).alias("what"))
-    long = function_bodies(files, path, text).filter(F.col("body_lines") > LONG_BODY).groupBy(path).agg(F.array_sort(F.collect_list(god)).alias("god"))
+    tall = files.filter(F.size(T.lines_of(F.col(text))) > LONG_BODY)
+    long = function_bodies(tall, path, text).filter(F.col("body_lines") > LONG_BODY).groupBy(path).agg(F.array_sort(F.collect_list(god)).alias("god"))
     names = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<line:int,what:string>>")), lambda x: x["what"])
     deep = F.when(F.col("nesting") > DEEP_LEVEL, F.array(F.concat(F.lit("deep_nesting:"), F.col("nesting").cast("string")))).otherwise(F.array().cast("array<string>"))
     complexity = F.col("loc") * PER_LINE + F.col("functions") * PER_FUNCTION + F.col("branches") * PER_BRANCH + F.greatest(F.lit(0), F.col("nesting") - 1) * PER_LEVEL
