@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.predicates import matches
+from strataloom.functions.predicates import folded, matches, matches_folded
 from strataloom.functions.text import lines_of, round_to
 from strataloom.session import spread
 
@@ -37,25 +37,30 @@ FILE_PATH = r"(^|\s)([\w.-]+/)+[\w.-]+\.(ts|tsx|js|jsx|mjs|cjs|py|md|mdx|json|ya
 
 def route(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, tools, decision, risk_flags, score of each text."""
-    rows = spread(rows.select(key, text))
-    t = F.coalesce(F.col(text), F.lit(""))
-    task = lambda name: matches(t, TASKS[name])
+    rows = spread(rows.select(key, text)).select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t, low = F.col("t"), F.col("low")
+    rows = rows.withColumn("low", folded(t))
+    seen = lambda x: matches_folded(t, low, x)
     n, lines = F.length(t), F.when(t == "", 0).otherwise(F.size(lines_of(t)))
     urls = F.transform(F.regexp_extract_all(t, F.lit("(?i)" + URL.replace(r"\b", "")), 0), lambda u: F.rtrim(u, F.lit("),.;")))
     images = F.exists(urls, lambda u: matches(u, IMAGE))
     pages = F.exists(urls, lambda u: ~matches(u, IMAGE))
-    stack = t.rlike(r"(?m)^\s*at\s+.+\(.+:\d+:\d+\)") | matches(t, r"traceback \(most recent call last\)") | matches(t, r"\berror:\s.+")
-    log = (lines >= 150) | (n >= 8000) | stack
+    stack = (t.rlike(r":\d+:\d+\)") & t.rlike(r"(?m)^\s*at\s+.+\(.+:\d+:\d+\)")) | seen(r"traceback \(most recent call last\)") | seen(r"\berror:\s.+")
+    # each is tested once, however often it is asked for
+    facts = {"log": (lines >= 150) | (n >= 8000) | stack, "n": n, "images": images, "pages": pages, "file_path": t.contains("/") & matches(t, FILE_PATH), "has_url": F.size(urls) > 0}
+    rows = rows.select(key, F.explode(F.array(F.struct(*(c.alias(k) for k, c in facts.items()), *(seen(p).alias(f"task_{k}") for k, p in TASKS.items()), *(seen(p).alias(f"risk_{k}") for k, p in RISKS.items())))).alias("f")).select(key, "f.*")
+    log, n, images, pages, file_path = map(F.col, ("log", "n", "images", "pages", "file_path"))
+    task = lambda name: F.col(f"task_{name}")
     pick = lambda cond, tool, sure: F.when(cond, F.struct(F.lit(tool).alias("tool"), F.lit(sure).alias("sure")))
     found = F.array_compact(
         F.array(
             pick(images, "screenshot", 0.96), pick(task("trace"), "trace", 0.94), pick(log, "logs", 0.93), pick(~log & (n >= 5000), "text", 0.9), pick(task("deep_web"), "scraper", 0.9),
-            pick(~task("deep_web") & pages & task("read"), "url", 0.88), pick(task("repo") & ~matches(t, FILE_PATH) & ~log, "retrieval", 0.88), pick(task("checks"), "checks", 0.86),
+            pick(~task("deep_web") & pages & task("read"), "url", 0.88), pick(task("repo") & ~file_path & ~log, "retrieval", 0.88), pick(task("checks"), "checks", 0.86),
             pick(task("dependency") & ~task("release"), "dependency", 0.88), pick(task("docs"), "docs", 0.84), pick(task("release") | task("cleanup"), "cleanup", 0.84), pick(task("gate"), "gate", 0.84),
         )
     )
-    risks = F.array_compact(F.array(*(F.when(matches(t, p), F.lit(k)) for k, p in RISKS.items())))
-    out = rows.select(key, found.alias("found"), risks.alias("risks"), n.alias("n"), (F.size(urls) > 0).alias("has_url"))
+    risks = F.array_compact(F.array(*(F.when(F.col(f"risk_{k}"), F.lit(k)) for k in RISKS)))
+    out = rows.select(key, found.alias("found"), risks.alias("risks"), n, "has_url")
     decision = F.when(F.array_contains("risks", "ambiguous_task") & (F.size("found") == 0), "ask").when(F.size("found") > 0, "call").otherwise("skip")
     out = out.withColumn("decision", decision)
     best = F.greatest(F.lit(0.72), F.array_max(F.transform("found", lambda x: x["sure"])))
