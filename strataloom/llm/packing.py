@@ -7,8 +7,10 @@ reads one length). There is no shuffle.
 
 Tokens come from a public tokenizer file whose path is a parameter. The file's splitter never joins
 characters across white space, so each distinct word is encoded once a worker and looked up afterwards;
-words of plain ASCII are also split where letters, digits and other characters meet, as the splitter
-does. Words with an apostrophe, a `<` (special tokens) or non-ASCII characters go to it whole.
+words of ASCII and Latin-1 letters are also split where letters, digits and other characters meet, as the
+splitter does. Words with an apostrophe, a `<` (special tokens) or other characters go to it whole and as
+they are. New parts of split words are encoded by hundreds in one call, without the file's normalizer and
+splitter, which would give them back unchanged; files with others than the known ones are not used so.
 
 Null and empty texts are one end token; repeated rows are packed each for itself; an empty table gives an
 empty result; further columns are ignored.
@@ -16,7 +18,9 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +34,19 @@ from . import shared as S
 LONGEST, END = 2048, 1
 CHUNK = 1 << 19
 SLOTS = 1 << 21  # of a worker's word table, some 60 MB
-#: 0 white space, 1 letter, 2 digit, 3 other; 4 makes the word go to the tokenizer whole.
+TOGETHER = 500  # plain words that are encoded as one text
+#: 0 white space, 1 letter, 2 digit, 3 other; words with a byte of WHOLE, letters of Latin-1 apart, go to the tokenizer whole.
 KIND = np.full(256, 3, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0
 KIND[65:91] = KIND[97:123] = 1
 KIND[48:58] = 2
 WHOLE = np.zeros(256, bool)
 WHOLE[128:] = WHOLE[[0x27, 0x3C]] = True
+#: Fixed: what NORMALIZER and SPLITTER give back as it is, in one piece.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:;=-@[-`{-~]+")
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PARTS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+SPLITTER = {"type": "Split", "pattern": PARTS, "behavior": "Removed", "invert": True}
 
 
 class Words:
@@ -52,6 +62,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain, self.closes = plain_tokenizer(self.tokenizer)
         self.clear()
 
     @classmethod
@@ -114,13 +125,50 @@ class Words:
 
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Append the words' ids and bytes; their numbers."""
-        raw = [data[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())]
-        own = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in raw], add_special_tokens=False)]
-        sizes, n = np.array([len(x) for x in own], np.int64), self.n
-        self.start, self.ids, self.used = appended(self.start, n, self.ids, self.used, sizes, np.fromiter((y for x in own for y in x), np.uint32, int(sizes.sum())))
-        self.bytes_start, self.bytes, self.bytes_used = appended(self.bytes_start, n, self.bytes, self.bytes_used, end - start, np.frombuffer(b"".join(raw), np.uint8))
+        text = data.tobytes()
+        raw = [text[s:e] for s, e in zip(start.tolist(), end.tolist())]
+        plain = np.fromiter((PLAIN.fullmatch(x) is not None for x in raw), bool, len(raw)) & (self.plain is not None)
+        order, n_plain, n = np.argsort(~plain, kind="stable"), int(plain.sum()), self.n
+        raw = [raw[i] for i in order.tolist()]
+        texts = [x.decode("utf-8", "replace") for x in raw]
+        ids, sizes = (np.concatenate(x) for x in zip(self.together(texts[:n_plain]), self.singly(texts[n_plain:])))
+        self.start, self.ids, self.used = appended(self.start, n, self.ids, self.used, sizes, ids)
+        self.bytes_start, self.bytes, self.bytes_used = appended(self.bytes_start, n, self.bytes, self.bytes_used, (end - start)[order], np.frombuffer(b"".join(raw), np.uint8))
         self.n += len(raw)
-        return np.arange(n, self.n)
+        out = np.empty(len(raw), np.int64)
+        out[order] = np.arange(n, self.n)
+        return out
+
+    def together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids a word) of plain words; the last id of each closes it, and no other (else they are encoded singly)."""
+        runs = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+        own = [np.array(x.ids, np.uint32) for x in self.plain.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False)] if runs else []
+        ids = np.concatenate([np.zeros(0, np.uint32), *own])
+        last = np.flatnonzero(self.closes[ids]) if runs else np.zeros(0, np.int64)
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(texts) else self.singly(texts)
+
+    def singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words."""
+        own = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in own], np.int64)
+        return np.fromiter((y for x in own for y in x), np.uint32, int(sizes.sum())), sizes
+
+
+def plain_tokenizer(full) -> tuple:
+    """(tokenizer without normalizer and splitter, which ids close a word) with the same model; (None, None) if the file has unknown ones."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    model, state = full.model, lambda x: json.loads(x.__getstate__()) if x is not None else None
+    split = (state(full.pre_tokenizer) or {}).get("pretokenizers", [])
+    known = state(full.normalizer) == NORMALIZER and len(split) == 2 and split[0] == SPLITTER and split[1] == state(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+    close = getattr(model, "end_of_word_suffix", None)
+    if not known or not close or not set(close) & set("<'") or getattr(model, "dropout", None):
+        return None, None  # PLAIN has neither of these characters, so only a word's end looks like one
+    closes = np.zeros(full.get_vocab_size(), bool)
+    closes[[i for x, i in full.get_vocab(with_added_tokens=False).items() if x.endswith(close)]] = True
+    plain = Tokenizer(model)
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return plain, closes
 
 
 def appended(starts: np.ndarray, n: int, values: np.ndarray, used: int, sizes: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -148,24 +196,35 @@ def equal_spans(a: np.ndarray, sa: np.ndarray, ea: np.ndarray, b: np.ndarray, sb
     return out
 
 
+def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the spans; the spans do not overlap."""
+    step = np.zeros(n + 1, np.int8)
+    step[start] += 1
+    step[end] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
+
+
 def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with ASCII letters lower-cased, starts, ends) of what is encoded by itself."""
-    lower = S.ASCII_LOWER[data]
-    kind = KIND[data]
+    """(bytes, starts, ends) of what is encoded by itself; letters are lower-cased but in words that go whole."""
+    lower, kind, odd = S.ASCII_LOWER[data], KIND[data], WHOLE[data]
     first, last, _ = S.words(data, offs, S.NOT_SPACE)
     if not len(first):
         return lower, first, last
-    odd = np.concatenate([[0], np.cumsum(WHOLE[data])])
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offs] = True
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = data[at]
+    at = at[(second >= 0x80) & (second < 0xC0) & (second != 0x97) & (second != 0xB7) & ~begins[at]]  # not the signs of multiplication and division
+    kind[at] = kind[at - 1] = 1
+    odd[at] = odd[at - 1] = False
+    lower[at[data[at] < 0x9F]] += 0x20
+    odd = np.concatenate([[0], np.cumsum(odd)])
     whole = odd[last] > odd[first]
-    for s, e in zip(first[whole], last[whole]):
-        if 0x3C in data[s:e]:
-            lower[s:e] = data[s:e]
+    as_is = covered(len(data), first[whole], last[whole])
+    lower[as_is] = data[as_is]
     edge = np.zeros(len(data) + 1, bool)
     edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-    depth = np.zeros(len(data) + 1, np.int32)
-    np.add.at(depth, first[whole] + 1, 1)
-    np.add.at(depth, last[whole], -1)
-    edge &= np.cumsum(depth) == 0
+    edge[1:-1] &= ~covered(len(data), first[whole] + 1, last[whole])[1:]
     edge[first] = edge[last] = True
     edge[offs] = True
     cuts = np.flatnonzero(edge)

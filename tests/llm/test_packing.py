@@ -1,12 +1,15 @@
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from strataloom.llm.packing import decomposed, pack
+from strataloom.llm import shared as S
+from strataloom.llm.packing import Words, decomposed, encoded, pack, spans
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = {
@@ -42,3 +45,41 @@ def test_decomposition(n):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def own_ids(texts: list, words: Words) -> list[list[int]]:
+    ids, first = encoded(*S.text_bytes(pa.array(texts)), words)
+    return [ids[s:e].tolist() for s, e in zip(first, first[1:])]
+
+
+def test_letters_that_compose_only_once_they_are_lower_cased():
+    texts = ["J\u030c aJ\u030c H\u0331 T\u0308 W\u030a Y\u030a", "<|endoftext|>J\u030c", "É\u0323 é\u0323 E\u0301 Ü\u0304"]
+    tokenizer = Tokenizer.from_file(PATH)
+    assert own_ids(texts, Words(PATH)) == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_words_of_latin_1_letters_are_split_and_encoded_together():
+    texts = ["Été, ÉTÉ; naïve-Ärger 12é34 ÀÖØÞßàöøþÿ", "plain words, 2024 #*$", "", "ö" * 700, " ".join(f"w{chr(0xE0 + i % 23)}{i}" for i in range(2000))]
+    tokenizer, words = Tokenizer.from_file(PATH), Words(PATH)
+    want = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    singly, words.singly = words.singly, lambda x: singly(x) if not x else pytest.fail(f"encoded singly: {x[:9]}")
+    assert own_ids(texts, words) == want
+    assert own_ids(["a×b", "a÷b Ö×Ö", "it's"], Words(PATH)) == [tokenizer.encode(x, add_special_tokens=False).ids for x in ("a×b", "a÷b Ö×Ö", "it's")]
+
+
+def test_a_file_with_another_splitter_is_not_taken_apart():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert Words(path).plain is None and Words(PATH).plain is not None
+
+
+def test_words_that_go_whole_cost_no_more_than_others():
+    def took(word: str) -> float:
+        data, offs = S.text_bytes(pa.array([f"{word} " * 60_000]))
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            spans(data, offs)
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert took("naĭve") < 4 * took("naixve")
