@@ -1,10 +1,12 @@
 """Queries over whole texts, against plain Python."""
 
+import math
 import re
 
+import duckdb
 import pytest
 
-from strataloom.plans import QUERIES
+from strataloom.plans import QUERIES, SQL
 
 TEXTS = {1: "alpha " + "x " * 300 + "beta", 2: "beta gamma " + "y " * 200 + "alpha", 3: "Gamma Delta line\nGamma Delta line\nGamma Data", 14: "alpha alone"}
 
@@ -50,3 +52,16 @@ def test_slugs(spark, folder):
 def test_lockfile(spark, folder):
     want = [(k, "a", f"1.{k % 3}", k % 2 == 0) for k in range(1, 121)] + [(k, "b", "2.0", False) for k in range(1, 121)]
     assert rows(spark, "src_lockfile", folder) == sorted(want)
+
+
+def test_saved_bytes_of_odd_texts(spark, tmp_path):
+    """A missing and an empty text saved all bytes, and a vertical tab was white space, which it is not in SQL."""
+    texts = [None, "", " ", "\x0b\x0b", "a\x0b\x0b  b", "a\u00a0\u00a0b", "a \t\r\n\f b"]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r.value for r in QUERIES["fn_byte_saving"](spark, str(tmp_path)).collect()}
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW documents AS FROM '{path}/*.parquet'")
+    want = dict(base.sql(SQL["fn_byte_saving"]).fetchall())
+    assert math.isnan(got.pop(1)) and math.isnan(want.pop(1))
+    assert got == want and got[0] is None and got[3] == 0
